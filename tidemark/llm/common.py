@@ -85,12 +85,11 @@ def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64."""
     out = np.empty(n, np.uint64)
     if n:
-        out[0], k = 1, 1
-        step = np.uint64(base)
+        out[0], k, step = 1, 1, base
         while k < n:
             m = min(k, n - k)
-            out[k : k + m] = out[:m] * step
-            step = step * step
+            out[k : k + m] = out[:m] * np.uint64(step)
+            step = step * step % (1 << 64)
             k += m
     return out
 

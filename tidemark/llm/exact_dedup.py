@@ -35,14 +35,12 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     return runs.groupBy("run", "sha", "check").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, seq, keep_id, keep_seq, group_size, kept, sha.
+def tree_groups(rows: DataFrame) -> DataFrame:
+    """One row per row of (id, seq, sha, check): id, seq, sha, keep_id, keep_seq, group_size, kept.
 
-    Texts are equal when identical after each run of white space is replaced by one space; null counts
-    as empty. The row with the smallest id stays (a null id counts as larger than any other; among
-    repeated ids the first row read). An empty table gives an empty result; other columns are ignored.
+    Rows with equal sha and check form a group; its row with the smallest id stays (null last, ties by
+    seq). rows is read more than once and should be a written table.
     """
-    rows = written(digests(docs, id_col, text_col), "digests")
     first = F.struct(F.col("id").isNull().alias("none"), "id", "seq").alias("first")
     base = rows.select(F.shiftright("seq", 33).alias("run"), "sha", "check", "id", "seq")
     leaves = merge_runs(base.select("run", "sha", "check", first, F.lit(1).cast("long").alias("n")))
@@ -54,15 +52,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     many = top.where("n > 1").select("sha", "check", F.col("first").alias("keep"), F.col("n").alias("size"))
     answers = leaves.select("run", "sha", "check").join(many, ["sha", "check"])
     return base.join(answers, ["run", "sha", "check"], "left").select(
-        "id", "seq",
+        "id", "seq", "sha",
         F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep.id")).alias("keep_id"),
         F.coalesce("keep.seq", "seq").alias("keep_seq"),
         F.coalesce("size", F.lit(1).cast("long")).alias("group_size"),
         F.coalesce(F.col("keep.seq") == F.col("seq"), F.lit(True)).alias("kept"),
-        F.lower(F.hex("sha")).alias("sha"),
     )
 
 
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, seq, sha (hex), keep_id, keep_seq, group_size, kept.
+
+    Texts are equal when identical after each run of white space is replaced by one space; null counts
+    as empty. The row with the smallest id stays (a null id counts as larger than any other; among
+    repeated ids the first row read). An empty table gives an empty result; other columns are ignored.
+    """
+    return tree_groups(written(digests(docs, id_col, text_col), "digests")).withColumn("sha", F.lower(F.hex("sha")))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text a kept row has; all columns stay as they are."""
     seq = free_name(docs, "seq")

@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import suffix_tree, toxicity
+from .chat_format import format_turns, json_turns, read_back, table_turns
 from .common import table
 from .exact_dedup import exact_groups
+from .jaccard_join import jaccard_classes
+from .licenses import scan_licenses
+from .media import media_features
 from .mixing import mix_sources
+from .pieces import sample_segmentations
 from .url_filter import Rule, filter_urls
 
 #: The rules of op1.
@@ -26,21 +32,67 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+#: Conversation -7 of op2, in the layout with a list of messages.
+CONTROL_CONVERSATION = '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}'
+#: The vocabulary file of op5 and the pipeline, on every machine.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table_turns(table(spark, sf_dir, "conversations"))
+    record = spark.createDataFrame([(-7, CONTROL_CONVERSATION)], "conv_id long, record string")
+    turns = rows.unionByName(json_turns(record, "conv_id", "record"))
+    return read_back(format_turns(turns))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model).withColumnRenamed("id", "doc_id")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document repeated towards shares by the square root of each source's size, as many rows as the input is expected to have."""
     return mix_sources(table(spark, sf_dir, "documents"), power=0.5, seed=17)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_segmentations(table(spark, sf_dir, "documents"), PIECES, k=2)
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(table(spark, sf_dir, "documents"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = exact_groups(table(spark, sf_dir, "documents"))
     return g.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
+        "op2_chat_format": op2_chat_format,
+        "op3_toxicity": op3_toxicity,
         "op4_mix_sources": op4_mix_sources,
+        "op5_sentencepiece": op5_sentencepiece,
+        "op6_lm_scoring": op6_lm_scoring,
+        "op7_media": op7_media,
+        "op8_licenses": op8_licenses,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
