@@ -132,10 +132,10 @@ def leave_group_out_ridge(rows: DataFrame, features: Sequence[str], target: str,
         w, b = ridge_from(*m.total({g}), best[1])
         models.append((g, best[1], float(b), [float(v) for v in w]))
     kind = rows.schema[group].dataType.simpleString()
-    table = rows.sparkSession.createDataFrame(models, f"`{group}` {kind}, alpha double, b double, w array<double>")
+    table = rows.sparkSession.createDataFrame(models, f"`{group}` {kind}, __alpha double, __b double, __w array<double>")
     x = F.array(*[F.col(c).cast("double") for c in features])
-    predicted = F.aggregate(F.zip_with(x, "w", lambda a, w: a * w), F.lit(0.0), lambda s, v: s + v) + F.col("b")
-    return whole.join(F.broadcast(table), group).select(*keep, group, F.col(target).alias("observed"), predicted.alias("predicted"), "alpha")
+    predicted = F.aggregate(F.zip_with(x, "__w", lambda a, w: a * w), F.lit(0.0), lambda s, v: s + v) + F.col("__b")
+    return whole.join(F.broadcast(table), group).select(*keep, group, F.col(target).alias("observed"), predicted.alias("predicted"), F.col("__alpha").alias("alpha"))
 
 
 def leave_group_out_gbt(rows: DataFrame, features: Sequence[str], target: str, group: str, iterations: int = 20, depth: int = 3, seed: int = SEED, keep: Sequence[str] = ()) -> DataFrame:

@@ -109,14 +109,13 @@ def kernel_sum(rows: DataFrame, other: np.ndarray, sigma: float, x: str = "x", b
 
 
 def mmd(a: DataFrame, b: DataFrame, sigma: float, x: str = "x", sum_aa: float | None = None) -> tuple[float, float]:
-    """Biased squared maximum mean discrepancy of two banks and its root, D_X; slightly negative values count as 0."""
+    """D_X, the biased squared maximum mean discrepancy of two banks, and the kernel sum of the first one (to be passed again as sum_aa); slightly negative values count as 0."""
     ma, mb = collected_bank(a, x), collected_bank(b, x)
     aa = kernel_sum(a, ma, sigma, x) if sum_aa is None else sum_aa
     value = aa / len(ma) ** 2 + kernel_sum(b, mb, sigma, x) / len(mb) ** 2 - 2 * kernel_sum(a, mb, sigma, x) / (len(ma) * len(mb))
     if value < -1e-10:
         raise ValueError(f"negative discrepancy {value}")
-    value = max(value, 0.0)
-    return value, math.sqrt(value)
+    return max(value, 0.0), aa
 
 
 def bandwidth(reference: DataFrame, seed: int, x: str = "x", row_id: str = "row_id") -> tuple[float, str]:
@@ -124,7 +123,7 @@ def bandwidth(reference: DataFrame, seed: int, x: str = "x", row_id: str = "row_
     p = collected_bank(bank(reference, seed, "bandwidth", BANDWIDTH_POINTS, row_id), x)
     d = np.sqrt(np.maximum((p**2).sum(1)[:, None] + (p**2).sum(1)[None] - 2 * p @ p.T, 0))[np.triu_indices(len(p), 1)]
     d = d[d > 1e-7]
-    return (float(np.median(d)), "OK") if len(d) else (1.0, "FALLBACK")
+    return (float(np.median(d)), "SUCCESS") if len(d) else (1.0, "FALLBACK")
 
 
 def partition_indices(rows: DataFrame, u: str = "u") -> DataFrame:

@@ -402,7 +402,7 @@ def signal_row(source: DataFrame, target: DataFrame, v: np.ndarray, candidate: n
     out["D_H"] = signals.entropy_shift(both).first()["D_H"]
     out["D_M"] = signals.mass_shift(both)[2]
     out["D_V"] = signals.prototype_movement(v, aligned, scales)["D_V"]
-    out["D_X"] = signals.mmd(ref, cur, sigma)[1]
+    out["D_X"] = signals.mmd(ref, cur, sigma)[0]
     mine = memberships(cur, v, m=m)
     index = signals.partition_indices(mine).first()
     out |= {"fpc": index["fpc"], "pe": index["pe"], "xb": signals.xie_beni(mine, v, m), "silhouette": signals.silhouette(mine.withColumn("cluster", argmax(F.col("u"))))}
