@@ -145,7 +145,7 @@ class Words:
         return self.spans(at, at + np.minimum(self.count[of], k) - 1), of
 
 
-def blocks(texts: Iterator[bytes], most: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
+def blocks(texts: Iterator[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Texts in blocks of about most bytes, each with the index of its first text."""
     block: list[bytes] = []
     size = at = 0

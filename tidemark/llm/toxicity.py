@@ -38,7 +38,7 @@ REPEAT = 400
 LEVEL = 12
 FIRE = 1.5
 #: Windows whose lengths a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -79,7 +79,7 @@ class Lengths:
 
 @dataclass
 class Model:
-    """toxic and ordinary: dictionaries. odds: log-odds by lengths. bend, level: evidence -> probability."""
+    """toxic and ordinary: dictionaries. odds: log-odds by lengths. cuts, chances: evidence -> probability."""
 
     toxic: bytes = b""
     ordinary: bytes = b""
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     if n > sample:
         named = named.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    # each task sends one row of counts for its documents, not their texts
+    # each batch sends counts of its words, not its texts
     rows = texts.join(F.broadcast(named), "id").mapInArrow(_counted, "y int, word string, docs long, times long")
     counts = rows.groupBy("y", "word").agg(F.sum("docs").alias("docs"), F.sum("times").alias("times"))
     total = {r["y"]: r["docs"] for r in counts.where("word = ''").collect()}
