@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import derived_seed_column, draw, record_hash, sql_draw, sql_uniform, uniform
+from ..functions.hashing import derived_seed_column, record_hash, sql_draw, sql_uniform, uniform
 from ..functions.vectors import fuzzifier
 from ..operators import folds, shifts, signals, statistics
 from ..sources.ingest import LINE_FEATURES, LINE_SQL, embedding_points, isolate, line_rows
