@@ -41,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sampled segmentation of each document."""
-    return sample_segmentations(docs, PIECES, k=1)
+    return sample_segmentations(docs, PIECES, k=1, block=1 << 18)
 
 
 STAGES = [("toxicity", reject_toxic), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("pieces", encode)]
