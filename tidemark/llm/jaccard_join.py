@@ -321,13 +321,13 @@ def list_pairs(postings: DataFrame) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, seq, n_shingles, component_id (the smallest id in its class), n_links.
+    """One row per row of docs: id, seq, n_shingles, component_id (the smallest id in its class), n_links, class_seq.
 
     n_links counts the links that were checked between a row's set and other sets, not those inside a
     class that were skipped. Null and empty texts have no set and are alone in their class, as is a row
     that nothing links to; rows with equal sets are one class. Null ids count as larger than any other;
-    an id that is repeated may stand in several classes. Other columns are ignored; an empty table gives
-    an empty result.
+    an id that is null or repeated may stand in several classes, so component_id does not tell classes
+    apart: class_seq does. Other columns are ignored; an empty table gives an empty result.
     """
     texts = with_seq(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")), "seq")
     sets = written(described_sets(texts, frequency_levels(texts)), "shingles")
@@ -343,18 +343,18 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     degree = links.select(F.explode(F.array("a", "b")).alias("keep_seq")).groupBy("keep_seq").agg(F.count(F.lit(1)).alias("n_links"))
     rooted = groups.where("kept").select(F.col("seq").alias("keep_seq"), "keep_id").join(roots, "keep_seq").join(degree, "keep_seq")
     least = rooted.groupBy("root").agg(F.min("keep_id").alias("least_id"))
-    named = written(rooted.join(least, "root").select("keep_seq", "least_id", "n_links"), "classes")
-    joined = groups.join(small_side(named), "keep_seq", "left").select("seq", F.coalesce("least_id", "keep_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.lit(True).alias("known"))
+    named = written(rooted.join(least, "root").select("keep_seq", "root", "least_id", "n_links"), "classes")
+    joined = groups.join(small_side(named), "keep_seq", "left").select("seq", F.coalesce("least_id", "keep_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("root", "keep_seq").alias("class_seq"), F.lit(True).alias("known"))
     return sets.select("id", "seq", "n").join(joined, "seq", "left").select(
-        "id", "seq", F.col("n").alias("n_shingles"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
+        "id", "seq", F.col("n").alias("n_shingles"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("class_seq", "seq").alias("class_seq")
     )
 
 
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class: the first row read whose id is the class's smallest. Columns stay as they are."""
+    """docs with one row of each class: the first row read whose id is the class's smallest (null last). Columns stay as they are."""
     seq = free_name(docs, "seq")
     classes = jaccard_classes(docs, id_col, text_col)
-    first = classes.groupBy("component_id", F.when(F.col("n_shingles") == 0, F.col("seq")).alias("alone")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "seq")).alias("first"))
+    first = classes.groupBy("class_seq").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "seq")).alias("first"))
     kept = classes.select("seq").join(first.select(F.col("first.seq").alias("seq")), "seq", "left_anti")
     gone = written(kept.select(F.col("seq").alias(seq)), "near-copies")
     return with_seq(docs, seq).join(small_side(gone), seq, "left_anti").drop(seq)
