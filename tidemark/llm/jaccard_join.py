@@ -5,11 +5,13 @@ link share a token in a short prefix of each. Work is skipped by relations betwe
 
 * equal sets are one set;
 * answers of one set serve highly similar ones: sets that share a minimum hash are checked against the
-  most central of them, and what links to it takes over its class: pairs inside a class are never formed;
+  most central of them, and what links to it takes over its class: pairs inside a class never become rows;
 * index lists (token -> sets) with one class are dropped; the others are sorted by size and position, and
   blocks whose size or position rules a link out are skipped, as are pairs whose parity sketches do.
 
 What remains is checked exactly on the whole sets. Classes are the connected components of all links.
+Links inside a class are counted from each set's differences to what most of its class have: two sets differ
+by the symmetric difference of those differences, and sizes alone settle the pairs whose differences are few.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ STARS = 12
 SHORTEST = 512
 #: A list longer than this is dealt out in chunks, each pair of chunks a piece of work of its own.
 CHUNK = 20_000
+#: Sets and tokens of a chunk of a class when the links inside it are counted, and columns counted at once.
+CLASS_SETS, CLASS_TOKENS, COLUMNS = 512, 1 << 19, 2048
 
 _HASH = np.uint64((1 << 56) - 1)
 _SHORT = np.uint64((1 << 48) - 1)
@@ -320,15 +324,81 @@ def list_pairs(postings: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, seq, n_shingles, component_id (the smallest id in its class), n_links, class_seq.
+def linked(sets: list[np.ndarray]) -> np.ndarray:
+    """For each pair of sorted sets whether it links; a set does not link to itself.
 
-    n_links counts the links that were checked between a row's set and other sets, not those inside a
-    class that were skipped. Null and empty texts have no set and are alone in their class, as is a row
-    that nothing links to; rows with equal sets are one class. Null ids count as larger than any other;
-    an id that is null or repeated may stand in several classes, so component_id does not tell classes
-    apart: class_seq does. Other columns are ignored; an empty table gives an empty result.
+    Sets are described by their differences to the tokens that most of them have. The sums of two sets'
+    differences, and their distance, bound how far the sets are apart; rows with a pair that this leaves open
+    have their common differences counted.
+    """
+    n = np.array([len(x) for x in sets], np.int64)
+    tokens, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(n)), n)
+    have = np.bincount(column, minlength=len(tokens))
+    usual = 2 * have > len(n)
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    held = usual[column]
+    # differences: the rare tokens of each set, and the usual ones it lacks
+    far = np.bincount(row[~held], minlength=len(n)) + usual.sum() - np.bincount(row[held], minlength=len(n))
+    most = n[:, None] + n - 2 * least_overlap(n[:, None], n)
+    sure = far[:, None] + far <= most
+    unsure = ~sure & (np.abs(far[:, None] - far) <= most)
+    np.fill_diagonal(unsure, False)
+    some = np.flatnonzero(unsure.any(1))
+    if len(some):
+        place = np.full(len(n), -1)
+        place[some] = np.arange(len(some))
+        ok = place[row] >= 0
+        r, c = place[row[ok]], column[ok]
+        # a difference that one of these sets has is common to no two of them
+        here = np.bincount(c, minlength=len(tokens))
+        shared = np.flatnonzero(np.where(usual, len(some) - here, here) > 1)
+        common = np.zeros((len(some), len(some)), np.float64)
+        for k in range(0, len(shared), COLUMNS):
+            part = shared[k : k + COLUMNS]
+            a, b = np.searchsorted(c, [part[0], part[-1] + 1])
+            at = np.searchsorted(part, c[a:b])
+            real = part[at] == c[a:b]
+            bits = np.zeros((len(some), len(part)), np.float32)
+            bits[r[a:b][real], at[real]] = 1
+            bits[:, usual[part]] = 1 - bits[:, usual[part]]
+            common += bits @ bits.T
+        pair = np.ix_(some, some)
+        sure[pair] |= far[some][:, None] + far[some] - 2 * common.astype(np.int64) <= most[pair]
+    np.fill_diagonal(sure, False)
+    return sure
+
+
+def inner_links(links: DataFrame, classes: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """seq, n_links (to sets of the same class) of the sets of classes, which links connect.
+
+    A class all of whose pairs are in links is done. The sets of another one are dealt out in chunks; each pair
+    of chunks is counted whole, and no pair of sets is ever a row.
     """
+    ends = links.select(F.explode(F.array("a", "b")).alias("seq")).groupBy("seq").agg(F.count(F.lit(1)).alias("n_links"))
+    known = written(classes.join(ends, "seq").join(sets.select("seq", "n"), "seq"), "inner")
+    size = known.groupBy("class").agg(F.count(F.lit(1)).alias("size"), F.sum("n_links").alias("ends"), F.sum("n").alias("tokens"))
+    chunks = F.ceil(F.greatest(F.col("size") / CLASS_SETS, F.col("tokens") / CLASS_TOKENS)).cast("int")
+    open_ = written(size.where("ends < size * (size - 1)").select("class", chunks.alias("chunks")), "open")
+    todo = written(known.join(small_side(open_), "class").select("seq", "class", "chunks"), "members")
+
+    def count(group: pa.Table) -> pa.Table:
+        seq, chunk = (group.column(c).to_numpy() for c in ("seq", "chunk"))
+        yes = linked([unpacked(v.as_buffer()) for v in group.column("tokens")])
+        if (chunk != chunk[0]).any():  # pairs inside a chunk are counted where it stands alone
+            yes &= chunk[:, None] != chunk
+        return pa.table({"seq": pa.array(seq, pa.int64()), "n": pa.array(yes.sum(1), pa.int64())})
+
+    tokens = todo.join(full_sets(texts, todo.select("seq")), "seq").withColumn("chunk", F.pmod(F.xxhash64("seq"), F.col("chunks")).cast("int"))
+    dealt = tokens.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("seq", "chunk", "tokens", "class", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
+    counted = dealt.groupBy("class", "lo", "hi").applyInArrow(count, "seq long, n long").groupBy("seq").agg(F.sum("n").alias("n_links"))
+    return known.join(small_side(open_), "class", "left_anti").select("seq", "n_links").unionByName(counted)
+
+
+def set_classes(docs: DataFrame, id_col: str, text_col: str, count_links: bool) -> DataFrame:
+    """jaccard_classes, with or without the count of links."""
     texts = with_seq(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")), "seq")
     sets = written(described_sets(texts, frequency_levels(texts)), "shingles")
     keyed = sets.where("n > 0").select("id", "seq", F.struct("k1", "k2").alias("sha"), F.struct("n").alias("check"))
@@ -336,12 +406,18 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = groups.where("not kept").select("seq")
     single = sets.where("n > 0").join(small_side(copies), "seq", "left_anti")
 
-    links = links_of(star_pairs(single), sets, texts)
-    classes = components(links).withColumnsRenamed({"node": "seq", "root": "class"})
-    links = links.unionByName(links_of(list_pairs(list_postings(single, classes)), sets, texts))
+    stars = links_of(star_pairs(single), sets, texts)
+    classes = components(stars).withColumnsRenamed({"node": "seq", "root": "class"})
+    across = links_of(list_pairs(list_postings(single, classes)), sets, texts)
+    links = stars.unionByName(across)
     roots = components(links).withColumnsRenamed({"node": "keep_seq", "root": "root"})
-    degree = links.select(F.explode(F.array("a", "b")).alias("keep_seq")).groupBy("keep_seq").agg(F.count(F.lit(1)).alias("n_links"))
-    rooted = groups.where("kept").select(F.col("seq").alias("keep_seq"), "keep_id").join(roots, "keep_seq").join(degree, "keep_seq")
+    rooted = groups.where("kept").select(F.col("seq").alias("keep_seq"), "keep_id").join(roots, "keep_seq")
+    if count_links:
+        ends = across.select(F.explode(F.array("a", "b")).alias("seq"), F.lit(1).cast("long").alias("n_links"))
+        degree = ends.unionByName(inner_links(stars, classes, sets, texts)).groupBy(F.col("seq").alias("keep_seq")).agg(F.sum("n_links").alias("n_links"))
+        rooted = rooted.join(degree, "keep_seq")
+    else:
+        rooted = rooted.withColumn("n_links", F.lit(None).cast("long"))
     least = rooted.groupBy("root").agg(F.min("keep_id").alias("least_id"))
     named = written(rooted.join(least, "root").select("keep_seq", "root", "least_id", "n_links"), "classes")
     joined = groups.join(small_side(named), "keep_seq", "left").select("seq", F.coalesce("least_id", "keep_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("root", "keep_seq").alias("class_seq"), F.lit(True).alias("known"))
@@ -350,10 +426,21 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, seq, n_shingles, component_id (the smallest id in its class), n_links, class_seq.
+
+    n_links counts the other sets that a row's set links to; rows with equal sets count as one set. Null and
+    empty texts have no set and are alone in their class, as is a row that nothing links to; rows with equal
+    sets are one class. Null ids count as larger than any other; an id that is null or repeated may stand in
+    several classes, so component_id does not tell classes apart: class_seq does. Other columns are ignored; an empty table gives an empty result.
+    """
+    return set_classes(docs, id_col, text_col, True)
+
+
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class: the first row read whose id is the class's smallest (null last). Columns stay as they are."""
     seq = free_name(docs, "seq")
-    classes = jaccard_classes(docs, id_col, text_col)
+    classes = set_classes(docs, id_col, text_col, False)
     first = classes.groupBy("class_seq").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "seq")).alias("first"))
     kept = classes.select("seq").join(first.select(F.col("first.seq").alias("seq")), "seq", "left_anti")
     gone = written(kept.select(F.col("seq").alias(seq)), "near-copies")
