@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
-Candidate blocks are the lines of a text that mention licensing, with their neighbours where lines are
-short; long lines are cut into windows. Each block is compressed alone and with each license template as
-a zstandard raw dictionary; templates are ranked by the share of bytes saved. The best ones are confirmed
-by the exact word differences between the template and the block.
+Candidate blocks are the lines of a text that mention licensing, with their neighbours up to a blank line
+or the length of the longest template; long lines are cut into windows. Each block, without comment marks, is
+compressed alone and with each license template as a zstandard raw dictionary; templates are ranked by the
+share of bytes saved. All that save enough are confirmed by the exact word differences between the template
+and the block: versions and names must agree, holders and years are free.
 """
 
 from __future__ import annotations
@@ -51,28 +52,53 @@ TEMPLATES = {
 }
 _MENTION = re.compile(rb"licen[cs]|copyright|\xc2\xa9|permission|redistribut|rights reserved|creative commons|public domain", re.I)
 _WORD = re.compile(r"[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]")
-#: A block is at most so many bytes; mentions closer than GAP bytes share one.
-BLOCK_BYTES, BEFORE, AFTER, GAP = 1024, 160, 480, 160
-#: Ranked templates that save less of the block's or their own bytes than this are not compared in words.
+_MARK = rb"[ \t]*(?:(?:/\*+|\*+/?|//+|#+|--+|;+|%+|>+|<!--|\.\.|(?:dnl|rem)\b)[ \t]*)*"
+_MARKS = re.compile(rb"^" + _MARK, re.I | re.M)
+_BLANK = re.compile(rb"\n" + _MARK + rb"\r?(?=\n)", re.I)
+#: A block reaches so many bytes from a mention at least, and closes beyond BLOCK_BYTES; mentions closer than GAP bytes share one.
+BLOCK_BYTES, REACH, GAP = 1536, 480, 160
+#: Templates that save less of the block's or their own bytes than this are not compared in words.
 LEAST_SAVED = 0.25
-COMPARED = 4
-#: Share of a template's words that may differ.
+#: Share of a template's words that may differ, one word at least; words of _NAMES and versions never may.
 DIFFERENT = 0.1
+_NAMES = set("mit apache gnu gpl lgpl agpl lesser library affero creative commons cc by nc sa nd attribution sharealike noncommercial noderivatives zero cc0 bsd mozilla eclipse copyright rights reserved later not".split())
+_NAMES |= {f"by-{x}" for x in ("nc", "sa", "nd", "nc-sa", "nc-nd")} | {f"attribution-{x}" for x in ("noncommercial", "sharealike", "noderivatives", "noncommercial-sharealike", "noncommercial-noderivatives", "noncommercial-noderivs", "noderivs")}
+_YEAR = re.compile(r"(?:19|20)\d\d(?:-(?:19|20)?\d\d)?")
+_VERSION = re.compile(r"\d+(?:\.\d+)*\+?")
+#: Words that may come in anywhere, words that a holder's name may replace, and the most words of such a name.
+_FREE = {"the", "terms", "of", "c"}
+_HOLDER = {"the", "copyright", "holder", "author"}
+HOLDER_WORDS = 12
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Lower-case words; versions without a leading v and trailing zeros."""
+    return [re.sub(r"(?:\.0)+$", "", w.removeprefix("v")) if re.fullmatch(r"v?\d+(?:\.\d+)*", w) else w for w in _WORD.findall(text.lower())]
 
 
-def candidate_blocks(data: bytes) -> list[tuple[int, int]]:
-    """Byte spans around mentions, cut at line ends; a span that grows beyond BLOCK_BYTES is closed and the next one overlaps it."""
+def fixed(word: str) -> bool:
+    """Whether a word tells licenses apart."""
+    return word in _NAMES or bool(_VERSION.fullmatch(word) and not _YEAR.fullmatch(word))
+
+
+def candidate_blocks(data: bytes, reach: int = REACH) -> list[tuple[int, int]]:
+    """Byte spans around mentions, up to a blank line or the last line end within reach; a span that grows beyond the size of a block is closed and the next one overlaps it."""
     spans: list[list[int]] = []
+    most = max(BLOCK_BYTES, 3 * reach)
     for m in _MENTION.finditer(data):
-        line = data.rfind(b"\n", max(0, m.start() - BEFORE), m.start())
-        lo = line + 1 if line >= 0 else max(0, m.start() - BEFORE)
-        line = data.find(b"\n", m.end(), m.end() + AFTER)
-        hi = line if line >= 0 else min(len(data), m.end() + AFTER)
-        if spans and lo - spans[-1][1] < GAP and hi - spans[-1][0] <= BLOCK_BYTES:
+        low, high = max(0, m.start() - reach), min(len(data), m.end() + reach)
+        lo, hi = low, high
+        if low:
+            line = data.find(b"\n", low - 1, m.start())
+            lo = line + 1 if line >= 0 else low
+        for blank in _BLANK.finditer(data, max(0, lo - 1), m.start() + 1):
+            lo = blank.end() + 1
+        if high < len(data):
+            line = data.rfind(b"\n", m.end(), high)
+            hi = line if line >= 0 else high
+        blank = _BLANK.search(data, m.end(), min(len(data), hi + 1))
+        hi = blank.start() if blank else hi
+        if spans and lo - spans[-1][1] < GAP and hi - spans[-1][0] <= most:
             spans[-1][1] = max(spans[-1][1], hi)
         elif not spans or hi > spans[-1][1]:
             spans.append([lo, hi])
@@ -84,6 +110,10 @@ class Scanner:
         parameters = zstandard.ZstdCompressionParameters.from_level(19, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, min_match=3, window_log=17)
         self.plain = zstandard.ZstdCompressor(compression_params=parameters)
         self.templates = [(name, text, words(text), zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=parameters)) for name, texts in (templates or TEMPLATES).items() for text in texts]
+        self.reach = max([REACH, *(len(t[1].encode()) * 3 // 2 for t in self.templates)])
+
+    def blocks(self, data: bytes) -> list[tuple[int, int]]:
+        return candidate_blocks(data, self.reach)
 
     def ranked(self, block: bytes) -> list[tuple[float, int]]:
         """(share of the smaller of block and template that is saved, template), best first."""
@@ -91,26 +121,38 @@ class Scanner:
         saved = [(alone - len(t[3].compress(block))) / max(8, min(alone, len(t[1]))) for t in self.templates]
         return sorted(((s, i) for i, s in enumerate(saved) if s >= LEAST_SAVED), key=lambda x: (-x[0], x[1]))
 
-    def differences(self, template: int, block_words: list[str]) -> tuple[int, list[str]]:
-        """Words of the template that the block lacks or has other words for, and words put among them."""
+    def differences(self, template: int, block_words: list[str]) -> tuple[int, list[str]] | None:
+        """Words of the template that the block lacks or has other words for, and words put among them; None if those tell the licenses apart."""
         want = self.templates[template][2]
-        ops = SequenceMatcher(None, want, block_words, autojunk=False).get_opcodes()
+        core = SequenceMatcher(None, want, block_words, autojunk=False).find_longest_match()
+        if not core.size:
+            return None
+        # the stretch of the block that can hold the template
+        first = max(0, core.b - core.a - HOLDER_WORDS)
+        got = block_words[first : core.b + len(want) - core.a + HOLDER_WORDS]
+        ops = SequenceMatcher(None, want, got, autojunk=False).get_opcodes()
         same = [k for k, o in enumerate(ops) if o[0] == "equal"]
-        if not same:
-            return len(want), want
         diffs = []
         for k, (kind, a, b, c, d) in enumerate(ops):
+            if kind == "equal":
+                continue
             inside = same[0] <= k <= same[-1]
-            if kind in ("delete", "replace"):
-                diffs += [f"-{w}" for w in want[a:b]]
-            if kind in ("insert", "replace") and inside:
-                diffs += [f"+{w}" for w in block_words[c:d]]
+            lost, new = want[a:b], got[c:d] if inside else []
+            named = inside and len(new) <= HOLDER_WORDS and (set(lost) <= _HOLDER if lost else a > 0 and want[a - 1] == "copyright")
+            if named and "not" not in new:
+                continue
+            if any(map(fixed, lost + new)):
+                return None
+            diffs += [f"-{w}" for w in lost] + [f"+{w}" for w in new if w not in _FREE and not _YEAR.fullmatch(w)]
+        after = got[ops[same[-1]][4] :][:8]
+        if "later" not in want and "or" in after[:2] and "later" in after:
+            return None
         return len(diffs), diffs
 
     def scan(self, data: bytes) -> list[dict]:
         """Findings of a whole text: license, byte span, share saved, differing words; of a span and license the best."""
         best: dict[tuple, dict] = {}
-        for lo, hi in candidate_blocks(data):
+        for lo, hi in self.blocks(data):
             block = data[lo:hi]
             if block.count(b"\n"):  # each line is also a block of its own
                 at, pieces = lo, [(lo, hi)]
@@ -121,11 +163,12 @@ class Scanner:
             else:
                 pieces = [(lo, hi)]
             for a, b in pieces:
-                raw = data[a:b]
+                raw = b" ".join(_MARKS.sub(b"", data[a:b]).split())
                 got = words(raw.decode("utf-8", "replace"))
-                for share, i in self.ranked(raw)[:COMPARED]:
-                    n, diffs = self.differences(i, got)
-                    if n <= DIFFERENT * len(self.templates[i][2]):
+                for share, i in self.ranked(raw):
+                    compared = self.differences(i, got)
+                    if compared and compared[0] <= max(1, DIFFERENT * len(self.templates[i][2])):
+                        n, diffs = compared
                         found = {"license": self.templates[i][0], "start": a, "end": b, "saved": round(share, 4), "differing": n, "words": diffs}
                         key = (found["license"], lo)
                         if key not in best or (n, b - a) < (best[key]["differing"], best[key]["end"] - best[key]["start"]):
@@ -149,7 +192,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             blocks, found = [], []
             for data in byte_values(batch.column(1)):
-                blocks.append(len(candidate_blocks(data)))
+                blocks.append(len(scanner.blocks(data)))
                 found.append(scanner.scan(data) if blocks[-1] else [])
             names = [sorted({f["license"] for f in x}) for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blocks, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(found, kind)], [id_col, "n_blocks", "licenses", "findings"])
