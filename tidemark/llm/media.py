@@ -40,6 +40,11 @@ def pad(data: bytes, to: int = 64) -> bytes:
     return data + bytes(-len(data) % to if data else to)
 
 
+def framed(samples: int) -> int:
+    """Frames of a payload: a hop of silence or more follows the last sample, so that no sample is left out."""
+    return max(1, -(-samples // HOP) + 2 - FRAME // HOP)
+
+
 def to_wav(payload: bytes) -> bytes:
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
@@ -64,11 +69,10 @@ def band_maxima(samples: np.ndarray, first: int, last: int) -> tuple[np.ndarray,
 
 
 def peaks(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(frame, bin) of the peaks in time order; payloads under one frame are padded with silence (128)."""
+    """(frame, bin) of the peaks in time order; payloads are padded with silence (128) to whole frames."""
     samples = np.frombuffer(payload, np.uint8)
-    if len(samples) < FRAME:
-        samples = np.concatenate((samples, np.full(FRAME - len(samples), 128, np.uint8)))
-    n = 1 + (len(samples) - FRAME) // HOP
+    n = framed(len(samples))
+    samples = np.concatenate((samples, np.full((n - 1) * HOP + FRAME - len(samples), 128, np.uint8)))
     parts = [band_maxima(samples, k, min(k + BLOCK, n)) for k in range(0, n, BLOCK)]
     bins, power = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
     around = np.pad(power, ((2, 2), (0, 0)))
@@ -99,7 +103,7 @@ def _described(data: bytes) -> tuple:
     payload = from_wav(media)
     time, code = fingerprint(payload)
     digest = hashlib.sha256(time.astype("<i4").tobytes() + code.astype("<i4").tobytes()).hexdigest()
-    feature = f"{1 + max(0, len(payload) - FRAME) // HOP}:{len(time)}:{digest}"
+    feature = f"{framed(len(payload))}:{len(time)}:{digest}"
     return len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, time, code
 
 
