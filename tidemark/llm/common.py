@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-#: Ids are broadcast up to this many (8 bytes each); beyond it Spark joins by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Tables of ids, with a few numbers each, are broadcast up to this many rows (some 50 MB at most); beyond it Spark joins by shuffle.
+BROADCAST_IDS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share; a local session that names none gets one, a cluster an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='spark-tidemark-')}"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -52,10 +53,15 @@ def small_side(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
 
 
 def with_seq(df: DataFrame, name: str) -> DataFrame:
-    """Add a row number that is the same each time the same files are read."""
+    """Add a row number. It is drawn anew whenever df is computed: use the result in one job, or see numbered."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a row number, written once: each later read sees the same numbers, whatever shuffles made df."""
+    return written(with_seq(df, name), "rows")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, free_name, small_side, with_seq, written
+from .common import SPACE, free_name, numbered, small_side, with_seq, written
 
 FAN_IN = 16
 
@@ -20,12 +20,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, seq, sha (32 bytes), check (an independent fingerprint: length and 64-bit hash) of each row."""
-    norm = normalised(F.col("text"))
+def digests(rows: DataFrame) -> DataFrame:
+    """id, seq, sha (32 bytes), check (an independent fingerprint: length and 64-bit hash) of each row of (id, seq, text)."""
     return (
-        with_seq(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "seq")
-        .select("id", "seq", norm.alias("norm"))
+        rows.select("id", "seq", normalised(F.col("text")).alias("norm"))
         .select("id", "seq", F.unhex(F.sha2("norm", 256)).alias("sha"), F.struct(F.length("norm").alias("n"), F.xxhash64("norm").alias("h")).alias("check"))
     )
 
@@ -67,11 +65,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     as empty. The row with the smallest id stays (a null id counts as larger than any other; among
     repeated ids the first row read). An empty table gives an empty result; other columns are ignored.
     """
-    return tree_groups(written(digests(docs, id_col, text_col), "digests")).withColumn("sha", F.lower(F.hex("sha")))
+    rows = with_seq(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "seq")
+    return tree_groups(written(digests(rows), "digests")).withColumn("sha", F.lower(F.hex("sha")))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text a kept row has; all columns stay as they are."""
+    """docs without the rows whose text a kept row has; all columns stay as they are.
+
+    docs is written once with its row numbers, so that a shuffled or recomputed input can't number them anew.
+    """
     seq = free_name(docs, "seq")
-    gone = written(exact_groups(docs, id_col, text_col).where("not kept").select(F.col("seq").alias(seq)), "copies")
-    return with_seq(docs, seq).join(small_side(gone), seq, "left_anti").drop(seq)
+    rows = numbered(docs, seq)
+    marked = digests(rows.select(F.col(id_col).alias("id"), F.col(seq).alias("seq"), F.col(text_col).alias("text")))
+    gone = written(tree_groups(written(marked, "digests")).where("not kept").select(F.col("seq").alias(seq)), "copies")
+    return rows.join(small_side(gone), seq, "left_anti").drop(seq)
