@@ -17,13 +17,14 @@ by the symmetric difference of those differences, and sizes alone settle the pai
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, byte_values, free_name, mix64, small_side, with_seq, written
+from .common import Words, blocks, byte_values, free_name, mix64, numbered, small_side, written
 from .exact_dedup import tree_groups
 
 WORDS = 5
@@ -34,10 +35,18 @@ SLOTS = 1 << 21
 _SLOT = np.uint64(64 - 21)
 #: Minimum hashes by which a set finds leaders.
 STARS = 12
+#: Turns in which sets look for leaders before the index lists are built.
+TURNS = 2
 #: Slots of the shortest sketch, which the index lists carry.
 SHORTEST = 512
 #: A list longer than this is dealt out in chunks, each pair of chunks a piece of work of its own.
 CHUNK = 20_000
+#: Sets of neighbouring lists that are looked at together.
+DEAL = 40_000
+#: Pairs that a task holds at most before it sends them on.
+HELD_PAIRS = 1_000_000
+#: Lists with several classes are broadcast up to this many (a token and a number each, some 80 MB), else joined by shuffle.
+BROADCAST_LISTS = 1_000_000
 #: Sets and tokens of a chunk of a class when the links inside it are counted, and columns counted at once.
 CLASS_SETS, CLASS_TOKENS, COLUMNS = 512, 1 << 19, 2048
 
@@ -68,7 +77,7 @@ def frequency_levels(texts: DataFrame) -> np.ndarray:
     Any level gives a valid order, so the sketch decides only how short the lists are.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for hashes, _, _ in shingle_blocks(byte_values(batch.column(0))):
@@ -79,7 +88,7 @@ def frequency_levels(texts: DataFrame) -> np.ndarray:
             part = slot[k : k + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())], ["slot", "n"])
 
-    sums = texts.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    sums = texts.select("text").mapInArrow(slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     levels = np.zeros(SLOTS, np.uint8)
     n = sums.column("n").to_numpy()
     levels[sums.column("slot").to_numpy()] = np.minimum(1 + 2 * np.log2(np.maximum(n, 1)), 120).astype(np.uint8)
@@ -230,17 +239,21 @@ def links_of(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root of every node of the edges (a, b); root is the same for all nodes that edges connect.
 
-    Each round every node moves to its smallest neighbour and edges follow, until none is left; a round
-    at least halves a component's nodes. Hot nodes are pre-aggregated, and joins on them are split by AQE.
+    Each round every node moves to its least neighbour and edges follow, until none is left. Even rounds order
+    nodes by id, which ends a star at once; odd rounds by a hash of their own, by which a chain, however its
+    ids lie, loses a share of its nodes: the rounds are logarithmic in a component's length. Hot nodes are
+    pre-aggregated, and joins on them are split by AQE.
     """
     edges = edges.select("a", "b").where("a != b").distinct()
     labels = None
-    while True:
+    for r in count():
         edges = written(edges, "edges")
         if edges.isEmpty():
             break
+        place = lambda c: F.xxhash64(F.lit(r), c) if r % 2 else F.col(c)  # noqa: B023, E731
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")))).alias("e")).select("e.*")
-        moves = written(ends.groupBy("node").agg(F.min("to").alias("least")).select("node", F.least("node", "least").alias("root")), "moves")
+        nearest = ends.groupBy("node").agg(F.min(F.struct(place("to").alias("at"), "to")).alias("least"))
+        moves = written(nearest.select("node", F.least(F.struct(place("node").alias("at"), F.col("node").alias("to")), "least")["to"].alias("root")), "moves")
         if labels is None:
             labels = moves
         else:
@@ -251,37 +264,77 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def star_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs (leader, set) of sets that share a minimum hash.
+def shared_stars(sets: DataFrame) -> DataFrame:
+    """seq, n, star of the minimum hashes that several sets have, with rank: how many share a set's hashes, negated."""
+    each = sets.select("seq", "n", F.explode("stars").alias("star"))
+    sizes = written(each.groupBy("star").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "star-sizes")
+    each = written(each.join(small_side(sizes), "star"), "stars")
+    ranks = written(each.groupBy("seq").agg((-F.sum("size")).alias("rank")), "star-ranks")
+    return written(each.join(small_side(ranks), "seq").select("seq", "n", "star", "rank"), "ranked-stars")
+
 
-    The leader of a hash is the set whose own hashes the most sets share: among near copies, one that few
-    edits have touched.
+def star_pairs(each: DataFrame, classes: DataFrame | None, turn: int) -> DataFrame:
+    """Pairs (leader, set) of sets of different classes that share a minimum hash, at most one for each hash of a set.
+
+    The first leader of a hash is the set whose own hashes the most sets share: among near copies, one that few
+    edits have touched. In later turns any set may lead, by a hash of its own for the turn.
     """
-    each = sets.select("seq", "n", F.explode("stars").alias("star"))
-    each = each.join(each.groupBy("star").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "star")
-    each = each.join(each.groupBy("seq").agg((-F.sum("size")).alias("rank")), "seq")
-    lead = each.groupBy("star").agg(F.min(F.struct("rank", "seq", "n")).alias("lead"))
-    pairs = each.join(lead, "star").where((F.col("lead.seq") != F.col("seq")) & (F.least("lead.n", "n") * 100 >= F.greatest("lead.n", "n") * PERCENT))
+    if classes is None:
+        each = each.withColumn("class", F.col("seq"))
+    else:
+        each = each.join(small_side(classes), "seq", "left").withColumn("class", F.coalesce("class", "seq"))
+        live = each.groupBy("star").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi")
+        each = written(each.join(small_side(written(live.select("star"), "live-stars")), "star"), "open-stars")
+    place = F.xxhash64(F.lit(turn), "seq") if turn else F.col("rank")
+    lead = each.groupBy("star").agg(F.min(F.struct(place.alias("at"), "seq", "n", "class")).alias("lead"))
+    pairs = each.join(small_side(written(lead, "leaders")), "star")
+    pairs = pairs.where((F.col("lead.class") != F.col("class")) & (F.least("lead.n", "n") * 100 >= F.greatest("lead.n", "n") * PERCENT))
     return pairs.select(F.col("lead.seq").alias("a"), F.col("seq").alias("b")).distinct()
 
 
+def star_links(single: DataFrame, sets: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of sets to leaders, and the classes (seq, class) that they make, in TURNS turns or until one finds none.
+
+    Each turn costs at most STARS pairs for each set that shares a hash with another class. What the turns do
+    not link is left to the index lists: they only decide how few classes those have to compare.
+    """
+    each = shared_stars(single)
+    links = classes = None
+    for turn in range(TURNS):
+        found = links_of(star_pairs(each, classes, turn), sets, texts)
+        if links is not None and found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        classes = written(components(links).withColumnsRenamed({"node": "seq", "root": "class"}), "star-classes")
+    return links.select("a", "b"), classes
+
+
 def list_postings(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """The index lists (token -> sets) that have sets of several classes, with what list_pairs needs."""
-    each = sets.select("seq", "n", "prefix", "short").join(small_side(classes), "seq", "left")
-    each = each.select("seq", "n", "short", F.coalesce("class", "seq").alias("class"), F.posexplode("prefix").alias("pos", "token"))
-    lists = each.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi")
-    live = written(lists.select("token", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "lists")
-    found = each.join(small_side(live), "token").withColumn("chunk", F.pmod(F.xxhash64("seq"), F.col("chunks")).cast("int"))
+    """The index lists (token -> sets) that have sets of several classes, with what list_pairs needs.
+
+    Lists are found and picked with narrow rows; sizes, classes and sketches join what is left of them. Lists with
+    the same smallest class are dealt out together, about DEAL sets at most, so that pairs which share many tokens
+    meet in one place; each chunk of a very long list is dealt out by itself.
+    """
+    named = sets.join(small_side(classes), "seq", "left").withColumn("class", F.coalesce("class", "seq"))
+    lists = named.select("class", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi")
+    lists = written(lists.select("token", "lo", "size", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "lists")
+    large = lists.where("chunks = 1").groupBy("lo").agg(F.ceil(F.sum("size") / DEAL).alias("splits")).where("splits > 1")
+    lists = lists.join(small_side(written(large, "splits")), "lo", "left")
+    live = lists.select("token", "chunks", F.xxhash64("lo", F.pmod(F.xxhash64("token"), F.coalesce("splits", F.lit(1).cast("long")))).alias("deal"))
+    narrow = sets.select("seq", F.posexplode("prefix").alias("pos", "token")).join(small_side(written(live, "live-lists"), BROADCAST_LISTS), "token")
+    found = narrow.join(named.select("seq", "n", "short", "class"), "seq").withColumn("chunk", F.pmod(F.xxhash64("seq"), F.col("chunks")).cast("int"))
     found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     part = F.least("chunk", "other") * 100_000 + F.greatest("chunk", "other")
-    return found.withColumn("part", part).withColumn("whole", F.col("chunk") == F.col("other"))
+    found = found.withColumn("part", part).withColumn("whole", F.col("chunk") == F.col("other"))
+    return found.withColumn("deal", F.when(F.col("chunks") > 1, F.xxhash64("token", "part")).otherwise(F.col("deal")))
 
 
 def list_pairs(postings: DataFrame) -> DataFrame:
     """Candidate pairs from index lists: classes differ, and sizes, positions and sketches allow a link.
 
     Lists stream through in order of size and position; of a list only the sets that are large enough for
-    the current one are looked at.
+    the current one are looked at. A pair that several lists of a deal have is sent once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,17 +345,22 @@ def list_pairs(postings: DataFrame) -> DataFrame:
             x["short"] = np.frombuffer(flat, np.uint64).reshape(-1, SHORTEST // 64)
             if rest is not None:
                 x = {c: np.concatenate((rest[c], x[c])) for c in names}
-            last = (x["token"] == x["token"][-1]) & (x["part"] == x["part"][-1])
+            last = x["deal"] == x["deal"][-1]
             cut = len(last) - int(last[::-1].argmin()) if not last.all() else 0
             rest = {c: v[cut:] for c, v in x.items()}
             yield from pairs({c: v[:cut] for c, v in x.items()})
         if rest is not None:
             yield from pairs(rest)
 
+    def different(found: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.unique(np.concatenate(found, 1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
     def pairs(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         room = x["n"] - x["pos"]  # tokens that a set and one not before its position can have in common
         left = np.flatnonzero(room >= least_overlap(x["n"], x["n"]))
-        step = 0
+        step = held = 0
+        found: list[np.ndarray] = []
         while len(left):
             step += 1
             left = left[left + step < len(x["n"])]
@@ -317,10 +375,16 @@ def list_pairs(postings: DataFrame) -> DataFrame:
             good = apart <= n[good] + m[good] - 2 * least_overlap(n[good], m[good])
             if good.any():
                 a, b = x["seq"][i[good]], x["seq"][j[good]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    names = ["token", "part", "n", "pos", "seq", "class", "chunk", "whole", "short"]
-    dealt = postings.repartition("token", "part").sortWithinPartitions("token", "part", "n", "pos").select(*names)
+                found.append(np.stack((np.minimum(a, b), np.maximum(a, b))))
+                held += len(a)
+            if held > HELD_PAIRS:
+                yield different(found)
+                found, held = [], 0
+        if found:
+            yield different(found)
+
+    names = ["deal", "token", "part", "n", "pos", "seq", "class", "chunk", "whole", "short"]
+    dealt = postings.repartition("deal").sortWithinPartitions("deal", "token", "part", "n", "pos").select(*names)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -383,7 +447,7 @@ def inner_links(links: DataFrame, classes: DataFrame, sets: DataFrame, texts: Da
     open_ = written(size.where("ends < size * (size - 1)").select("class", chunks.alias("chunks")), "open")
     todo = written(known.join(small_side(open_), "class").select("seq", "class", "chunks"), "members")
 
-    def count(group: pa.Table) -> pa.Table:
+    def counted_links(group: pa.Table) -> pa.Table:
         seq, chunk = (group.column(c).to_numpy() for c in ("seq", "chunk"))
         yes = linked([unpacked(v.as_buffer()) for v in group.column("tokens")])
         if (chunk != chunk[0]).any():  # pairs inside a chunk are counted where it stands alone
@@ -393,23 +457,21 @@ def inner_links(links: DataFrame, classes: DataFrame, sets: DataFrame, texts: Da
     tokens = todo.join(full_sets(texts, todo.select("seq")), "seq").withColumn("chunk", F.pmod(F.xxhash64("seq"), F.col("chunks")).cast("int"))
     dealt = tokens.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("seq", "chunk", "tokens", "class", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
-    counted = dealt.groupBy("class", "lo", "hi").applyInArrow(count, "seq long, n long").groupBy("seq").agg(F.sum("n").alias("n_links"))
+    counted = dealt.groupBy("class", "lo", "hi").applyInArrow(counted_links, "seq long, n long").groupBy("seq").agg(F.sum("n").alias("n_links"))
     return known.join(small_side(open_), "class", "left_anti").select("seq", "n_links").unionByName(counted)
 
 
-def set_classes(docs: DataFrame, id_col: str, text_col: str, count_links: bool) -> DataFrame:
-    """jaccard_classes, with or without the count of links."""
-    texts = with_seq(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")), "seq")
+def set_classes(texts: DataFrame, count_links: bool) -> DataFrame:
+    """jaccard_classes of a written table (id, seq, text), with or without the count of links."""
     sets = written(described_sets(texts, frequency_levels(texts)), "shingles")
     keyed = sets.where("n > 0").select("id", "seq", F.struct("k1", "k2").alias("sha"), F.struct("n").alias("check"))
     groups = written(tree_groups(keyed).select("seq", "id", "keep_id", "keep_seq", "kept"), "equal")
     copies = groups.where("not kept").select("seq")
     single = sets.where("n > 0").join(small_side(copies), "seq", "left_anti")
 
-    stars = links_of(star_pairs(single), sets, texts)
-    classes = components(stars).withColumnsRenamed({"node": "seq", "root": "class"})
+    stars, classes = star_links(single, sets, texts)
     across = links_of(list_pairs(list_postings(single, classes)), sets, texts)
-    links = stars.unionByName(across)
+    links = stars.unionByName(across.select("a", "b"))
     roots = components(links).withColumnsRenamed({"node": "keep_seq", "root": "root"})
     rooted = groups.where("kept").select(F.col("seq").alias("keep_seq"), "keep_id").join(roots, "keep_seq")
     if count_links:
@@ -434,14 +496,16 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets are one class. Null ids count as larger than any other; an id that is null or repeated may stand in
     several classes, so component_id does not tell classes apart: class_seq does. Other columns are ignored; an empty table gives an empty result.
     """
-    return set_classes(docs, id_col, text_col, True)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    return set_classes(numbered(rows, "seq"), True)
 
 
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class: the first row read whose id is the class's smallest (null last). Columns stay as they are."""
     seq = free_name(docs, "seq")
-    classes = set_classes(docs, id_col, text_col, False)
+    rows = numbered(docs, seq)
+    classes = set_classes(rows.select(F.col(id_col).alias("id"), F.col(seq).alias("seq"), F.col(text_col).cast("binary").alias("text")), False)
     first = classes.groupBy("class_seq").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "seq")).alias("first"))
     kept = classes.select("seq").join(first.select(F.col("first.seq").alias("seq")), "seq", "left_anti")
     gone = written(kept.select(F.col("seq").alias(seq)), "near-copies")
-    return with_seq(docs, seq).join(small_side(gone), seq, "left_anti").drop(seq)
+    return rows.join(small_side(gone), seq, "left_anti").drop(seq)
