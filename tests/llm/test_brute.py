@@ -15,7 +15,7 @@ from tidemark.llm.exact_dedup import exact_groups
 from tidemark.llm.jaccard_join import jaccard_classes
 from tidemark.llm.licenses import TEMPLATES, Scanner
 from tidemark.llm.media import from_wav, pad, to_wav
-from tidemark.llm.pieces import decode, load, sample_block
+from tidemark.llm.pieces import Lattices, best_block, decode, decode_ids, encode_texts, load, sample_block
 from tidemark.llm.url_filter import Rule, filter_urls
 
 
@@ -200,10 +200,65 @@ def test_suffix_tree_sums_to_one(spark):
             assert math.isclose(tree._mixed(1, np.full(len(every), pair), every, near).sum(), 1, rel_tol=1e-9)
 
 
+def segmentations(vocabulary, unit):
+    """Every segmentation of a unit, as ids, with its weight: pieces by rank, bytes where a character has no piece."""
+    pieces = {unit_text.replace(" ", "▁"): i for i, unit_text in enumerate(contents(vocabulary)) if unit_text}
+    least = min(i for i in pieces.values() if i not in set(vocabulary.byte_ids))
+
+    def rest(at):
+        if at == len(unit):
+            yield (), 1.0
+        for k in range(1, min(vocabulary.longest, len(unit) - at) + 1):
+            i = pieces.get(unit[at : at + k])
+            if i is not None and i not in set(vocabulary.byte_ids.tolist()):
+                head, w = (i,), 1 / (i - least + 10.0)
+            elif k == 1:
+                raw = unit[at].encode()
+                head, w = tuple(vocabulary.byte_ids[b] for b in raw), (1 / (len(vocabulary.width) + 10.0)) ** len(raw)
+            else:
+                continue
+            for tail, x in rest(at + k):
+                yield head + tail, w * x
+
+    return dict(rest(0))
+
+
+def contents(vocabulary):
+    return [vocabulary.flat[a : a + n].tobytes().decode("utf-8", "replace") for a, n in zip(vocabulary.start, vocabulary.width, strict=True)]
+
+
+def test_lattices_against_all_segmentations():
+    """Chances of sampled paths, and the best one, for texts with long pieces, runs, bytes, and words beyond a unit."""
+    vocabulary = load(public_tokenizers.path("piece_bpe_32k.model"))
+    sampling, search = Lattices(vocabulary), Lattices(vocabulary, search=True)
+    for text in ["international", "a  b", "é😀x", "zz\nqq", "xxxxxxxxxx", "----------", "the theatre"]:
+        every = segmentations(vocabulary, ("▁" + text.replace(" ", "▁")))
+        total = sum(every.values())
+        assert best_block(search, [text])[0].tolist() == list(max(every, key=every.get))
+        got = sample_block(sampling, [text] * 300, mix64(np.arange(300, dtype=np.uint64)), 4)
+        seen = {tuple(x[0].tolist()): x[1] for s in got for x in s}
+        assert len(seen) > 1
+        for path, log_p in seen.items():
+            assert math.isclose(log_p, math.log(every[path] / total), abs_tol=1e-4)
+    # a long unit is cut only where no piece reaches across, and its chances are those of the whole
+    long = "a" + "qzé" * 9 + "x" * 4
+    parts = vocabulary.parts("▁" + long)
+    assert "".join(parts) == "▁" + long and len(parts) > 3
+    pieces = {p.replace(" ", "▁") for p in contents(vocabulary)}
+    at = 0
+    for p in parts[:-1]:
+        at += len(p)
+        assert not any(("▁" + long)[i:j] in pieces for i in range(max(0, at - 16), at) for j in range(at + 1, at + 17))
+    # a run in which every place is inside a piece, far beyond what doubles hold without scaling
+    run = "x" * 3000
+    [[(ids, log_p, _)]] = sample_block(sampling, [run], np.array([5], np.uint64), 1)
+    assert decode(vocabulary, ids) == run.encode() and -6000 < log_p < 0
+
+
 def test_pieces_distribution():
     vocabulary = load(public_tokenizers.path("piece_bpe_32k.model"))
     n, text = 4000, "cats"
-    got = sample_block(vocabulary, [text] * n, mix64(np.arange(n, dtype=np.uint64) + np.uint64(9)), 3)
+    got = sample_block(Lattices(vocabulary), [text] * n, mix64(np.arange(n, dtype=np.uint64) + np.uint64(9)), 3)
     chance = {tuple(x[0]): math.exp(x[1]) for s in got for x in s}
     first, second = (Counter(tuple(s[k][0]) for s in got) for k in (0, 1))
     for path, p in chance.items():
@@ -214,12 +269,33 @@ def test_pieces_distribution():
     assert abs(np.mean([sum(math.exp(x[1]) / x[2] for x in s) for s in got]) - 1) < 0.02
 
 
+def test_samples_depend_on_key_and_text_only():
+    vocabulary = load(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["one two three", "four five", "six seven eight nine", "one five nine"]
+    keys = mix64(np.arange(4, dtype=np.uint64))
+    together = sample_block(Lattices(vocabulary), texts, keys, 3)
+    lattices = Lattices(vocabulary)
+    for i in (3, 1, 0, 2):
+        [alone] = sample_block(lattices, [texts[i]], keys[i : i + 1], 3)
+        assert [x[0].tolist() for x in alone] == [x[0].tolist() for x in together[i]]
+
+
 def test_pieces_round_trip(spark, sf):
     got = q.op5_sentencepiece(spark, sf).collect()
     assert all(r["exact"] for r in got)
     vocabulary = load(q.PIECES)
     texts = dict(rows(spark, sf, "documents", "doc_id", "text"))
-    assert all(decode(vocabulary, r["ids"]) == texts[r["doc_id"]] for r in got[:50])
+    assert all(decode(vocabulary, np.array(r["ids"])) == texts[r["doc_id"]].encode() for r in got[:50])
+
+
+def test_encode_and_decode(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    some = df.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, " ▁ \x00 é😀 " + "x" * 40)], "doc_id long, text string"))
+    out = decode_ids(encode_texts(some, q.PIECES), q.PIECES).collect()
+    assert len(out) == some.count() and all(r["decoded"] == r["text"] for r in out)
+    assert {r["doc_id"]: r["ids"] for r in out}[-1] is None
+    assert encode_texts(some.where("false"), q.PIECES).count() == 0
+    assert decode_ids(spark.createDataFrame([([None, -5, 10**6],), ([],)], "ids array<int>"), q.PIECES).where("decoded = ''").count() == 2
 
 
 def test_toxicity_held_out(spark):

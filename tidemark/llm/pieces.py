@@ -6,8 +6,11 @@ are drawn by Gumbel top-k: each node of the search holds the largest perturbed l
 paths below it. The search always opens the node with the largest bound; its best child inherits the
 bound and the other children share a truncated one, so a first path comes straight from the lattice and
 each further path leaves an earlier one where the largest remaining bound is. The k+1-th bound gives the
-inclusion scores. Units of text (a word with the spaces before it) are cut by the lattice independently,
-so all units of a block of texts are handled at once in arrays.
+inclusion scores. Texts are units (a word with the spaces before it), and long units are cut where no piece
+of the vocabulary reaches across; so each unit has a lattice of its own, which a worker keeps for the texts
+that follow, and all units of a block of texts are handled at once in arrays.
+
+encode_texts gives the most probable segmentation of the same lattice, decode_ids the text of ids.
 """
 
 from __future__ import annotations
@@ -17,28 +20,34 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import byte_values, mix64, powers
+from .common import byte_values, free_name, mix64, powers
 
 SPACE = "▁"
-#: Longest piece used; units are cut every UNIT characters, so that a text without spaces is many units.
-LONGEST = 12
+#: Units of more characters are cut where no piece reaches across.
 UNIT = 24
 #: A piece's weight is exp(-SCALE * ln(rank + SHIFT)): Zipf's law over the vocabulary's order, sharpened.
 SCALE, SHIFT = 1.0, 10.0
-#: Weights are multiplied by this for each byte of text: all paths of a unit alike, and none is too small for a double.
+#: Weights are multiplied by this for each byte of text, all paths of a unit alike, which keeps sums near one.
 GAIN = 8000.0
 BLOCK = 1 << 20
+#: Positions of units that a worker keeps lattices of (some 60 bytes each) before it starts afresh.
+KEPT = 3 << 19
+#: Units whose lattices are built at once.
+TOGETHER = 4096
 _BASE = 0xC2B2AE3D27D4EB4F | 1
 _INV = pow(_BASE, -1, 1 << 64)
-_U = re.compile(f"{SPACE}+[^{SPACE}\n]{{0,{UNIT}}}|[^{SPACE}\n]{{1,{UNIT}}}|\n")
+_U = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _code_points(s: str) -> np.ndarray:
@@ -47,10 +56,11 @@ def _code_points(s: str) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """Pieces of a model file: a hash table of the pieces and their beginnings, byte ids, and each id's bytes.
+    """Pieces of a model file: a hash table of the pieces and their beginnings, byte ids, and each id's bytes (flat from start, width of them).
 
     slots holds, for the low bits of a hash, the first entry to compare (probes on the next slots follow);
     an entry has the hash, the piece's id (-1: only the beginning of pieces) and its weight.
+    longest: characters of the longest piece.
     """
 
     slots: np.ndarray
@@ -58,7 +68,10 @@ class Vocabulary:
     ids: np.ndarray
     weights: np.ndarray
     byte_ids: np.ndarray
-    content: list[bytes]
+    flat: np.ndarray
+    start: np.ndarray
+    width: np.ndarray
+    longest: int
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The entry of each hash, -1 where there is none."""
@@ -76,6 +89,33 @@ class Vocabulary:
             probe += 1
         return out
 
+    def edges(self, chars: np.ndarray, to_end: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, entry) of every piece that stands in the text, shorter ones first, and where those of each
+        length begin; to_end: characters left in each position's unit. Positions with bare set have none."""
+        n = len(chars)
+        up, down = powers(_BASE, n), powers(_INV, n)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(chars.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)))
+        at, found = np.flatnonzero(~bare), []
+        for k in range(1, self.longest + 1):
+            at = at[to_end[at] >= k]
+            entry = self.find((sums[at + k] - sums[at]) * down[at])
+            at, entry = at[entry >= 0], entry[entry >= 0]  # longer pieces begin where a beginning was found
+            real = self.ids[entry] >= 0
+            found.append((at[real], entry[real]))
+        return *(np.concatenate(x) for x in zip(*found, strict=True)), np.cumsum([0, *(len(x[0]) for x in found)])
+
+    def parts(self, unit: str) -> list[str]:
+        """The unit cut wherever no piece reaches across: its segmentations are those of the parts, side by side."""
+        chars = _code_points(unit)
+        n = len(chars)
+        pos, _, begin = self.edges(chars, n - np.arange(n), np.zeros(n, bool))
+        k = np.repeat(np.arange(1, self.longest + 1), np.diff(begin))
+        across = np.zeros(n + 1, np.int64)
+        np.add.at(across, pos + 1, 1)
+        np.add.at(across, pos + k, -1)
+        cuts = np.flatnonzero(np.cumsum(across)[:n] == 0)
+        return [unit[a:b] for a, b in zip(cuts, [*cuts[1:], n], strict=True)]
+
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Vocabulary:
@@ -90,15 +130,15 @@ def load(path: str) -> Vocabulary:
             content[i] = bytes([int(piece[3:-1], 16)])
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
             content[i] = piece.replace(SPACE, " ").encode()
-            if len(piece) <= LONGEST:
-                found[piece] = i
-                for k in range(1, len(piece)):
-                    found.setdefault(piece[:k], -1)
+            found[piece] = i
+            for k in range(1, len(piece)):
+                found.setdefault(piece[:k], -1)
+    longest = max(map(len, found))
     ids = np.array([*found.values()], np.int64)
     chars = [_code_points(p) for p in found]
     at = np.cumsum([0, *map(len, chars)])
     inside = np.arange(at[-1]) - np.repeat(at[:-1], np.diff(at))
-    terms = mix64(np.concatenate(chars).astype(np.uint64) + np.uint64(1)) * powers(_BASE, LONGEST)[inside]
+    terms = mix64(np.concatenate(chars).astype(np.uint64) + np.uint64(1)) * powers(_BASE, longest)[inside]
     hashes = np.add.reduceat(terms, at[:-1])
     least = ids[ids >= 0].min(initial=n)
     gain = np.array([GAIN ** len(p.encode()) for p in found])
@@ -109,77 +149,144 @@ def load(path: str) -> Vocabulary:
         while slots[at] >= 0:
             at = (at + 1) & (len(slots) - 1)
         slots[at] = i
-    return Vocabulary(slots, hashes, ids.astype(np.int32), weights, byte_ids, content)
+    width = np.array([len(c) for c in content])
+    return Vocabulary(slots, hashes, ids.astype(np.int32), weights, byte_ids, np.frombuffer(b"".join(content), np.uint8), np.cumsum(width) - width, width, longest)
+
 
+def units_of(vocabulary: Vocabulary, text: str, known: dict[str, list[str]]) -> list[str]:
+    """The text, with the leading space that encoding adds, in units; a literal U+2581 stays a unit of bytes.
 
-def units_of(text: str) -> list[str]:
-    """The text, with the leading space that encoding adds, in units; a literal U+2581 stays a unit of bytes."""
+    known: the parts of long units seen before."""
     marked = " " + text
-    if SPACE in marked:
-        parts = marked.split(SPACE)
-        out: list[str] = []
-        for k, part in enumerate(parts):
-            out += ([f"\0{SPACE}"] if k else []) + _U.findall(part.replace(" ", SPACE))
+    out: list[str] = []
+    for k, part in enumerate(marked.split(SPACE)):
+        if k:
+            out.append(f"\0{SPACE}")
+        out += _U.findall(part.replace(" ", SPACE))
+    if max(map(len, out)) <= UNIT:
         return out
-    return _U.findall(marked.replace(" ", SPACE))
-
+    cut = []
+    for u in out:
+        if len(u) <= UNIT:
+            cut.append(u)
+            continue
+        if u not in known:
+            known[u] = vocabulary.parts(u)
+        cut += known[u]
+    return cut
+
+
+class Lattices:
+    """The lattices of the units seen so far, one row for each position of each unit and one for each edge.
+
+    index: unit -> number. first, last: positions of each unit. edge_at: first edge of each position. Edges
+    have ids (-1: bytes), size in characters, log_p of a path taking it at its position, rest: the logarithm of
+    what it leaves to the others, upto: the sum of chances up to it. With search, best is each position's edge in
+    the most probable path to the unit's end.
+    """
 
-class Lattice:
-    """The lattices of distinct units, one row for each position of each unit.
+    def __init__(self, vocabulary: Vocabulary, search: bool = False):
+        self.vocabulary, self.search = vocabulary, search
+        self.clear()
 
-    chance[p, l]: probability that a path at position p takes the piece of l + 1 characters. A character
-    without a piece is its bytes: the one byte's id, or -1 for several. first, last: the positions of each unit.
-    """
+    def clear(self) -> None:
+        self.index: defaultdict[str, int] = defaultdict(count().__next__)
+        self.parts: dict[str, list[str]] = {}
+        none = np.empty(0, np.int64)
+        self.first, self.last, self.best, self.edge_at = none, none, none, np.zeros(1, np.int64)
+        self.chars = np.empty(0, np.uint32)
+        self.ids, self.size = np.empty(0, np.int32), np.empty(0, np.uint8)
+        self.log_p, self.rest, self.upto = (np.empty(0, np.float32) for _ in range(3))
+
+    def sequences(self, texts: list[str]) -> list[np.ndarray]:
+        """The unit numbers of each text, after lattices of new units are added."""
+        if len(self.chars) > KEPT:
+            self.clear()
+        number, before = self.index.__getitem__, len(self.index)
+        out = [np.fromiter(map(number, u), np.int64, len(u)) for u in (units_of(self.vocabulary, t, self.parts) for t in texts)]
+        if len(self.index) > before:
+            new = [*islice(self.index, before, None)]
+            self._add([self._built(new[k : k + TOGETHER]) for k in range(0, len(new), TOGETHER)])
+        return out
 
-    def __init__(self, vocabulary: Vocabulary, units: list[str]):
+    def _add(self, built: list[dict[str, np.ndarray]]) -> None:
+        """Append lattices, whose positions and edges count from their own first."""
+        chars, edges = len(self.chars), self.edge_at[-1]
+        self.edge_at = self.edge_at[:-1]
+        more: dict[str, list[np.ndarray]] = {name: [getattr(self, name)] for name in built[0]}
+        for x in built:
+            for name, values in x.items():
+                shift = {"first": chars, "last": chars, "best": edges, "edge_at": edges}.get(name, 0)
+                more[name].append((values + shift if shift else values).astype(more[name][0].dtype, copy=False))
+            chars, edges = chars + len(x["chars"]), edges + len(x["ids"])
+        for name, parts in more.items():
+            setattr(self, name, np.concatenate(parts))
+        self.edge_at = np.append(self.edge_at, edges)
+
+    def _built(self, units: list[str]) -> dict[str, np.ndarray]:
+        """Lattices of some units. Positions with the same number of characters left in their unit stand together
+        (a layer), in the order of falling unit length, so that a layer's pieces of one length lead into the front of
+        an earlier layer: sums over the paths to the unit's end are slices times slices."""
+        v = self.vocabulary
         literal = np.array([u[0] == "\0" for u in units], bool)
         texts = [u[1:] if b else u for u, b in zip(units, literal, strict=True)]
-        self.chars = _code_points("".join(texts))
+        chars = _code_points("".join(texts))
         length = np.array([len(t) for t in texts], np.int64)
-        self.last = np.cumsum(length)
-        self.first = self.last - length
-        n = len(self.chars)
-        to_end = np.repeat(self.last, length) - np.arange(n)
-        up, down = powers(_BASE, n), powers(_INV, n)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(self.chars.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)))
-        # edges: position, length, entry of the vocabulary (-1: bytes)
-        at, found = np.flatnonzero(~np.repeat(literal, length)), []
-        whole = np.zeros(n, bool)
-        for k in range(LONGEST):
-            at = at[to_end[at] > k]
-            entry = vocabulary.find((sums[at + k + 1] - sums[at]) * down[at])
-            at, entry = at[entry >= 0], entry[entry >= 0]  # longer pieces begin where a beginning was found
-            real = vocabulary.ids[entry] >= 0
-            found.append((at[real], np.full(int(real.sum()), k, np.int64), vocabulary.ids[entry[real]], vocabulary.weights[entry[real]]))
-            if k == 0:
-                whole[at[real]] = True
-        bare = np.flatnonzero(~whole)
-        char = self.chars[bare]
-        ids = np.where(char < 0x80, vocabulary.byte_ids[np.minimum(char, 0x7F)], -1)
+        last = np.cumsum(length)
+        n, deep = len(chars), int(length.max())
+        to_end = np.repeat(last, length) - np.arange(n)
+        rank = np.empty(len(units), np.int64)
+        rank[np.argsort(-length, kind="stable")] = np.arange(len(units))
+        wide = np.searchsorted(np.sort(-length), -np.arange(1, deep + 1), "right")  # units of a layer
+        layer = np.concatenate(([0], np.cumsum(wide)))
+        place = layer[to_end - 1] + np.repeat(rank, length)
+        pos, entry, begin = v.edges(chars, to_end, np.repeat(literal, length))
+        most_chars = max(1, int(np.flatnonzero(np.diff(begin)).max(initial=0)) + 1)
+        weight = np.zeros((most_chars, n))
+        ids = np.full((n, most_chars), -2, np.int32)
+        for k in range(most_chars):
+            e = slice(begin[k], begin[k + 1])
+            weight[k, place[pos[e]]] = v.weights[entry[e]]
+            ids[pos[e], k] = v.ids[entry[e]]
+        rest = np.flatnonzero(ids[:, 0] == -2)  # a character without a piece is its bytes
+        char = chars[rest]
         width = 1 + (char > 0x7F) + (char > 0x7FF) + (char > 0xFFFF)
-        found.append((bare, np.zeros(len(bare), np.int64), ids, ((len(vocabulary.content) + SHIFT) ** -SCALE * GAIN) ** width))
-        pos, k, ids, weight = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(to_end[pos] * n + pos, kind="stable") if n else np.empty(0, np.int64)
-        pos, k, ids, weight = pos[order], k[order], ids[order], weight[order]
-        new = np.flatnonzero(np.append(True, pos[1:] != pos[:-1])) if n else order
-        group = np.searchsorted(to_end[pos[new]], np.arange(1, to_end.max(initial=0) + 2))
-        total = np.ones(n + 1)  # sum over the paths from each position to its unit's end
-        share = np.empty(len(pos))
-        for g, h in zip(group[:-1], group[1:], strict=True):
-            if g == h:
-                continue
-            e = slice(new[g], new[h] if h < len(new) else len(pos))
-            ahead = pos[e] + k[e] + 1
-            part = weight[e] * np.where(to_end[pos[e]] == k[e] + 1, 1.0, total[ahead])
-            sum_ = np.add.reduceat(part, new[g:h] - new[g])
-            total[pos[new[g:h]]] = sum_
-            share[e] = part / np.repeat(sum_, np.diff(np.append(new[g:h], e.stop)))
-        self.piece = np.full((n, LONGEST), -2, np.int32)
-        self.piece[pos, k] = ids
-        self.chance = np.zeros((n, LONGEST), np.float32)
-        self.chance[pos, k] = share
-        self.upto = np.cumsum(self.chance, 1)
-        self.upto[:, -1] = 2.0
+        weight[0, place[rest]] = ((len(v.width) + SHIFT) ** -SCALE * GAIN) ** width
+        ids[rest, 0] = np.where(char < 0x80, v.byte_ids[np.minimum(char, 0x7F)], -1)
+        total, best, choice = np.empty(n), np.empty(n), np.zeros(n, np.uint8)
+        for d in range(deep):
+            at = slice(layer[d], layer[d + 1])
+            sums, most = np.zeros(wide[d]), np.zeros(wide[d])
+            for k in range(min(d + 1, most_chars)):
+                ahead = slice(layer[d - k - 1], layer[d - k - 1] + wide[d]) if k < d else None
+                if self.search:
+                    part = weight[k, at] * (best[ahead] if ahead else 1.0)
+                    choice[at][part > most] = k
+                    most = np.maximum(most, part)
+                if ahead:
+                    weight[k, at] *= total[ahead]
+                sums += weight[k, at]
+            weight[: d + 1, at] /= sums
+            total[at], best[at] = sums, most
+            for x in (total, best) if self.search else (total,):
+                if x[at].max() > 1e100 or x[at].min() < 1e-100:  # scale what the next layers look at
+                    scale = x[at].copy()
+                    for j in range(max(0, d + 1 - most_chars), d + 1):
+                        x[layer[j] : layer[j] + wide[d]] /= scale
+        upto = weight.copy()
+        for k in range(1, most_chars):
+            upto[k] += upto[k - 1]
+        edge = np.flatnonzero(ids.ravel() != -2)  # by position, shorter pieces first
+        pos, k = edge // most_chars, edge % most_chars
+        edge_at = np.searchsorted(pos, np.arange(n + 1))
+        flat = k * n + place[pos]
+        chance, upto = weight.ravel()[flat], upto.ravel()[flat]
+        upto[edge_at[1:] - 1] = 2.0  # a number under one always ends at the last edge
+        alone = np.diff(edge_at) == 1
+        with np.errstate(divide="ignore"):
+            log_p, left = np.log(chance), np.where(alone[pos], -np.inf, np.log1p(-chance))
+        out = {"first": last - length, "last": last, "edge_at": edge_at[:-1], "chars": chars, "ids": ids.ravel()[edge], "size": k + 1, "log_p": log_p, "rest": left, "upto": upto}
+        return out | {"best": np.searchsorted(edge, np.arange(n) * most_chars + choice[place])} if self.search else out
 
 
 def _uniform(key: np.ndarray) -> np.ndarray:
@@ -187,30 +294,30 @@ def _uniform(key: np.ndarray) -> np.ndarray:
     return ((mix64(key) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def draw(lattice: Lattice, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A path through each piece of lattice from start to end: (which, position, length - 1), in order."""
-    which, at = np.arange(len(start)), start.copy()
+def draw(lattices: Lattices, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A path through each piece of lattice from start to end: (which, position, edge), in order."""
+    which, at = np.arange(len(start)), start
+    steps = np.zeros(len(start), np.int64)
     rows: list[tuple] = []
-    step = 0
     live = at < end
-    which, at = which[live], at[live]
+    which, at, stop, key = which[live], at[live], end[live], key[live]
     while len(which):
-        u = _uniform(key[which] + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64)))
-        k = (lattice.upto[at] > u[:, None]).argmax(1)
-        empty = lattice.chance[at, k] <= 0  # rounding at the upper end of a row
-        if empty.any():
-            k[empty] = lattice.chance[at[empty]].argmax(1)
-        rows.append((which, at, k))
-        at = at + k + 1
-        live = at < end[which]
-        which, at = which[live], at[live]
-        step += 1
-    if not rows:
-        none = np.empty(0, np.int64)
-        return none, none, none
-    w, p, k = (np.concatenate([r[c] for r in rows]) for c in range(3))
-    order = np.argsort(w, kind="stable")
-    return w[order], p[order], k[order]
+        u = _uniform(key + np.uint64(len(rows) * int(_STEP) % (1 << 64)))
+        edge = lattices.edge_at[at]
+        more = np.flatnonzero(u > lattices.upto[edge])
+        while len(more):
+            edge[more] += 1
+            more = more[u[more] > lattices.upto[edge[more]]]
+        rows.append((which, at, edge))
+        steps[which] += 1
+        at = at + lattices.size[edge]
+        live = at < stop
+        which, at, stop, key = which[live], at[live], stop[live], key[live]
+    first = np.cumsum(steps) - steps
+    out = np.empty((2, int(steps.sum())), np.int64)
+    for k, (w, p, e) in enumerate(rows):
+        out[0, first[w] + k], out[1, first[w] + k] = p, e
+    return np.repeat(np.arange(len(start)), steps), out[0], out[1]
 
 
 def truncated(location: np.ndarray, most: float | np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -222,12 +329,11 @@ def truncated(location: np.ndarray, most: float | np.ndarray, u: np.ndarray) ->
 
 @dataclass
 class Path:
-    """A sampled path: positions, lengths - 1, ids (-1: bytes) and units of its pieces, the log-probability
-    before each, and the bound of what each piece leaves open."""
+    """A sampled path: positions, edges and units of its pieces, the log-probability before each, and the
+    bound of what each piece leaves open."""
 
     at: np.ndarray
-    ids: np.ndarray
-    length: np.ndarray
+    edge: np.ndarray
     unit: np.ndarray
     before: np.ndarray
     bound: np.ndarray
@@ -235,14 +341,9 @@ class Path:
     value: float
 
 
-def sample_block(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
+def sample_block(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text its samples, best perturbed first: (piece ids, log-probability, inclusion score)."""
-    index: defaultdict[str, int] = defaultdict(count().__next__)
-    sequences = []
-    for t in texts:
-        units = units_of(t)
-        sequences.append(np.fromiter(map(index.__getitem__, units), np.int64, len(units)))
-    lattice = Lattice(vocabulary, list(index))
+    sequences = lattices.sequences(texts)
     n = len(texts)
     # round 0: a path through every unit of every text
     size = np.array([len(s) for s in sequences])
@@ -252,135 +353,216 @@ def sample_block(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
     paths: list[list[Path]] = [[] for _ in range(n)]
     taken: list[dict[tuple[int, int], list[int]]] = [{} for _ in range(n)]
     root = -np.log(-np.log(_uniform(keys ^ np.uint64(0x51ED270B))))
-    _extend(lattice, paths, range(n), [None] * n, doc, place, lattice.first[flat], lattice.last[flat], keys, 0, root)
+    _extend(lattices, paths, range(n), [None] * n, doc, place, lattices.first[flat], lattices.last[flat], keys, 0, root)
     for r in range(1, k):
         starts, ends, docs, places, heads, who, values = [], [], [], [], [], [], []
         for d in range(n):
-            best = max(range(len(paths[d])), key=lambda i: paths[d][i].bound.max(initial=-np.inf), default=None)  # noqa: B023
-            path = paths[d][best] if best is not None else None
-            if path is None or not np.isfinite(top := path.bound.max(initial=-np.inf)):
+            tops = [p.bound.max(initial=-np.inf) for p in paths[d]]
+            best = int(np.argmax(tops)) if tops else 0
+            if not tops or not np.isfinite(top := tops[best]):
                 continue
+            path = paths[d][best]
             t = int(path.bound.argmax())
-            used = taken[d].setdefault((best, t), [int(path.length[t])])
-            p = lattice.chance[path.at[t]].astype(np.float64)
-            p[used] = 0
+            a, b = lattices.edge_at[path.at[t] : path.at[t] + 2]
+            used = taken[d].setdefault((best, t), [int(path.edge[t])])
+            p = np.exp(lattices.log_p[a:b].astype(np.float64))
+            p[np.array(used) - a] = 0
             key = keys[d] ^ np.uint64((r << 40) + 0x2545F491)
             at = np.cumsum(p)
-            choice = int(np.searchsorted(at, _uniform(np.array([key]))[0] * at[-1], "right"))
-            choice = min(choice, LONGEST - 1) if p[min(choice, LONGEST - 1)] > 0 else int(p.argmax())
-            used.append(choice)
-            p[choice] = 0
+            i = int(np.searchsorted(at, _uniform(np.array([key]))[0] * at[-1], "right"))
+            i = i if i < len(p) and p[i] > 0 else int(p.argmax())
+            used.append(int(a) + i)
+            p[i] = 0
             left = p.sum()
             again = _uniform(np.array([key + np.uint64(7)]))
             path.bound[t] = truncated(np.array([path.before[t] + np.log(left)]) if left > 1e-12 else np.array([-np.inf]), top, again)[0]
-            first = path.at[t] + choice + 1
             u = int(path.unit[t])
-            rest = sequences[d][u + 1 :]
-            starts += [np.array([first]), lattice.first[rest]]
-            ends += [lattice.last[sequences[d][u : u + 1]], lattice.last[rest]]
-            docs.append(np.full(len(rest) + 1, len(who)))
-            places.append(np.arange(u, u + 1 + len(rest)))
-            heads.append((path, t, choice))
+            tail = sequences[d][u + 1 :]
+            starts += [np.array([path.at[t] + int(lattices.size[a + i])]), lattices.first[tail]]
+            ends += [lattices.last[sequences[d][u : u + 1]], lattices.last[tail]]
+            docs.append(np.full(len(tail) + 1, len(who)))
+            places.append(np.arange(u, u + 1 + len(tail)))
+            heads.append((path, t, int(a) + i))
             who.append(d)
             values.append(top)
         if not who:
             break
-        _extend(lattice, paths, who, heads, np.concatenate(docs), np.concatenate(places), np.concatenate(starts), np.concatenate(ends), keys, r, np.array(values))
+        _extend(lattices, paths, who, heads, np.concatenate(docs), np.concatenate(places), np.concatenate(starts), np.concatenate(ends), keys, r, np.array(values))
     out = []
     for d in range(n):
         limit = max((p.bound.max(initial=-np.inf) for p in paths[d]), default=-np.inf)
         samples = []
         for p in paths[d]:
             score = 1.0 if not np.isfinite(limit) else float(-np.expm1(-np.exp(min(p.log_p - limit, 700.0))))
-            samples.append((_ids(vocabulary, lattice, p), p.log_p, score))
+            samples.append((_ids(lattices, p.at, p.edge), p.log_p, score))
         out.append(samples)
     return out
 
 
-def _extend(lattice, paths, who, heads, doc, place, start, end, keys, r, values) -> None:
-    """Draw the rest of each text's new path behind its head and append the path, with bounds of what it leaves open."""
+def _extend(lattices, paths, who, heads, doc, place, start, end, keys, r, values) -> None:
+    """Draw the rest of each text's new path behind its head and append the path, with bounds of what it leaves open.
+
+    Numbers are hashed from the text's key, the round, and the unit's and the piece's place in the text alone.
+    """
     who = np.asarray(who, np.int64)
     key = mix64(keys[who[doc]] + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(r)) if len(doc) else np.empty(0, np.uint64)
-    w, at, length = draw(lattice, start, end, key)
+    w, at, edge = draw(lattices, start, end, key)
     step_doc = doc[w]
     cut = np.searchsorted(step_doc, np.arange(len(who) + 1))
-    chance = lattice.chance[at, length].astype(np.float64)
-    ids = lattice.piece[at, length]
-    log_p = np.log(np.maximum(chance, 1e-300))
-    with np.errstate(divide="ignore"):
-        rest = np.log(np.maximum(1 - chance, 0.0))
+    log_p, rest = lattices.log_p[edge].astype(np.float64), lattices.rest[edge]
     unit = place[w]
-    place_in = np.arange(len(at), dtype=np.uint64) - cut[step_doc].astype(np.uint64)
-    u = _uniform(mix64(keys[who[step_doc]] ^ (at.astype(np.uint64) * np.uint64(31) + place_in)) + np.uint64(r * 977 + 13)) if len(at) else np.empty(0)
-    base = np.array([0.0 if h is None else h[0].before[h[1]] + float(np.log(np.maximum(np.float64(lattice.chance[h[0].at[h[1]], h[2]]), 1e-300))) for h in heads])
+    nth = np.arange(len(at), dtype=np.uint64) - cut[step_doc].astype(np.uint64)
+    u = _uniform((keys[who[step_doc]] ^ np.uint64(r * 977 + 13)) + (nth + np.uint64(1)) * _STEP)
+    base = np.array([0.0 if h is None else h[0].before[h[1]] + float(lattices.log_p[h[2]]) for h in heads])
     sums = np.concatenate(([0.0], np.cumsum(log_p)))
     before = sums[:-1] - sums[cut[step_doc]] + base[step_doc]
     bound = truncated(before + rest, values[step_doc], u)
     last = base + sums[cut[1:]] - sums[cut[:-1]]
     for i, (d, a, b) in enumerate(zip(who.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-        parts = at[a:b], ids[a:b], length[a:b], unit[a:b], before[a:b], bound[a:b]
+        parts = at[a:b], edge[a:b], unit[a:b], before[a:b], bound[a:b]
         if heads[i] is not None:
-            path, t, choice = heads[i]
-            p = path.at[t]
-            front = path.at[: t + 1], np.append(path.ids[:t], lattice.piece[p, choice]), np.append(path.length[:t], choice), path.unit[: t + 1], path.before[: t + 1], np.full(t + 1, -np.inf)
+            path, t, chosen = heads[i]
+            front = path.at[: t + 1], np.append(path.edge[:t], chosen), path.unit[: t + 1], path.before[: t + 1], np.full(t + 1, -np.inf)
             parts = tuple(np.concatenate(x) for x in zip(front, parts, strict=True))
         paths[d].append(Path(*parts, float(last[i]), float(values[i])))
 
 
-def _ids(vocabulary: Vocabulary, lattice: Lattice, path: Path) -> np.ndarray:
-    ids = path.ids
+def _ids(lattices: Lattices, at: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    ids = lattices.ids[edge]
     bare = np.flatnonzero(ids == -1)
     if not len(bare):
         return ids
     parts, done = [], 0
     for b in bare:
-        raw = chr(lattice.chars[path.at[b]]).encode("utf-8", "surrogatepass")
-        parts += [ids[done:b], vocabulary.byte_ids[np.frombuffer(raw, np.uint8)]]
+        raw = chr(lattices.chars[at[b]]).encode("utf-8", "surrogatepass")
+        parts += [ids[done:b], lattices.vocabulary.byte_ids[np.frombuffer(raw, np.uint8)]]
         done = b + 1
     return np.concatenate([*parts, ids[done:]])
 
 
-def decode(vocabulary: Vocabulary, ids) -> str:
-    """The text that a sequence of ids stands for, without the leading space that encoding adds."""
-    raw = b"".join(map(vocabulary.content.__getitem__, ids))
-    return raw.decode("utf-8", "replace").removeprefix(" ")
+def best_block(lattices: Lattices, texts: list[str]) -> list[np.ndarray]:
+    """The ids of each text's most probable segmentation (of equal ones the one with the shorter first piece)."""
+    sequences = lattices.sequences(texts)
+    held: dict[int, np.ndarray] = {}
+
+    def of_unit(u: int) -> np.ndarray:
+        at, path = int(lattices.first[u]), []
+        while at < lattices.last[u]:
+            path.append((at, e := int(lattices.best[at])))
+            at += int(lattices.size[e])
+        return _ids(lattices, *np.array(path).T)
+
+    out = []
+    for s in sequences:
+        for u in np.unique(s).tolist():
+            if u not in held:
+                held[u] = of_unit(u)
+        out.append(np.concatenate([held[u] for u in s.tolist()]))
+    return out
+
+
+def decode(vocabulary: Vocabulary, ids: np.ndarray) -> bytes:
+    """The text, in UTF-8, that a sequence of ids stands for, without the leading space that encoding adds."""
+    width = vocabulary.width[ids]
+    start = np.cumsum(width) - width
+    raw = vocabulary.flat[np.repeat(vocabulary.start[ids] - start, width) + np.arange(width.sum())].tobytes()
+    return raw.removeprefix(b" ")
+
+
+@lru_cache(maxsize=2)
+def _lattices(path: str, search: bool = False) -> Lattices:
+    """The lattices that a worker keeps between blocks and tasks; which ones does not change any result."""
+    return Lattices(load(path), search)
+
+
+def _blocks(texts: list[str], block: int) -> Iterator[tuple[int, int]]:
+    """Spans of texts with about block characters each."""
+    sizes = np.cumsum([len(t) + 200 for t in texts])
+    inner = np.searchsorted(sizes, np.arange(block, sizes[-1] if len(sizes) else 0, block)) + 1
+    cuts = np.unique(np.concatenate(([0], inner, [len(texts)])).clip(max=len(texts)))
+    return zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+
+
+def _list_array(ids: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+    flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
-def sample_segmentations(docs: DataFrame, model_path: str, *, k: int = 2, seed: int = 11, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sample_segmentations(docs: DataFrame, model_path: str, *, k: int = 2, seed: int = 11, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """k distinct sampled segmentations of each whole text: id_col, rank, ids, n_pieces, log_prob, inclusion, exact.
 
     rank counts from 1 by perturbed log-probability; a text with fewer than k segmentations gives all of
     them, with inclusion 1. exact tells that decoding the ids gives the text back. Samples depend on seed
-    and id only (rows that repeat an id and text draw alike; a null id is hashed as the word null). Null
-    and empty texts are the one segmentation of the leading space. Other columns are ignored; an empty
-    table gives an empty result. The file at model_path must be on every executor. block: characters handled at once.
+    and id only (rows that repeat an id and text draw alike, unless row_col, which then is hashed too, tells them
+    apart; a null id is hashed as the word null). Null and empty texts are the one segmentation of the leading
+    space. Other columns are ignored; an empty table gives an empty result. The file at model_path must be on
+    every executor. block: characters handled at once.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "rank", "ids", "n_pieces", "log_prob", "inclusion", "exact"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = load(model_path)
+        lattices = _lattices(model_path)
         for batch in batches:
             texts = [b.decode("utf-8", "replace") for b in byte_values(batch.column(2))]
             keys = batch.column(1).to_numpy().view(np.uint64)
-            sizes = np.cumsum([len(t) + 200 for t in texts])
-            inner = np.searchsorted(sizes, np.arange(block, sizes[-1] if len(sizes) else 0, block)) + 1
-            cuts = np.unique(np.concatenate(([0], inner, [len(texts)])).clip(max=len(texts)))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                got = sample_block(vocabulary, texts[a:b], keys[a:b], k)
+            for a, b in _blocks(texts, block):
+                got = sample_block(lattices, texts[a:b], keys[a:b], k)
                 row = [i for i, s in enumerate(got) for _ in s]
                 flat = [x for s in got for x in s]
-                ends = np.concatenate(([0], np.cumsum([len(x[0]) for x in flat]))).astype(np.int32)
-                ids = np.concatenate([x[0] for x in flat]).astype(np.int32) if flat else np.empty(0, np.int32)
-                exact = [decode(vocabulary, x[0].tolist()) == texts[a + i] for i, x in zip(row, flat, strict=True)]
+                ids = _list_array([x[0] for x in flat])
+                exact = [decode(lattices.vocabulary, x[0]) == texts[a + i].encode() for i, x in zip(row, flat, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, b - a).take(pa.array(row, pa.int64())), pa.array([j + 1 for s in got for j in range(len(s))], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)),
-                        pa.array(np.diff(ends).astype(np.int64)), pa.array([x[1] for x in flat], pa.float64()), pa.array([x[2] for x in flat], pa.float64()), pa.array(exact, pa.bool_()),
+                        batch.column(0).slice(a, b - a).take(pa.array(row, pa.int64())), pa.array([j + 1 for s in got for j in range(len(s))], pa.int32()), ids,
+                        pa.array([len(x[0]) for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.float64()), pa.array([x[2] for x in flat], pa.float64()), pa.array(exact, pa.bool_()),
                     ],
                     names,
                 )
 
-    key = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    rows = docs.select(F.col(id_col), key.alias("__key"), F.col(text_col).cast("binary").alias("__text"))
+    parts = [F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), *([F.col(row_col)] if row_col else [])]
+    rows = docs.select(F.col(id_col), F.xxhash64(*parts).alias("__key"), F.col(text_col).cast("binary").alias("__text"))
     return rows.mapInArrow(run, f"`{id_col}` {kind}, rank int, ids array<int>, n_pieces long, log_prob double, inclusion double, exact boolean")
+
+
+def encode_texts(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col: str = "ids", block: int = BLOCK) -> DataFrame:
+    """docs with ids_col added: the ids of each whole text's most probable segmentation.
+
+    A null text has null ids; an empty one is the leading space. If docs has a column named as the added one,
+    underscores are appended to the added name. An empty table stays empty.
+    """
+    ids_col = free_name(docs, ids_col)
+    at, names = docs.columns.index(text_col), [*docs.columns, ids_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattices = _lattices(model_path, search=True)
+        for batch in batches:
+            texts = [b.decode("utf-8", "replace") for b in byte_values(batch.column(at))]
+            for a, b in _blocks(texts, block):
+                some, none = batch.slice(a, b - a), batch.column(at).slice(a, b - a).is_null()
+                ids = _list_array(best_block(lattices, texts[a:b]))
+                yield pa.RecordBatch.from_arrays([*some.columns, pc.if_else(none, pa.scalar(None, ids.type), ids)], names)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ids_col, ArrayType(IntegerType()))]))
+
+
+def decode_ids(df: DataFrame, model_path: str, *, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
+    """df with text_col added: the text that each list of ids stands for, without the leading space that encoding adds.
+
+    Null ids give a null text, an empty list an empty one; null, negative and unknown ids stand for nothing. If df
+    has a column named as the added one, underscores are appended to the added name. An empty table stays empty.
+    """
+    text_col = free_name(df, text_col)
+    at, names = df.columns.index(ids_col), [*df.columns, text_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = load(model_path)
+        for batch in batches:
+            texts = []
+            for ids in batch.column(at):
+                known = np.array([i for i in ids.as_py() or () if i is not None and 0 <= i < len(vocabulary.width)], np.int64)
+                texts.append(decode(vocabulary, known).decode("utf-8", "replace") if ids.is_valid else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(text_col, StringType())]))
