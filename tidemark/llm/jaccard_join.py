@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, byte_values, free_name, mix64, numbered, small_side, written
+from .common import Words, blocks, byte_values, free_name, mix64, numbered, small_batches, small_side, written
 from .exact_dedup import tree_groups
 
 WORDS = 5
@@ -45,7 +45,7 @@ CHUNK = 20_000
 DEAL = 40_000
 #: Pairs that a task holds at most before it sends them on.
 HELD_PAIRS = 1_000_000
-#: Lists with several classes are broadcast up to this many (a token and a number each, some 80 MB), else joined by shuffle.
+#: Lists with several classes are broadcast up to this many (a token each, some 60 MB), else joined by shuffle.
 BROADCAST_LISTS = 1_000_000
 #: Sets and tokens of a chunk of a class when the links inside it are counted, and columns counted at once.
 CLASS_SETS, CLASS_TOKENS, COLUMNS = 512, 1 << 19, 2048
@@ -88,7 +88,8 @@ def frequency_levels(texts: DataFrame) -> np.ndarray:
             part = slot[k : k + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())], ["slot", "n"])
 
-    sums = texts.select("text").mapInArrow(slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    with small_batches(texts.sparkSession):
+        sums = texts.select("text").mapInArrow(slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     levels = np.zeros(SLOTS, np.uint8)
     n = sums.column("n").to_numpy()
     levels[sums.column("slot").to_numpy()] = np.minimum(1 + 2 * np.log2(np.maximum(n, 1)), 120).astype(np.uint8)
@@ -322,8 +323,9 @@ def list_postings(sets: DataFrame, classes: DataFrame) -> DataFrame:
     large = lists.where("chunks = 1").groupBy("lo").agg(F.ceil(F.sum("size") / DEAL).alias("splits")).where("splits > 1")
     lists = lists.join(small_side(written(large, "splits")), "lo", "left")
     live = lists.select("token", "chunks", F.xxhash64("lo", F.pmod(F.xxhash64("token"), F.coalesce("splits", F.lit(1).cast("long")))).alias("deal"))
-    narrow = sets.select("seq", F.posexplode("prefix").alias("pos", "token")).join(small_side(written(live, "live-lists"), BROADCAST_LISTS), "token")
-    found = narrow.join(named.select("seq", "n", "short", "class"), "seq").withColumn("chunk", F.pmod(F.xxhash64("seq"), F.col("chunks")).cast("int"))
+    live = written(live, "live-lists")
+    narrow = sets.select("seq", F.posexplode("prefix").alias("pos", "token")).join(small_side(live.select("token"), BROADCAST_LISTS), "token", "left_semi")
+    found = narrow.join(live, "token").join(named.select("seq", "n", "short", "class"), "seq").withColumn("chunk", F.pmod(F.xxhash64("seq"), F.col("chunks")).cast("int"))
     found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     part = F.least("chunk", "other") * 100_000 + F.greatest("chunk", "other")
     found = found.withColumn("part", part).withColumn("whole", F.col("chunk") == F.col("other"))
