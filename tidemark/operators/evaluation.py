@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
+from .statistics import quantiles
 from .sums import summed
 
 KEY = ["dataset_id", "outer_fold", "condition", "method", "seed"]
@@ -16,7 +17,13 @@ ALPHAS = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 1e4, 1e5)
 REPETITIONS = 10_000
 SEED = 2026090707
 #: Columns that no predictor may be (labels, quality and what follows from them).
-FORBIDDEN = {"label", "labels", "y", "target", "ari_clean", "ari_condition", "delta_ari", "nmi_condition", "ami_condition", "quality_target", "n_evaluation_rows"}
+FORBIDDEN = {
+    "y", "label", "labels", "quality labels", "target", "n_evaluation_rows",
+    "ari_clean", "ari_condition", "delta_ari", "nmi_condition", "ami_condition", "quality_target", "quality_record_sha256",
+    "dataset_id", "shift_family", "severity", "condition", "outer_fold", "method", "seed", "k", "n", "d", "dimension_d", "dimension_stratum",
+    "source_model_fingerprint", "source_model_fingerprint_file_sha256", "shift_spec_sha256", "shift_replay_sha256", "shift_spec_file_sha256",
+    "probe_spec_sha256", "probe_spec_file_sha256", "alignment_doc_sha256", "alignment_doc_file_sha256",
+}
 
 
 def check_features(names: Sequence[str]) -> None:
@@ -234,9 +241,11 @@ def not_constant(rows: DataFrame, by: list[str], column: str, tolerance: float =
 
 
 def value_summary(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """column, n, min, median, mean, p95, max of each column, in one aggregation."""
-    parts = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.min(c).cast("double").alias("min"), F.percentile(c, 0.5).alias("median"), F.avg(c).alias("mean"), F.percentile(c, 0.95).alias("p95"), F.max(c).cast("double").alias("max")) for c in columns]
-    return rows.agg(F.array(*parts).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    """column, n, min, median, mean, p95, max of each column, over values that are present."""
+    parts = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.min(c).cast("double").alias("min"), F.avg(c).alias("mean"), F.max(c).cast("double").alias("max")) for c in columns]
+    rest = rows.agg(F.array(*parts).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    q = quantiles(rows, columns, [0.5, 0.95]).select("column", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"))
+    return rest.join(F.broadcast(q), "column", "left").select("column", "n", "min", "median", "mean", "p95", "max")
 
 
 def root_mean(rows: DataFrame, x: str) -> float:

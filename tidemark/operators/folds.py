@@ -17,21 +17,22 @@ def shuffled_rank(df: DataFrame, seed: int, purpose: str, row_id: str = "row_id"
     rank inside the range, so that no task sorts the whole table.
     """
     drawn = df.withColumn("__draw", draw(seed, purpose, row_id))
-    if by:
-        w = Window.partitionBy(*by).orderBy("__draw", row_id)
-        return drawn.withColumn("position", F.row_number().over(w) - 1).drop("__draw")
-    return ranked(drawn.withColumn("__range", F.shiftright("__draw", 44)), ["__draw", row_id]).drop("__draw", "__range")
+    return ranked(drawn.withColumn("__range", F.shiftright("__draw", 44)), ["__draw", row_id], by).drop("__draw", "__range")
 
 
-def ranked(df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds position (from 0) in the order of `order`; df has __range, a coarse key whose order agrees with it.
+def ranked(df: DataFrame, order: list, by: list[str] | None = None) -> DataFrame:
+    """Adds position (from 0) in the order of `order`, within the groups of `by`; df has __range, a coarse key whose
+    order agrees with it.
 
-    The counts of the ranges (at most 65,536 of them) are summed in one task, the rows ranked in many.
+    The counts of a group's ranges (at most 65,536 of them) are summed in one task, the rows ranked in many.
     """
-    sizes = df.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))).select("__range", F.coalesce("__before", F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    return df.withColumn("__inside", inside).join(F.broadcast(before), "__range").withColumn("position", (F.col("__before") + F.col("__inside")).cast("long")).drop("__before", "__inside")
+    by = by or []
+    sizes = df.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    upto = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("__before", F.sum("__n").over(upto)).select(*by, "__range", F.coalesce("__before", F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(*order)) - 1
+    side = before if by else F.broadcast(before)
+    return df.withColumn("__inside", inside).join(side, [*by, "__range"]).withColumn("position", (F.col("__before") + F.col("__inside")).cast("long")).drop("__before", "__inside")
 
 
 def kfold(rows: DataFrame, folds: int = 5, seed: int = SEED, row_id: str = "row_id", purpose: str = "outer") -> DataFrame:
@@ -43,9 +44,9 @@ def kfold(rows: DataFrame, folds: int = 5, seed: int = SEED, row_id: str = "row_
 
 def inner_kfold(split: DataFrame, folds: int = 3, seed: int = SEED, row_id: str = "row_id") -> DataFrame:
     """fold, inner_fold, side (train or validation), row_id over the source rows of each outer fold."""
-    source = split.where("side = 'source'").select("fold", row_id)
-    w = Window.partitionBy("fold").orderBy(draw(seed, "inner", F.concat_ws("-", "fold", row_id)), row_id)
-    of = source.withColumn("__of", ((F.row_number().over(w) - 1) % folds).cast("int"))
+    source = split.where("side = 'source'").select("fold", row_id, draw(seed, "inner", F.concat_ws("-", "fold", row_id)).alias("__draw"))
+    placed = ranked(source.withColumn("__range", F.shiftright("__draw", 44)), ["__draw", row_id], ["fold"])
+    of = placed.withColumn("__of", (F.col("position") % folds).cast("int"))
     each = of.withColumn("inner_fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
     return each.select("fold", "inner_fold", F.when(F.col("__of") == F.col("inner_fold"), "validation").otherwise("train").alias("side"), row_id)
 

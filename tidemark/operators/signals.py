@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import draw
 from ..functions.vectors import js_divergence, normalised_entropy, simplex_error
 from .alignment import EPSILON
+from .statistics import quantiles
 from .sums import as_matrix, summed
 
 BANK = 2048
@@ -53,7 +54,9 @@ def check_simplex(rows: DataFrame, u: str, tolerance: float = SIMPLEX_TOLERANCE)
 def membership_drift(rows: DataFrame, u_source: str = "u_ref", u_candidate: str = "u_cand") -> DataFrame:
     """mean, median and p95 of the row-wise Jensen-Shannon divergence."""
     js = js_divergence(F.col(u_source), F.col(u_candidate))
-    return rows.select(js.alias("js")).agg(F.avg("js").alias("mean"), F.percentile("js", 0.5).alias("median"), F.percentile("js", 0.95).alias("p95"))
+    each = rows.select(js.alias("js"))
+    q = quantiles(each, ["js"], [0.5, 0.95]).select(F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"))
+    return each.agg(F.avg("js").alias("mean")).join(F.broadcast(q), how="left")
 
 
 def entropy_shift(rows: DataFrame, u_source: str = "u_ref", u_candidate: str = "u_cand") -> DataFrame:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROLES = ("numeric", "categorical", "ordinal", "boolean")
 ZERO_SD = 1e-12
+#: Groups up to this size are put in order whole; of larger ones the values within BRACKET of a quantile's rank, as a sketch of SKETCH points finds them.
+SMALL, BRACKET, SKETCH = 2000, 0.0015, 5000
+#: Categories of a column that are encoded one by one; a column with more is refused.
+MOST_CATEGORIES = 100_000
 MISSING = "__MISSING_SOURCE__"
 #: Texts read as booleans.
 TRUE = ("true", "t", "yes", "y", "1", "1.0")
@@ -20,16 +24,45 @@ def long_form(df: DataFrame, columns: list[str], keep: list[str] | None = None)
     return df.select(*(keep or []), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("cell")).select(*(keep or []), "cell.*")
 
 
+def quantiles(df: DataFrame, columns: list[str], probabilities: list[float], by: list[str] | None = None) -> DataFrame:
+    """by, column, n, q (array: the interpolated quantile of each probability), over values that are present.
+
+    Exact without one task's seeing a column: a sketch brackets each quantile by a narrow range of values, whose
+    distinct values are counted; only they, about 0.3 % of a large group, are put in order. A group or column
+    without values has no row.
+    """
+    by = by or []
+    cells = long_form(df, columns, by).where("value is not null and not isnan(value)")
+    near = [min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-BRACKET, BRACKET)]
+    bounds = cells.groupBy(*by, "column").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("value", near, SKETCH).alias("near"))
+    edge = lambda k, up: F.when(F.col("n") <= SMALL, F.lit(float("inf" if up else "-inf"))).otherwise(F.col("near")[2 * k + up])
+    ranges = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p"), edge(k, 0).alias("lo"), edge(k, 1).alias("hi")) for k, p in enumerate(probabilities)])
+    ranges = bounds.select(*by, "column", "n", F.explode(ranges).alias("r")).select(*by, "column", "n", "r.*")
+    key = [*by, "column", "k"]
+    # below the range only the number of values matters
+    inside = cells.join(F.broadcast(ranges), [*by, "column"]).where("value <= hi").withColumn("value", F.when(F.col("value") >= F.col("lo"), F.col("value")))
+    counts = inside.groupBy(*key, "n", "p", "value").agg(F.count(F.lit(1)).alias("c"))
+    order = Window.partitionBy(*key).orderBy(F.col("value").asc_nulls_first())
+    upto = counts.withColumn("upto", F.sum("c").over(order)).where("value is not null")
+    place = F.col("p") * (F.col("n") - 1)
+    first, second = F.floor(place), F.ceil(place)
+    at = lambda i: F.min(F.when(F.col("upto") > i, F.col("value")))
+    found = upto.groupBy(*key, "n", "p").agg(at(first).alias("a"), at(second).alias("b"))
+    found = found.withColumn("q", F.col("a") + (F.col("b") - F.col("a")) * (place - first))
+    return found.groupBy(*by, "column", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "q"))), lambda x: x["q"]).alias("q"))
+
+
 def source_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, n, mean, sd (sample), median, zero_variance of the numeric columns, over values that are present.
 
-    One aggregation over the table; the result has a row for each column.
+    Moments in one aggregation, medians by quantiles; the result has a row for each column.
     """
     x = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns]
-    aggregates = [a for k, v in enumerate(x) for a in (F.count(v).alias(f"n{k}"), F.avg(v).alias(f"m{k}"), F.stddev_samp(v).alias(f"s{k}"), F.percentile(v, 0.5).alias(f"d{k}"))]
+    aggregates = [a for k, v in enumerate(x) for a in (F.count(v).alias(f"n{k}"), F.avg(v).alias(f"m{k}"), F.stddev_samp(v).alias(f"s{k}"))]
     wide = df.agg(*aggregates)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{k}").alias("n"), F.col(f"m{k}").alias("mean"), F.col(f"s{k}").alias("sd"), F.col(f"d{k}").alias("median")) for k, c in enumerate(columns)])
-    out = wide.select(F.explode(rows).alias("r")).select("r.*")
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{k}").alias("n"), F.col(f"m{k}").alias("mean"), F.col(f"s{k}").alias("sd")) for k, c in enumerate(columns)])
+    middle = quantiles(df, columns, [0.5]).select("column", F.col("q")[0].alias("median"))
+    out = wide.select(F.explode(rows).alias("r")).select("r.*").join(F.broadcast(middle), "column", "left")
     return out.withColumn("zero_variance", F.coalesce(F.col("sd"), F.lit(0.0)) <= ZERO_SD)
 
 
@@ -121,7 +154,7 @@ class Preprocessor:
 def fit_preprocessor(df: DataFrame, roles: dict[str, str], orders: dict[str, list[str]] | None = None, min_frequency: float = 0.01) -> Preprocessor:
     """Fit on df (source rows). Two aggregations for the numeric columns and one for each categorical vocabulary.
 
-    A numeric column without values gets median 0; a categorical one a fill of its own; a boolean one False.
+    A column with more than MOST_CATEGORIES values is refused. A numeric column without values gets median 0; a categorical one a fill of its own; a boolean one False.
     An ordinal column without an order is one-hot encoded.
     """
     p = Preprocessor()
@@ -129,21 +162,23 @@ def fit_preprocessor(df: DataFrame, roles: dict[str, str], orders: dict[str, lis
     numeric = [c for c, r in roles.items() if r == "numeric"]
     if numeric:
         x = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in numeric}
-        medians = [0.0 if v is None else v for v in df.agg(*[F.percentile(x[c], 0.5) for c in numeric]).first()]
+        middle = {r["column"]: r["q"][0] for r in quantiles(df, numeric, [0.5]).collect()}
+        medians = [middle.get(c, 0.0) for c in numeric]
         filled = {c: F.coalesce(x[c], F.lit(m)) for c, m in zip(numeric, medians, strict=True)}
         row = df.agg(*[a for c in numeric for a in (F.avg(filled[c]), F.stddev_pop(filled[c]))]).first()
         for k, c in enumerate(numeric):
             p.numeric[c] = (medians[k], row[2 * k] or 0.0, row[2 * k + 1] or 1.0)
     for c, role in roles.items():
         if role == "categorical" or role == "ordinal" and c not in orders:
-            counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).count().orderBy(F.desc("count"), "v").collect()
-            n = sum(r["count"] for r in counts)
-            missing = df.where(F.col(c).isNull()).limit(1).count() and counts
-            fill = counts[0]["v"] if counts else MISSING
-            total = n + (df.where(F.col(c).isNull()).count() if missing else 0)
-            size = {r["v"]: r["count"] for r in counts}
-            if counts:
-                size[fill] += total - n
+            counts = df.groupBy(F.col(c).cast("string").alias("v")).count()
+            listed = counts.limit(MOST_CATEGORIES + 2).collect()
+            if len(listed) > MOST_CATEGORIES + 1:
+                raise ValueError(f"{c} has more than {MOST_CATEGORIES} categories: group or hash them before encoding")
+            size = {r["v"]: r["count"] for r in listed}
+            gone, total = size.pop(None, 0), sum(r["count"] for r in listed)
+            fill = min(size, key=lambda v: (-size[v], v)) if size else MISSING
+            if size:
+                size[fill] += gone
             kept = sorted(v for v, k in size.items() if k >= min_frequency * total)
             p.categorical[c] = (fill, kept, sorted(set(size) - set(kept)))
         elif role == "ordinal":

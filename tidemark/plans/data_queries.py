@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import derived_seed_column, record_hash, sql_draw, sql_uniform, uniform
 from ..functions.vectors import fuzzifier
 from ..operators import folds, shifts, signals, statistics
-from ..sources.ingest import LINE_FEATURES, LINE_SQL, embedding_points, isolate, line_rows
+from ..sources.ingest import LINE_FEATURES, LINE_SQL, embedding_points, isolate, line_rows, with_row_id
 from .registry import query
 
 SEED = 20260907
@@ -259,3 +259,10 @@ def key_universe_sha256(spark: SparkSession, sf: str) -> DataFrame:
     """A hash of the distinct keys (a scenario universe is small by design; here 125 keys)."""
     keys = spark.read.parquet(f"{sf}/customer.parquet").select(F.concat_ws(":", "c_nationkey", "c_mktsegment").alias("k")).distinct()
     return keys.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("k")), "\n"), 256).alias("sha256"))
+
+
+@query("row_ids", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS row_id FROM lineitem")
+def row_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items numbered in the order of their keys and price."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return with_row_id(lines).drop("l_extendedprice")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
 from ..streaming import monitor
 from .data_queries import rounded
 from .registry import query
@@ -28,7 +28,6 @@ def drift_windows(spark: SparkSession, sf: str) -> DataFrame:
 @query("stream_drift_monitor", f"WITH {_REF}, {_WIN}, z AS (SELECT max(ts) - INTERVAL 1 HOUR AS z FROM events) SELECT {_ROW} FROM w JOIN r USING (event_type), z WHERE t + INTERVAL 1 DAY <= z")
 def stream_drift_monitor(spark: SparkSession, sf: str) -> DataFrame:
     """The monitor on the table's files as a stream: the windows that the watermark has closed."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-tidemark-')}"
     events = spark.read.parquet(f"{sf}/events.parquet")
-    out = monitor.replay(events, sf, "events.parquet", f"{at.rstrip('/')}/monitor-{uuid.uuid4().hex}")
+    out = monitor.replay(events, sf, "events.parquet", f"{shared_dir(spark)}/monitor-{uuid.uuid4().hex}")
     return rounded(out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "mean", "shift"))

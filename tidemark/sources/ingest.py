@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
+from .shared import stored
+
 
 @dataclass
 class Bundle:
@@ -36,12 +38,12 @@ def read_table(spark: SparkSession, path: str, kind: str | None = None, **option
 def with_row_id(df: DataFrame, key: list[str] | None = None, row_id: str = "row_id") -> DataFrame:
     """Rows numbered from 0 in the order of key (default: all columns), the same whatever the partitioning.
 
-    Rows are ranked inside ranges of a hash-free sample-sorted order: one range sort, counts of the
+    One range sort, written once (its ranges come from a sample, which another run draws otherwise), counts of the
     partitions, and an offset for each; no task holds all rows.
     """
     key = key or df.columns
     ordered = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in key]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in key])
-    numbered = ordered.withColumn("__id", F.monotonically_increasing_id())
+    numbered = stored(ordered.withColumn("__id", F.monotonically_increasing_id()), "row-ids")
     part = F.shiftright("__id", 33)
     sizes = {r[0]: r[1] for r in numbered.groupBy(part.alias("p")).count().collect()}
     before, offsets = 0, []
