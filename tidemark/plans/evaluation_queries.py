@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import sql_draw
 from ..operators import evaluation as ev
+from ..operators import nested, signals, statistics
 from .data_queries import NUDGE, rounded
 from .registry import query
 
@@ -210,3 +211,70 @@ def losfo_ridge(spark: SparkSession, sf: str) -> DataFrame:
 def losfo_gbt(spark: SparkSession, sf: str) -> DataFrame:
     rows = joined_table(spark, sf).where("condition != 'clean'")
     return rounded(ev.regression_metrics(ev.leave_group_out_gbt(rows, FEATURES, "delta_ari", "shift_family", iterations=5), ["shift_family"]))
+
+
+def wide_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The joined table with all ten signals; the control `silhouette` is missing on some rows."""
+    j = joined_table(spark, sf)
+    return j.select(
+        "*",
+        (F.col("D_U_C") * 0.8 + F.col("n") % 7 / 10).alias("D_U_R"),
+        (F.col("D_V") / (F.col("D_X") + 1)).alias("D_H"),
+        (F.col("D_U_C") / (F.col("D_V") + 1)).alias("D_M"),
+        (1 / (F.col("D_U_C") + 1)).alias("fpc"),
+        F.log1p("D_V").alias("pe"),
+        (F.col("D_X") * F.col("D_U_C") / 10).alias("xb"),
+        F.when(F.col("n") % 5 > 0, F.col("D_X") / 20).alias("silhouette"),
+    )
+
+
+def _by_block(spark: SparkSession, sf: str, scope: str, kind: str) -> DataFrame:
+    records, _ = nested.evaluate(wide_table(spark, sf), scope, kind)
+    return rounded(ev.regression_metrics(records, ["outer_test_group", "feature_block", "alpha"]))
+
+
+@query("evaluation_lodo")
+def evaluation_lodo(spark: SparkSession, sf: str) -> DataFrame:
+    """All blocks, ablations and increments, each data set left out; errors of each."""
+    return _by_block(spark, sf, "primary", "LODO")
+
+
+@query("evaluation_losfo")
+def evaluation_losfo(spark: SparkSession, sf: str) -> DataFrame:
+    return _by_block(spark, sf, "primary", "LOSFO")
+
+
+@query("evaluation_secondary_lodo")
+def evaluation_secondary_lodo(spark: SparkSession, sf: str) -> DataFrame:
+    return _by_block(spark, sf, "secondary", "LODO")
+
+
+@query("evaluation_secondary_losfo")
+def evaluation_secondary_losfo(spark: SparkSession, sf: str) -> DataFrame:
+    return _by_block(spark, sf, "secondary", "LOSFO")
+
+
+@query("evaluation_inner_folds")
+def evaluation_inner_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """Every candidate penalty of every block with its inner errors, and which one was taken."""
+    return rounded(nested.evaluate(wide_table(spark, sf), "primary", "LODO")[1])
+
+
+@query("evaluation_verdict")
+def evaluation_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    """From the joined table to the verdict: four evaluations of the six blocks and the eight rules."""
+    report, _ = nested.run_evaluation(wide_table(spark, sf), blocks=signals.BLOCKS)
+    rows = [(name, block, round(v, 6), report["verdict"], sum(report["rules"].values())) for name, m in report["mae"].items() for block, v in m.items()]
+    return spark.createDataFrame(rows, "evaluation string, feature_block string, mae double, verdict string, rules_held int")
+
+
+@query("training_medians", f"""WITH {TABLES}, w AS (SELECT *, CASE WHEN n % 5 > 0 THEN "D_X" / 20 END AS silhouette FROM j WHERE condition <> 'clean'), t AS (SELECT DISTINCT dataset_id AS test FROM w)
+SELECT test, round(median(silhouette), 6) AS silhouette, round(median("D_V"), 6) AS "D_V" FROM t JOIN w ON dataset_id <> test GROUP BY 1""")
+def training_medians(spark: SparkSession, sf: str) -> DataFrame:
+    """What missing signals are filled with when a data set is left out: medians of the training rows alone."""
+    rows = nested.scoped(wide_table(spark, sf), "primary")
+    plan = nested.planned(rows, "dataset_id")
+    train = rows.join(F.broadcast(plan.roles), (F.col("dataset_id") == F.col("o")) & (F.col("dataset_id") == F.col("i"))).select(F.explode("train").alias("fit"), "silhouette", "D_V")
+    last = spark.createDataFrame([(plan.fit(t, plan.folds), t) for t in plan.tests], "fit int, test string")
+    q = statistics.quantiles(train, ["silhouette", "D_V"], [0.5], ["fit"]).join(F.broadcast(last), "fit")
+    return q.groupBy("test").agg(*[(F.round(F.max(F.when(F.col("column") == c, F.col("q")[0])), 6) + F.lit(0.0)).alias(c) for c in ("silhouette", "D_V")])
