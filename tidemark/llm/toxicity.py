@@ -27,6 +27,7 @@ from .common import byte_values, free_name
 
 #: Labelled documents that a model is fitted on, at most about so many: rows are taken by a hash of their id.
 SAMPLE = 20_000
+TRAIN_SHARE = 0.6
 WIDTH = 48
 FRAME = b"0123456789ABCDEFGHIJKLMNOPQRSTUV "
 TOXIC_BYTES, ORDINARY_BYTES = 2048, 65536
@@ -40,7 +41,7 @@ FIRE = 1.5
 #: Windows whose lengths a worker remembers.
 REMEMBERED = 150_000
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def held_out(id_: Column, folds: int = 5) -> Column:
@@ -49,7 +50,7 @@ def held_out(id_: Column, folds: int = 5) -> Column:
 
 
 def windows(text: str) -> list[str]:
-    """Words of letters, lower-cased; longer words than WIDTH // 2 characters in pieces that overlap by half."""
+    """Words of letters and digits, lower-cased; longer words than WIDTH // 2 characters in pieces that overlap by half."""
     out = []
     half = WIDTH // 4
     for w in _WORD.findall(text.lower()):
@@ -139,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """Fit on labelled rows outside the held-out fold.
 
     At most about `sample` documents (of each id the first label by value) are read, chosen by a hash of
-    the id; dictionaries and thresholds are fitted in the driver on that bounded sample. Rows with a null
+    the id; dictionaries are trained on TRAIN_SHARE of that bounded sample, thresholds calibrated on the rest. Rows with a null
     id or label are left out. Without documents of both classes the model scores everything 0.
     """
     named = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
@@ -147,9 +148,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     n = named.count()
     if n > sample:
         named = named.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
+    trains = F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(1000)) < int(TRAIN_SHARE * 1000)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     # each batch sends counts of its words, not its texts
-    rows = texts.join(F.broadcast(named), "id").mapInArrow(_counted, "y int, word string, docs long, times long")
+    rows = texts.join(F.broadcast(named.where(trains)), "id").mapInArrow(_counted, "y int, word string, docs long, times long")
     counts = rows.groupBy("y", "word").agg(F.sum("docs").alias("docs"), F.sum("times").alias("times"))
     total = {r["y"]: r["docs"] for r in counts.where("word = ''").collect()}
     toxic_docs, plain_docs = total.get(1, 0), total.get(0, 0)
@@ -173,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         dictionaries = [zstandard.train_dictionary(size, x, level=19).as_bytes() for size, x in ((TOXIC_BYTES, toxic), (ORDINARY_BYTES, ordinary))]
     except zstandard.ZstdError:  # too few samples for a trained dictionary
         return Model()
-    return _calibrated(texts.join(F.broadcast(named), "id"), *dictionaries)
+    return _calibrated(texts.join(F.broadcast(named.where(~trains)), "id"), *dictionaries)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +194,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _calibrated(labelled: DataFrame, toxic: bytes, ordinary: bytes) -> Model:
-    """Log-odds of each triple of lengths, then the curve from evidence to probability, on the same documents."""
+    """Log-odds of each triple of lengths, then the curve from evidence to probability, on documents that trained no dictionary."""
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, known = Lengths(toxic, ordinary), {}
