@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import record_hash
+from ..sources.shared import stored
 from .evaluation import ALPHAS, KEY, check_features, paired_bootstrap, paired_deltas, regression_metrics, verdict
 from .signals import BLOCKS, PRIMARY
 from .statistics import quantiles
@@ -269,8 +270,12 @@ def prediction_hash(rows: DataFrame):
 
 
 def run_evaluation(joined: DataFrame, **options) -> tuple[dict, dict[tuple[str, str], DataFrame]]:
-    """The four evaluations, their errors by block, and the verdict on the primary ones; (report, prediction records)."""
-    records = {k: evaluate(joined, *k, **options)[0] for k in SCOPES}
+    """The four evaluations, their errors by block, and the verdict on the primary ones; (report, prediction records).
+
+    The joined table and the records are written once to the shared folder and read from there.
+    """
+    joined = stored(joined, "joined")
+    records = {k: stored(evaluate(joined, *k, **options)[0], "predictions") for k in SCOPES}
     mae = {k: {r["feature_block"]: r["mae"] for r in regression_metrics(p, ["feature_block"]).collect()} for k, p in records.items()}
     pairs = [("P0", "P4"), ("P3", "P4")]
     by_set = paired_deltas(records["primary", "LODO"], "dataset_id", pairs)
