@@ -41,7 +41,7 @@ SCALE, SHIFT = 1.0, 10.0
 GAIN = 8000.0
 BLOCK = 1 << 20
 #: Positions of units that a worker keeps lattices of (some 60 bytes each) before it starts afresh.
-KEPT = 3 << 19
+KEPT = 3 << 20
 #: Units whose lattices are built at once.
 TOGETHER = 4096
 _BASE = 0xC2B2AE3D27D4EB4F | 1
@@ -245,9 +245,9 @@ class Lattices:
         weight = np.zeros((most_chars, n))
         ids = np.full((n, most_chars), -2, np.int32)
         for k in range(most_chars):
-            e = slice(begin[k], begin[k + 1])
-            weight[k, place[pos[e]]] = v.weights[entry[e]]
-            ids[pos[e], k] = v.ids[entry[e]]
+            p, e = pos[begin[k] : begin[k + 1]], entry[begin[k] : begin[k + 1]]
+            weight[k][place[p]] = v.weights[e]
+            ids[:, k][p] = v.ids[e]
         rest = np.flatnonzero(ids[:, 0] == -2)  # a character without a piece is its bytes
         char = chars[rest]
         width = 1 + (char > 0x7F) + (char > 0x7FF) + (char > 0xFFFF)
