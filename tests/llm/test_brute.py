@@ -184,20 +184,87 @@ def test_suffix_tree(spark, sf):
     assert gain > 0
 
 
+def plain_tree(train, docs, st):
+    """Scores by dictionaries: contexts are tuples of words, oldest first; None is the end, "?" a word that is no symbol."""
+    c = Counter(w for d in train for w in d)
+    total, whole = sum(c.values()), sum(c.values()) + len(c) + 1
+    symbols = {w for w, n in c.items() if n >= st.P_SYMBOL * total or w is None}
+    root = {w: (c[w] + 1) / whole for w in symbols}
+    root["?"] = max(1 - sum(root.values()), 1e-12)
+    marked = lambda d: [None, *(w if w in symbols else "?" for w in d)]
+    counts = defaultdict(Counter)
+    for d in map(marked, train):
+        for i in range(1, len(d)):
+            for k in range(1, min(i, st.DEPTH) + 1):
+                counts[tuple(d[i - k : i])][d[i]] += 1
+    live = {x for x in counts if len(x) == 1 and x != ("?",)}
+    for k in range(2, st.DEPTH + 1):
+        live |= {x for x in counts if len(x) == k and x[:-1] in live and x[-1] not in ("?", None) and counts[x[:-1]][x[-1]] >= max(st.P_CONTEXT * total, math.ceil(st.P_ENTRY * total))}
+    states = {}
+
+    def chance(context, w):
+        p = root[w]
+        for k in range(1, len(context) + 1):
+            x = tuple(context[len(context) - k :])
+            if x in states:
+                size, kept, rest = states[x]
+                p = (kept.get(w, 0) + (st.PRIOR + rest) * p) / (size + st.PRIOR)
+        return p
+
+    for x in sorted(live, key=len):
+        size = sum(counts[x].values())
+        kept = {w: n for w, n in counts[x].items() if n >= math.ceil(st.P_ENTRY * total)}
+        rest = size - sum(kept.values())
+        q = {w: chance(x[1:], w) for w in kept}
+        gain = sum(n * math.log(n / size / q[w]) for w, n in kept.items())
+        if rest > 0 and (left := 1 - sum(q.values())) > 0:
+            gain += rest * math.log(rest / size / left)
+        if size >= st.P_CONTEXT * total and gain > 0.5 * (len(kept) + 1) * math.log(max(size, 2)):
+            states[x] = (size, kept, rest)
+    out = []
+    for d in docs:
+        m, score = marked(d), 0.0
+        for i in range(1, len(m)):
+            k = max((k for k in range(1, min(i, st.DEPTH) + 1) if tuple(m[i - k : i]) in live and all(tuple(m[i - j : i]) in live for j in range(1, k + 1))), default=0)
+            score += math.log10((c[d[i - 1]] + 1) / whole) + math.log10(chance(m[i - k : i], m[i]) / root[m[i]])
+        out.append(score)
+    return out, states
+
+
+@pytest.mark.parametrize("least", [1e-6, 4e-3])
+def test_suffix_tree_scores_are_those_of_plain_counts(spark, monkeypatch, least):
+    """Phrases of several lengths, so that long contexts pass the test; with and without entries left out."""
+    from tidemark.llm import suffix_tree as st
+
+    monkeypatch.setattr(st, "P_SYMBOL", 3e-3)
+    monkeypatch.setattr(st, "P_CONTEXT", 2e-3)
+    monkeypatch.setattr(st, "P_ENTRY", least)
+    rng = np.random.default_rng(8)
+    phrases = ["a b c d e", "x b c y", "a b z", "q a b c r", "b c", "e e e"]
+    docs = [" ".join(phrases[int(k)] if k < len(phrases) else f"rare{k}" for k in rng.integers(0, 9, rng.integers(1, 12))) for _ in range(400)] + ["", "a", "never seen b c"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = [[*d.split(), None] for d in docs]
+    want, states = plain_tree([t for i, t in enumerate(tokens) if not fold(i)], tokens, st)
+    assert max(map(len, states)) >= 3
+    got = {r["id"]: r["score"] for r in st.score_documents(df).collect()}
+    for i, w in enumerate(want):
+        assert math.isclose(got[i], w, rel_tol=1e-9, abs_tol=1e-9), (i, docs[i])
+
+
 def test_suffix_tree_sums_to_one(spark):
     """In every state of a small tree the probabilities of all words and of the unknown rest sum to one."""
     from tidemark.llm import suffix_tree as st
 
     texts = spark.createDataFrame([(f"{a} b c {a} d " * 40,) for a in "axyz"], "text string").selectExpr("cast(text as binary) as text")
-    tree, words = st.fit(texts)
-    sizes = [int((s > 0).sum()) for s in tree.size]
-    assert sizes[0] > 0
+    tree, _ = st.fit(texts)
+    assert len(tree.levels) > 2 and all((level.size > 0).any() for level in tree.levels[:2])
     every = np.arange(tree.other + 1)
-    for one in range(tree.other):
-        near = tree._mixed(0, np.full(len(every), one), every, tree.share)
-        assert math.isclose(near.sum(), 1, rel_tol=1e-9)
-        for pair in np.flatnonzero(tree.pairs % (tree.other + 1) == one):
-            assert math.isclose(tree._mixed(1, np.full(len(every), pair), every, near).sum(), 1, rel_tol=1e-9)
+    for n, level in enumerate(tree.levels):
+        for context in np.flatnonzero(level.size > 0):
+            at = np.full(len(every), context)
+            p = tree.mixed(n, at, every, tree.suffix_chances(n, at, every))
+            assert math.isclose(p.sum(), 1, rel_tol=1e-9)
 
 
 def segmentations(vocabulary, unit):
