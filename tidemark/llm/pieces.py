@@ -7,7 +7,7 @@ paths below it. The search always opens the node with the largest bound; its bes
 bound and the other children share a truncated one, so a first path comes straight from the lattice and
 each further path leaves an earlier one where the largest remaining bound is. The k+1-th bound gives the
 inclusion scores. Texts are units (a word with the spaces before it), and long units are cut where no piece
-of the vocabulary reaches across; so each unit has a lattice of its own, which a worker keeps for the texts
+of the vocabulary reaches across; so each unit has a lattice of its own, which a task keeps for the texts
 that follow, and all units of a block of texts are handled at once in arrays.
 
 encode_texts gives the most probable segmentation of the same lattice, decode_ids the text of ids.
@@ -40,8 +40,8 @@ SCALE, SHIFT = 1.0, 10.0
 #: Weights are multiplied by this for each byte of text, all paths of a unit alike, which keeps sums near one.
 GAIN = 8000.0
 BLOCK = 1 << 20
-#: Positions of units that a worker keeps lattices of (some 60 bytes each) before it starts afresh.
-KEPT = 3 << 20
+#: Positions of units that a task keeps lattices of (some 60 bytes each) before it starts afresh.
+KEPT = 2 << 20
 #: Units whose lattices are built at once.
 TOGETHER = 4096
 _BASE = 0xC2B2AE3D27D4EB4F | 1
@@ -469,12 +469,6 @@ def decode(vocabulary: Vocabulary, ids: np.ndarray) -> bytes:
     return raw.removeprefix(b" ")
 
 
-@lru_cache(maxsize=2)
-def _lattices(path: str, search: bool = False) -> Lattices:
-    """The lattices that a worker keeps between blocks and tasks; which ones does not change any result."""
-    return Lattices(load(path), search)
-
-
 def _blocks(texts: list[str], block: int) -> Iterator[tuple[int, int]]:
     """Spans of texts with about block characters each."""
     sizes = np.cumsum([len(t) + 200 for t in texts])
@@ -503,7 +497,7 @@ def sample_segmentations(docs: DataFrame, model_path: str, *, k: int = 2, seed:
     names = [id_col, "rank", "ids", "n_pieces", "log_prob", "inclusion", "exact"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = _lattices(model_path)
+        lattices = Lattices(load(model_path))
         for batch in batches:
             texts = [b.decode("utf-8", "replace") for b in byte_values(batch.column(2))]
             keys = batch.column(1).to_numpy().view(np.uint64)
@@ -536,7 +530,7 @@ def encode_texts(docs: DataFrame, model_path: str, *, text_col: str = "text", id
     at, names = docs.columns.index(text_col), [*docs.columns, ids_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = _lattices(model_path, search=True)
+        lattices = Lattices(load(model_path), search=True)
         for batch in batches:
             texts = [b.decode("utf-8", "replace") for b in byte_values(batch.column(at))]
             for a, b in _blocks(texts, block):

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import byte_values, free_name
+from .common import byte_values, free_name, numbered, small_batches, small_side, written
 
 #: Labelled documents that a model is fitted on, at most about so many: rows are taken by a hash of their id.
 SAMPLE = 20_000
@@ -153,6 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     # each batch sends counts of its words, not its texts
     rows = texts.join(F.broadcast(named.where(trains)), "id").mapInArrow(_counted, "y int, word string, docs long, times long")
     counts = rows.groupBy("y", "word").agg(F.sum("docs").alias("docs"), F.sum("times").alias("times"))
+    counts = written(counts, "word-counts")
     total = {r["y"]: r["docs"] for r in counts.where("word = ''").collect()}
     toxic_docs, plain_docs = total.get(1, 0), total.get(0, 0)
     if not toxic_docs or not plain_docs:
@@ -175,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         dictionaries = [zstandard.train_dictionary(size, x, level=19).as_bytes() for size, x in ((TOXIC_BYTES, toxic), (ORDINARY_BYTES, ordinary))]
     except zstandard.ZstdError:  # too few samples for a trained dictionary
         return Model()
-    return _calibrated(texts.join(F.broadcast(named.where(~trains)), "id"), *dictionaries)
+    with small_batches(docs.sparkSession):
+        return _calibrated(texts.join(F.broadcast(named.where(~trains)), "id"), *dictionaries)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,29 +235,32 @@ def _calibrated(labelled: DataFrame, toxic: bytes, ordinary: bytes) -> Model:
     return model
 
 
-def with_scores(docs: DataFrame, model: Model, text_col: str, score_col: str) -> DataFrame:
-    """docs with score_col added: the chance, 0 to 1, that each whole text is toxic."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*docs.columns, score_col]
-    at = docs.columns.index(text_col)
+def text_scores(rows: DataFrame, model: Model) -> DataFrame:
+    """key and score, 0 to 1, of each row of (key, text): the chance that its whole text is toxic. Texts go to Python, nothing else comes back."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evidence, score = held.value.scorer()
         for batch in batches:
-            s = [score(evidence(raw.decode("utf-8", "replace"))) for raw in byte_values(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names)
+            s = [score(evidence(raw.decode("utf-8", "replace"))) for raw in byte_values(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["key", "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
+    return rows.select("key", F.col("text").cast("binary")).mapInArrow(run, StructType([rows.schema["key"], StructField("score", DoubleType())]))
 
 
 def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, score, predicted of each row. A null text is scored as an empty one."""
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    scored = with_scores(some, model, "text", "score")
+    scored = text_scores(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")), model).withColumnRenamed("key", "id")
     return scored.select("id", held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", cut: float = 0.5) -> DataFrame:
-    """docs without the rows that score cut or more; the columns stay as they are."""
-    score = free_name(docs, "score")
-    return with_scores(docs, model, text_col, score).where(F.col(score) < cut).drop(score)
+    """docs without the rows that score cut or more; the columns stay as they are.
+
+    docs is written once with row numbers, and the numbers of the rejected rows once more.
+    """
+    row = free_name(docs, "row")
+    rows = numbered(docs, row)
+    scored = text_scores(rows.select(F.col(row).alias("key"), F.col(text_col).alias("text")), model)
+    gone = written(scored.where(F.col("score") >= cut).select(F.col("key").alias(row)), "rejected")
+    return rows.join(small_side(gone), row, "left_anti").drop(row)
