@@ -19,11 +19,13 @@ from .sums import summed, vector_map
 
 TOLERANCE = 1e-5
 MAX_ITERATIONS = 150
+#: When a solution counts as degenerate.
+SAME_CENTER, FLAT_FPC, FLAT_MAX = 0.02, 0.02, 0.15
 
 
 def distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Euclidean distances, rows by centers."""
-    return np.sqrt(np.maximum(((x[:, None, :] - v[None, :, :]) ** 2).sum(2), 0))
+    """Euclidean distances, rows by centers; one center at a time, so that no block of rows x centers x features is held."""
+    return np.sqrt(np.stack([((x - c) ** 2).sum(1) for c in v], 1))
 
 
 def fuzzy(d: np.ndarray, m: float) -> np.ndarray:
@@ -162,12 +164,13 @@ def degeneracy(points: DataFrame, model: Model, x: str = "x") -> dict[str, float
     scale = math.sqrt(max(s[4] / n - (mean**2).sum(), 0))
     between = distances(model.centers, model.centers) + np.where(np.eye(k) > 0, np.inf, 0)
     nearest = float(between.min()) / max(scale, 1e-12) if k > 1 else 0.0
-    distinct: list[np.ndarray] = []
-    for c in model.centers:
-        if all(np.linalg.norm(c - e) > 0.02 * max(scale, 1e-12) for e in distinct):
-            distinct.append(c)
+    close = between <= SAME_CENTER * max(scale, 1e-12)
+    distinct: list[int] = []
+    for i in range(k):
+        if not close[i, distinct].any():
+            distinct.append(i)
     out = {"fpc_gap": s[1] / n - 1 / k, "pe_gap": math.log(k) - s[2] / n, "mean_max": s[3] / n, "nearest": nearest, "distinct": len(distinct)}
-    out["degenerate"] = out["fpc_gap"] < 0.02 and out["mean_max"] < 1 / k + 0.15 and (nearest < 0.02 or len(distinct) < k)
+    out["degenerate"] = out["fpc_gap"] < FLAT_FPC and out["mean_max"] < 1 / k + FLAT_MAX and (nearest < SAME_CENTER or len(distinct) < k)
     return out
 
 
@@ -230,11 +233,12 @@ def fit_pfcm(points: DataFrame, k: int, seed: int = 0, m: float = 2.0, a: float
 
 
 def regularised(cov: np.ndarray, least: float = 1e-6, condition: float = 1e8, ridge: float = 1e-5) -> np.ndarray:
-    """A symmetric matrix with eigenvalues of at least `least` and a bounded condition number."""
+    """The symmetric part; where its least eigenvalue is under `least` or its condition beyond `condition`, eigenvalues
+    are raised to a share `ridge` of their mean (1e-4 at least), or to `least`."""
     cov = (cov + cov.T) / 2
     value, vector = np.linalg.eigh(cov)
     if value[0] < least or value[-1] / max(value[0], 1e-300) > condition:
-        value = np.maximum(value, max(least, ridge * max(value[-1], least)))
+        value = np.maximum(value, max(least, ridge * max(value.mean(), 1e-4)))
         cov = (vector * value) @ vector.T
     return cov
 
@@ -246,8 +250,16 @@ def fit_gk(points: DataFrame, k: int, seed: int = 0, m: float = 2.0, max_iterati
     model = Model("gk", v, m, shape=np.stack([np.eye(d)] * k))
     moved = math.inf
     for step in range(max_iterations):
-        s = summed(points, lambda p, model=model: center_sums(p, model.of(p) ** m), x)
-        top, mass = split_sums(s, k)
+
+        def weighted(p: np.ndarray, model: Model = model) -> np.ndarray:
+            d = mahalanobis(p, model.centers, model.shape)
+            w = fuzzy(d, m) ** m
+            return np.concatenate(([(w * d**2).sum()], center_sums(p, w)))
+
+        s = summed(points, weighted, x)
+        model.objective = float(s[0])
+        model.history.append(model.objective)
+        top, mass = split_sums(s[1:], k)
         new = top / np.maximum(mass, 1e-15)[:, None]
 
         def spread(p: np.ndarray, new: np.ndarray = new, model: Model = model) -> np.ndarray:

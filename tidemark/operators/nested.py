@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import record_hash
+from ..functions.hashing import config_hash, record_hash
+from ..sources.artifacts import ResultTable, table_hash
 from ..sources.shared import stored
 from .evaluation import ALPHAS, KEY, check_features, paired_bootstrap, paired_deltas, regression_metrics, verdict
 from .signals import BLOCKS, PRIMARY
@@ -269,6 +270,31 @@ def prediction_hash(rows: DataFrame):
     return record_hash(*[F.round(c, 7) if kinds[c] in ("double", "float") else F.col(c) for c in RECORD])
 
 
+JOB = ["analysis_scope", "outer_eval_type", "outer_test_group", "feature_block", "regressor"]
+
+
+def protocol(joined: DataFrame, blocks: Mapping[str, Sequence[str]] = BLOCKS, alphas: Sequence[float] = ALPHAS, folds: int = INNER_FOLDS) -> str:
+    """What a stored evaluation is bound to: the joined table, the blocks and the tuning."""
+    return config_hash({"joined": table_hash(joined), "blocks": {k: list(v) for k, v in blocks.items()}, "alphas": list(alphas), "folds": folds})
+
+
+def resumed(joined: DataFrame, scope: str, kind: str, results: ResultTable, **options) -> DataFrame:
+    """The prediction records of one evaluation: those that results has, which must be of this protocol, and the
+    rest of the jobs (outer group and block), which are computed and appended."""
+    blocks = options.pop("blocks", BLOCKS)
+    spark, outer = joined.sparkSession, SCOPES[scope, kind]
+    rows = scoped(joined, scope)
+    groups = sorted(r[0] for r in rows.where(F.col(outer) != CLEAN).select(outer).distinct().limit(MOST_GROUPS).collect())
+    jobs = spark.createDataFrame([(scope, kind, g, b, "ridge") for g in groups for b in blocks], ", ".join(f"{c} string" for c in JOB))
+    held = rows.where(F.col(outer).isin(groups)).select(F.col(outer).alias("outer_test_group"), *KEY)
+    universe = jobs.join(held, "outer_test_group").select(*JOB, *KEY)
+    open_ = sorted(r[0] for r in results.todo(universe).select("feature_block").distinct().collect())
+    if open_:
+        found, _ = evaluate(joined, scope, kind, blocks={b: blocks[b] for b in open_}, **options)
+        results.append(found.drop("record_sha256"), sorted(SCOPES).index((scope, kind)))
+    return results.valid().join(F.broadcast(jobs), JOB, "left_semi")
+
+
 def run_evaluation(joined: DataFrame, **options) -> tuple[dict, dict[tuple[str, str], DataFrame]]:
     """The four evaluations, their errors by block, and the verdict on the primary ones; (report, prediction records).
 

@@ -48,10 +48,8 @@ def summed(df: DataFrame, fn: Callable[..., np.ndarray], *columns: str) -> np.nd
 
     some = df.select(*columns)
     parts = some.mapInArrow(partial, "v array<double>")
-    n = some.rdd.getNumPartitions()
-    while n > FAN_IN:
-        n = -(-n // FAN_IN)
-        parts = parts.repartition(n).mapInArrow(merged, "v array<double>")
+    # one merge in a few tasks, whatever the number of parts, which to ask for would run the plan once more
+    parts = parts.repartition(min(FAN_IN, df.sparkSession.sparkContext.defaultParallelism)).mapInArrow(merged, "v array<double>")
     rows = parts.toArrow().column("v").combine_chunks()
     return as_matrix(rows).sum(0) if len(rows) else np.empty(0)
 
