@@ -1,8 +1,11 @@
 """Defined results on nulls, empty texts, repeats, long texts, empty tables and clashing columns."""
 
+import hashlib
+
 import pytest
 
 from tidemark.llm import suffix_tree, toxicity
+from tidemark.llm.chat_format import format_turns, json_turns, parsed, read_back, table_turns
 from tidemark.llm.exact_dedup import exact_dedup, exact_groups
 from tidemark.llm.jaccard_join import jaccard_classes, keep_one_per_class
 from tidemark.llm.licenses import scan_licenses
@@ -10,6 +13,7 @@ from tidemark.llm.media import media_features
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.pieces import sample_segmentations
 from tidemark.llm.queries import PIECES
+from tidemark.llm.url_filter import Rule, filter_urls
 
 #: Edge cases of every operator on documents: nulls, empty and blank texts, ties, repeated rows, a long text, clashing columns.
 ROWS = [
@@ -101,3 +105,58 @@ def test_suffix_tree(docs, nothing):
 @pytest.mark.parametrize("op", [media_features, scan_licenses])
 def test_repeated_rows(docs, op):
     assert op(docs).count() == len(ROWS)
+
+
+#: URL, and whether a rule without a host, with a star in its host, and with a host alone fits it.
+URLS = [("http://a.net/ads/1", 1, 0, 0), ("http://a.net/x", 0, 0, 0), ("http://t.bad.org/", 0, 1, 0), ("http://bad.org/", 0, 0, 0), ("http://x.only.com", 0, 0, 1), (None, 0, 0, 0), ("no scheme/ads", 0, 0, 0), ("http:///ads", 1, 0, 0), ("http://a.net/" + "p/" * 50_000 + "ads", 0, 0, 0)]
+
+
+def test_urls_without_literal_tokens(spark):
+    rows = [(i, u, "s", "h", "p", "t") for i, (u, *_) in enumerate(URLS)] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, seq string, host string, path string, token string")
+    for k, rule in enumerate([Rule("block", "/ads"), Rule("block", "*.bad.org/"), Rule("block", "only.com")], 1):
+        got = [(r["page_id"], r["verdict"] == "block") for r in filter_urls(df, [rule, Rule("allow", "net/zzz/")]).collect()]
+        assert sorted(got) == sorted((i, bool(u[k])) for i, u in enumerate(URLS) for _ in (0, 1))
+    assert filter_urls(df.where("false"), [Rule("block", "/ads")]).count() == 0
+    assert {r["verdict"] for r in filter_urls(df, []).collect()} == {"allow"}
+    # a rule for everything still fits no URL that has neither host nor path
+    assert sum(r["verdict"] == "block" for r in filter_urls(df, [Rule("block", "*")]).collect()) == 2 * 7
+
+
+RECORDS = [
+    ('{"prompt": "a", "completion": null}', "prompt_completion", [("user", "a"), ("assistant", "")]),
+    ('{"instruction": "i", "input": null, "output": "o"}', "instruction", [("user", "i"), ("assistant", "o")]),
+    ('{"messages": []}', "messages", []),
+    ('{"conversations": []}', "conversations", []),
+    ('{"prompt": "stray", "messages": [{"role": "user", "content": "m"}, 7]}', "messages", [("user", "m")]),
+    ('{"messages": [{"role": null, "content": null}]}', "messages", [("", "")]),
+    ('{"system": null, "prompt": "p", "response": "r"}', "prompt_response", [("user", "p"), ("assistant", "r")]),
+    ('{"question": "q", "answer": "a", "text": "t"}', "question_answer", [("user", "q"), ("assistant", "a")]),
+    ("[1]", None, None),
+    ("", None, None),
+    (None, None, None),
+]
+
+
+def test_chat_records(spark):
+    df = spark.createDataFrame([(i, r[0], "x") for i, r in enumerate(RECORDS)] * 2, "conv_id long, record string, layout string")
+    turns = json_turns(df, "conv_id", "record")
+    got = {r["conv_id"]: (r["layout"], r["turns"] if r["turns"] is None else [tuple(t) for t in r["turns"]]) for r in turns.collect()}
+    assert got == {i: r[1:] for i, r in enumerate(RECORDS)}
+    text = {r["conv_id"]: r["formatted"] for r in format_turns(turns).collect()}
+    assert all(text[i] is None if r[2] is None else parsed(text[i]) == r[2] for i, r in enumerate(RECORDS))
+    back = read_back(format_turns(turns)).collect()
+    assert len(back) == 2 * len(RECORDS) and {r["n_turns"] for r in back if r["conv_id"] == 2} == {0} and all(r["n_turns"] is None for r in back if r["conv_id"] > 7)
+    assert read_back(format_turns(json_turns(df.where("false"), "conv_id", "record"))).count() == 0
+
+
+def test_chat_rows(spark):
+    """Null roles and texts, ties of turn numbers, repeated rows, clashing columns, a long text, an empty table."""
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, None, None, None), (2, 1, "assistant", "<s>" * 30_000), (2, 0, "user", "\\l[INST]"), (2, 0, "user", "\\l[INST]")]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id long, turn int, role string, text string, layout string, turns string")
+    turns = table_turns(df)
+    got = {r["conv_id"]: parsed(r["formatted"]) for r in format_turns(turns).collect()}
+    assert got == {1: [("", ""), ("user", "a"), ("user", "b")], 2: [("user", "\\l[INST]")] * 2 + [("assistant", "<s>" * 30_000)]}
+    back = {r["conv_id"]: r for r in read_back(format_turns(turns)).collect()}
+    assert back[2]["loss_sha256"] == hashlib.sha256(("<s>" * 30_000).encode()).hexdigest() and back[1]["loss_chars"] == 0
+    assert table_turns(df.where("false")).count() == 0

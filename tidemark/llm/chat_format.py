@@ -55,22 +55,40 @@ LAYOUTS = [
     Mapping("system_prompt_response", ("system", "prompt", "response"), None, (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Mapping("question_answer", ("question", "answer"), None, (("user", "question"), ("assistant", "answer"))),
 ]
-KNOWN_PATHS = {p for m in LAYOUTS for p in m.paths}
+#: Paths that a layout uses, and its list of turns where that is empty.
+KNOWN_PATHS = {p for m in LAYOUTS for p in (*m.paths, *([f"{m.turns}[]"] if m.turns else []))}
 
 
 def fingerprint(paths: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths & KNOWN_PATHS)).encode()).hexdigest()[:16]
 
 
-BY_FINGERPRINT = {fingerprint({*m.paths}): m for m in LAYOUTS}
+BY_FINGERPRINT = {fingerprint({*m.paths}): m for m in LAYOUTS} | {fingerprint({f"{m.turns}[]"}): m for m in LAYOUTS if m.turns}
 
 
-def value_paths(value, at: str = "") -> set[str]:
-    """Field paths of a parsed record that hold a value; list elements are marked []."""
+def mapping_of(paths: set[str]) -> Mapping | None:
+    """The layout with the paths' fingerprint; for paths that have a whole layout and stray fields of others, the
+    layout with turns in a list, else the one with the most fields (ties: the first). Found once for each fingerprint."""
+    mark = fingerprint(paths)
+    if mark not in BY_FINGERPRINT:
+        inside = [m for m in LAYOUTS if paths.issuperset(m.paths)]
+        BY_FINGERPRINT[mark] = max(inside, key=lambda m: (m.turns is not None, len(m.paths)), default=None)
+    return BY_FINGERPRINT[mark]
+
+
+def record_mapping(record) -> Mapping | None:
+    """The layout of a parsed record: by the fields that hold a value, else by all, nulls among them."""
+    if not isinstance(record, dict):
+        return None
+    return mapping_of(value_paths(record, nulls=False)) or mapping_of(value_paths(record))
+
+
+def value_paths(value, at: str = "", nulls: bool = True) -> set[str]:
+    """Field paths of a parsed record; list elements are marked [], and so is an empty list itself."""
     if isinstance(value, dict):
-        return {p for k, v in value.items() if v is not None for p in value_paths(v, f"{at}.{k}" if at else k)}
+        return {p for k, v in value.items() if nulls or v is not None for p in value_paths(v, f"{at}.{k}" if at else k, nulls)}
     if isinstance(value, list):
-        return {p for v in value for p in value_paths(v, f"{at}[]")}
+        return {p for v in value for p in value_paths(v, f"{at}[]", nulls)} or {f"{at}[]"}
     return {at}
 
 
@@ -88,21 +106,26 @@ def _text(value) -> str:
 
 
 def record_turns(record) -> list[tuple[str, str]] | None:
-    """Canonical turns of a parsed record, or None if no layout has its fingerprint."""
-    mapping = BY_FINGERPRINT.get(fingerprint(value_paths(record))) if isinstance(record, dict) else None
+    """Canonical turns of a parsed record, or None if it has no layout."""
+    mapping = record_mapping(record)
     if mapping is None:
         return None
     names = dict(mapping.roles)
     if mapping.turns is not None:
         role, text = mapping.fields[0]
-        return [(names.get(r := _text(t.get(role)), r), _text(t.get(text))) for t in record[mapping.turns] if isinstance(t, dict)]
+        return [(names.get(r := _text(t.get(role)), r), _text(t.get(text))) for t in record[mapping.turns] or [] if isinstance(t, dict)]
     if mapping.name == "turn_rows":
         return [(_text(record.get("role")), _text(record.get("text")))]
     return [(role, _text(record.get(path))) for role, path in mapping.fields]
 
 
 def json_turns(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """conv_id, layout, turns of JSON records of any layout; an unknown layout or bad JSON gives null for both."""
+    """conv_id, layout, turns of JSON records of any layout; an unknown layout or bad JSON gives null for both.
+
+    A null field is an empty text, unless the record is of a layout without it; a list without turns gives none.
+    Elements of a list of turns that are not records are left out. Repeated records are converted one by one; other
+    columns are ignored; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +136,7 @@ def json_turns(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
                 except ValueError:
                     record = None
                 found = record_turns(record)
-                layouts.append(BY_FINGERPRINT[fingerprint(value_paths(record))].name if found is not None else None)
+                layouts.append(record_mapping(record).name if found is not None else None)
                 turns.append(None if found is None else [{"role": r, "text": t} for r, t in found])
             kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(layouts, pa.string()), pa.array(turns, kind)], ["conv_id", "layout", "turns"])
@@ -129,7 +152,7 @@ def table_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     one conversation a row, each row is one. Null roles and texts are empty; columns that no layout uses
     are ignored. An empty table gives an empty result; an unknown layout raises ValueError.
     """
-    mapping = BY_FINGERPRINT.get(fingerprint(schema_paths(df.schema)))
+    mapping = mapping_of(schema_paths(df.schema))
     if mapping is None:
         raise ValueError(f"no layout has the fields {sorted(schema_paths(df.schema))}")
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
@@ -165,7 +188,11 @@ def unescaped(text: str) -> str:
 
 
 def format_turns(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """conv_id, layout, formatted, loss_spans: the text and the code-point spans (start, end) under the loss mask."""
+    """conv_id, layout, formatted, loss_spans: the text and the code-point spans (start, end) under the loss mask.
+
+    Null turns stay null; a conversation without turns is an empty text. A conversation is one row, so its texts must
+    fit into one. Repeated rows are formatted one by one; other columns are ignored; an empty table stays empty.
+    """
     parts = F.transform("turns", lambda t: F.struct(F.concat(F.lit(OPEN), escaped(t["role"], True), F.lit(MIDDLE)).alias("head"), escaped(t["text"]).alias("body"), (t["role"] == loss_role).alias("loss")))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
 
@@ -190,12 +217,18 @@ def parsed(formatted: str) -> list[tuple[str, str]]:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Counts and digests of each formatted conversation, read from its text and loss spans alone."""
+    """Counts and digests of each formatted conversation, read from its text and loss spans alone.
+
+    A null text has null in all of them, an empty one no turns. Other columns are ignored; an empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if text is None:
+                    rows.append((None,) * 5)
+                    continue
                 turns, digest = parsed(text), hashlib.sha256()
                 for role, body in turns:
                     digest.update(f"{role}\n{body}\n".encode("utf-8", "surrogatepass"))
