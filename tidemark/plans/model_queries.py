@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import argmax, argmin, distances, fuzzy_memberships, js_divergence, literal, normalised_entropy, squared_distance
+from ..functions.vectors import argmax, argmin, distances, js_divergence, literal, normalised_entropy, squared_distance
 from ..operators import alignment, clustering, external, signals
 from ..sources.ingest import embedding_points
 from .data_queries import POINTS, REF_BANK, SEED, rounded, side, sql_side
@@ -40,7 +40,7 @@ def parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, np.ndarra
 
 
 def memberships(points: DataFrame, centers: np.ndarray, out: str = "u", m: float = M) -> DataFrame:
-    return points.withColumn("__d", distances(F.col("x"), centers)).withColumn(out, fuzzy_memberships(F.col("__d"), m)).drop("__d")
+    return clustering.Model("fcm", centers, m).memberships(points, out=out)
 
 
 def _u(points: str, centers: str, name: str, m: float = M) -> str:
