@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from tidemark.operators import shifts
+from tidemark.operators import shifts, signals
+from tidemark.sources import catalogue, providers
 from tidemark.sources import descriptors as d
 from tidemark.sources.ingest import with_row_id
 
@@ -64,3 +65,39 @@ def test_row_ids_are_one_to_one(spark, n):
     if n:
         assert df.selectExpr("sum(hash(row_id, k, v)) as s").first() == df.selectExpr("sum(hash(row_id, k, v)) as s").first()
         assert df.where("row_id = 0").first()["k"] == 0
+
+
+def test_registry(spark, tmp_path):
+    good = '{"id": "a", "dataset_group": "controlled_real", "source_provider": "p", "target": "y", "feature_roles": {"x": "numeric"}}'
+    (tmp_path / "r.json").write_text(good + "\n" + good.replace('"a"', '"b"'))
+    table = catalogue.registry(spark, f"file://{tmp_path}/r.json")
+    assert catalogue.listed(table, provider="p") == ["a", "b"] and catalogue.spec(table, "a")["target"] == "y"
+    (tmp_path / "w.json").write_text("\n".join([good, good, good.replace('"a"', '"c"').replace("numeric", "colour"), good.replace('"a"', '"d"').replace('"target": "y", ', "")]))
+    with pytest.raises(ValueError, match=r"\['a', 'c', 'd'\]"):
+        catalogue.registry(spark, f"file://{tmp_path}/w.json")
+    assert catalogue.synthetic_spec("s03")["dimension"] == 100
+    with pytest.raises(KeyError):
+        catalogue.synthetic_spec("s99")
+
+
+def test_domain_files(spark, tmp_path):
+    (tmp_path / "ca.csv").write_text("age,work,inc\n30,a,1\nx,b,0\n")
+    (tmp_path / "ny.csv").write_text("age,inc\n40,1\n")
+    got = providers.domain_files(spark, {"CA": f"file://{tmp_path}/ca.csv", "NY": f"file://{tmp_path}/ny.csv"}, "inc", ["age"])
+    assert sorted(map(tuple, got.select("domain", "age", "work", "target").collect()), key=str) == [("CA", 30.0, "a", "1"), ("CA", None, "b", "0"), ("NY", 40.0, None, "1")]
+    with pytest.raises(ValueError, match="no column"):
+        providers.domain_files(spark, {"CA": f"file://{tmp_path}/ca.csv"}, "other")
+
+
+@pytest.mark.parametrize("rows, message", [([[0.1, 0.9], [1.0]], "one dimension"), ([[0.5, float("nan")]], "finite"), ([[0.5, 0.6]], "off the simplex"), ([[1.5, -0.5]], "outside"), ([[0.2, 0.3, 0.5]], "2 clusters")])
+def test_memberships_are_checked(spark, rows, message):
+    df = spark.createDataFrame([(r,) for r in rows], "u array<double>")
+    with pytest.raises(ValueError, match=message):
+        signals.check_memberships(df, "u", 2)
+
+
+def test_centers_are_checked():
+    signals.check_centers(np.zeros((2, 3)), 2, 3)
+    for bad in (np.zeros((3, 3)), np.full((2, 3), np.nan), np.zeros(6)):
+        with pytest.raises(ValueError, match="centers must be"):
+            signals.check_centers(bad, 2, 3)

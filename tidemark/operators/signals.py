@@ -51,6 +51,31 @@ def check_simplex(rows: DataFrame, u: str, tolerance: float = SIMPLEX_TOLERANCE)
         raise ValueError(f"{u} is off the simplex by {worst}")
 
 
+def check_points(rows: DataFrame, x: str = "x") -> int:
+    """The common dimension of a column of points; ValueError if they differ, are missing, or hold a null, NaN or infinity."""
+    v = F.col(x)
+    bad = v.isNull() | F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    low, high, wrong = rows.agg(F.min(F.size(v)), F.max(F.size(v)), F.max(bad.cast("int"))).first()
+    if wrong or low != high:
+        raise ValueError(f"{x} must have finite points of one dimension (found {low} to {high})")
+    return high or 0
+
+
+def check_memberships(rows: DataFrame, u: str, k: int, tolerance: float = SIMPLEX_TOLERANCE) -> None:
+    """ValueError unless every row has k finite memberships that are not negative and sum to one."""
+    if check_points(rows, u) not in (0, k):
+        raise ValueError(f"{u} does not have {k} clusters")
+    if not rows.where(F.exists(u, lambda c: (c < -tolerance) | (c > 1 + tolerance))).isEmpty():
+        raise ValueError(f"{u} has memberships outside 0 to 1")
+    check_simplex(rows, u, tolerance)
+
+
+def check_centers(centers: np.ndarray, k: int, d: int) -> None:
+    """ValueError unless a model's centers are k finite points of d dimensions."""
+    if np.shape(centers) != (k, d) or not np.isfinite(centers).all():
+        raise ValueError(f"centers must be {k} finite points of dimension {d}, not {np.shape(centers)}")
+
+
 def membership_drift(rows: DataFrame, u_source: str = "u_ref", u_candidate: str = "u_cand") -> DataFrame:
     """mean, median and p95 of the row-wise Jensen-Shannon divergence."""
     js = js_divergence(F.col(u_source), F.col(u_candidate))

@@ -38,3 +38,22 @@ def listed(table: DataFrame, group: str | None = None, provider: str | None = No
     if provider:
         table = table.where(F.col("source_provider") == provider)
     return [r["id"] for r in table.select("id").orderBy("id").collect()]
+
+
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    """The catalogue in a file of JSON records, one a line, with SCHEMA's fields. ValueError names records without an
+    id or target, repeated ids, and roles that no column can have."""
+    table = spark.read.schema(SCHEMA).json(path)
+    roles = F.exists(F.map_values(F.coalesce("feature_roles", F.create_map().cast("map<string,string>"))), lambda r: ~r.isin("numeric", "categorical", "ordinal", "boolean"))
+    twice = table.groupBy("id").count().where("count > 1").select("id")
+    wrong = table.where(F.col("id").isNull() | F.col("target").isNull() | roles).select("id").unionByName(twice)
+    bad = sorted({str(r["id"]) for r in wrong.limit(1000).collect()})
+    if bad:
+        raise ValueError(f"not sound in the registry: {bad}")
+    return table
+
+
+def synthetic_spec(name: str) -> dict:
+    """A synthetic family by id; KeyError if there is none."""
+    found = {s[0]: dict(zip(("id", "distribution", "k", "dimension", "rows", "df"), s, strict=True)) for s in SYNTHETIC}
+    return found[name]

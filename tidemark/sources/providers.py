@@ -67,3 +67,21 @@ def manifest(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
                 t = spark.read.parquet(f"{p}/{part}.parquet")
                 rows.append((k, part, t.count(), len(t.columns), table_hash(t)))
     return spark.createDataFrame(rows, "dataset_id string, part string, n_rows long, n_columns int, sha256 string")
+
+
+def domain_files(spark: SparkSession, paths: dict[str, str], target: str, numeric: list[str] | None = None) -> DataFrame:
+    """Landed CSV files of one task, a file or folder for each domain, as one table with columns domain and target.
+
+    Numbers are cast (bad ones null); a column that some domains lack is null there. A domain whose file is not
+    there raises.
+    """
+    out = None
+    for domain, path in sorted(paths.items()):
+        t = spark.read.option("header", True).csv(path)
+        if target not in t.columns:
+            raise ValueError(f"{path} has no column {target}")
+        cast = [F.expr(f"try_cast(`{c}` as double)").alias(c) for c in t.columns if c != target and (numeric is None or c in numeric)]
+        rest = [F.col(c) for c in t.columns if c != target and not (numeric is None or c in numeric)]
+        one = t.select(F.lit(domain).alias("domain"), *cast, *rest, F.col(target).alias("target"))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
