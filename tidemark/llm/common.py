@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Tables of ids, with a few numbers each, are broadcast up to this many rows (some 50 MB at most); beyond it Spark joins by shuffle.
 BROADCAST_IDS = 200_000
-#: Rows of an Arrow batch in the jobs that operators run themselves: some 5 MB of ordinary texts.
-ARROW_ROWS = 2000
+#: Rows of an Arrow batch in the jobs that operators run themselves: some 3 MB of ordinary texts.
+ARROW_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,10 +53,39 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]
         spark.conf.set(name, held)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+#: Tables of the scopes that are open: (path, whether it outlives its scope).
+_SCOPES: ContextVar[tuple[list[tuple[str, bool]], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end, but for those written with keep, which the scope around gets.
+
+    What is returned from inside must not read a removed table."""
+    mine: list[tuple[str, bool]] = []
+    outer = _SCOPES.get()
+    token = _SCOPES.set((*outer, mine))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path, keep in mine:
+            if not keep:
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(conf).delete(at, True)
+            elif outer:
+                outer[-1].append((path, False))
+
+
+def written(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    In a scope (see scratch) the table goes with it, unless keep is set."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{tag}-{uuid.uuid4().hex}"
+    if scopes := _SCOPES.get():
+        scopes[-1].append((path, keep))
     with small_batches(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -76,7 +107,7 @@ def with_seq(df: DataFrame, name: str) -> DataFrame:
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df with a row number, written once: each later read sees the same numbers, whatever shuffles made df."""
-    return written(with_seq(df, name), "rows")
+    return written(with_seq(df, name), "rows", keep=True)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -87,6 +118,26 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Return the memory that freed arrays have left to the system: Python workers live on between tasks."""
+    _POW.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with memory given back at the end of the task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def byte_values(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     """The values of a binary or string Arrow column as bytes; null as empty."""
     for v in column.cast(pa.binary()) if pa.types.is_string(column.type) else column:

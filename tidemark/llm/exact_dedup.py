@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, free_name, numbered, small_side, with_seq, written
+from .common import SPACE, free_name, numbered, scratch, small_side, with_seq, written
 
 FAN_IN = 16
 
@@ -76,6 +76,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     seq = free_name(docs, "seq")
     rows = numbered(docs, seq)
-    marked = digests(rows.select(F.col(id_col).alias("id"), F.col(seq).alias("seq"), F.col(text_col).alias("text")))
-    gone = written(tree_groups(written(marked, "digests")).where("not kept").select(F.col("seq").alias(seq)), "copies")
+    with scratch(docs.sparkSession):
+        marked = digests(rows.select(F.col(id_col).alias("id"), F.col(seq).alias("seq"), F.col(text_col).alias("text")))
+        gone = written(tree_groups(written(marked, "digests")).where("not kept").select(F.col("seq").alias(seq)), "copies", keep=True)
     return rows.join(small_side(gone), seq, "left_anti").drop(seq)

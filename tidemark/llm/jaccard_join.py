@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, byte_values, free_name, mix64, numbered, small_batches, small_side, written
+from .common import Words, blocks, byte_values, free_name, frugal, mix64, numbered, scratch, small_batches, small_side, written
 from .exact_dedup import tree_groups
 
 WORDS = 5
@@ -89,7 +89,7 @@ def frequency_levels(texts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())], ["slot", "n"])
 
     with small_batches(texts.sparkSession):
-        sums = texts.select("text").mapInArrow(slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+        sums = texts.select("text").mapInArrow(frugal(slots), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     levels = np.zeros(SLOTS, np.uint8)
     n = sums.column("n").to_numpy()
     levels[sums.column("slot").to_numpy()] = np.minimum(1 + 2 * np.log2(np.maximum(n, 1)), 120).astype(np.uint8)
@@ -177,7 +177,7 @@ def described_sets(texts: DataFrame, levels: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), *longs, _lists(stars), _lists(prefix), pa.array(bitmap, pa.binary()), pa.array(short, pa.binary())], ["id", "seq", "n", "k1", "k2", "stars", "prefix", "sketch", "short"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("id", "seq", "text").mapInArrow(run, f"id {kind}, seq long, n long, k1 long, k2 long, stars array<long>, prefix array<long>, sketch binary, short binary")
+    return texts.select("id", "seq", "text").mapInArrow(frugal(run), f"id {kind}, seq long, n long, k1 long, k2 long, stars array<long>, prefix array<long>, sketch binary, short binary")
 
 
 def full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 done += texts_here
 
     some = texts.select("seq", "text").join(small_side(wanted), "seq", "left_semi")
-    return some.select("seq", "text").mapInArrow(run, "seq long, tokens binary")
+    return some.select("seq", "text").mapInArrow(frugal(run), "seq long, tokens binary")
 
 
 def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     side = {c: sets.select(F.col("seq").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab"}
     both = pairs.join(side["b"], "b").join(side["a"], "a")
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(frugal(run), "a long, b long")
 
 
 def links_of(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def links_of(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("seq")).distinct(), "wanted")
     tokens = full_sets(texts, wanted)
     both = pairs.join(tokens.withColumnsRenamed({"seq": "b", "tokens": "tb"}), "b").join(tokens.withColumnsRenamed({"seq": "a", "tokens": "ta"}), "a")
-    return written(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, common long"), "links")
+    return written(both.select("a", "b", "ta", "tb").mapInArrow(frugal(run), "a long, b long, common long"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -259,7 +259,9 @@ def components(edges: DataFrame) -> DataFrame:
             labels = moves
         else:
             step = moves.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            labels = written(labels.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+            labels = labels.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+            if r % 4 == 3:
+                labels = written(labels, "labels")
         ma, mb = (moves.select(F.col("node").alias(c), F.col("root").alias(f"m{c}")) for c in "ab")
         edges = edges.join(ma, "a").join(mb, "b").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).where("a != b").distinct()
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -387,7 +389,7 @@ def list_pairs(postings: DataFrame) -> DataFrame:
 
     names = ["deal", "token", "part", "n", "pos", "seq", "class", "chunk", "whole", "short"]
     dealt = postings.repartition("deal").sortWithinPartitions("deal", "token", "part", "n", "pos").select(*names)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(frugal(run), "a long, b long").distinct()
 
 
 def linked(sets: list[np.ndarray]) -> np.ndarray:
@@ -465,9 +467,14 @@ def inner_links(links: DataFrame, classes: DataFrame, sets: DataFrame, texts: Da
 
 def set_classes(texts: DataFrame, count_links: bool) -> DataFrame:
     """jaccard_classes of a written table (id, seq, text), with or without the count of links."""
-    sets = written(described_sets(texts, frequency_levels(texts)), "shingles")
+    with scratch(texts.sparkSession):
+        return _set_classes(texts, count_links)
+
+
+def _set_classes(texts: DataFrame, count_links: bool) -> DataFrame:
+    sets = written(described_sets(texts, frequency_levels(texts)), "shingles", keep=True)
     keyed = sets.where("n > 0").select("id", "seq", F.struct("k1", "k2").alias("sha"), F.struct("n").alias("check"))
-    groups = written(tree_groups(keyed).select("seq", "id", "keep_id", "keep_seq", "kept"), "equal")
+    groups = written(tree_groups(keyed).select("seq", "id", "keep_id", "keep_seq", "kept"), "equal", keep=True)
     copies = groups.where("not kept").select("seq")
     single = sets.where("n > 0").join(small_side(copies), "seq", "left_anti")
 
@@ -483,7 +490,7 @@ def set_classes(texts: DataFrame, count_links: bool) -> DataFrame:
     else:
         rooted = rooted.withColumn("n_links", F.lit(None).cast("long"))
     least = rooted.groupBy("root").agg(F.min("keep_id").alias("least_id"))
-    named = written(rooted.join(least, "root").select("keep_seq", "root", "least_id", "n_links"), "classes")
+    named = written(rooted.join(least, "root").select("keep_seq", "root", "least_id", "n_links"), "classes", keep=True)
     joined = groups.join(small_side(named), "keep_seq", "left").select("seq", F.coalesce("least_id", "keep_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("root", "keep_seq").alias("class_seq"), F.lit(True).alias("known"))
     return sets.select("id", "seq", "n").join(joined, "seq", "left").select(
         "id", "seq", F.col("n").alias("n_shingles"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("class_seq", "seq").alias("class_seq")
@@ -506,8 +513,9 @@ def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """docs with one row of each class: the first row read whose id is the class's smallest (null last). Columns stay as they are."""
     seq = free_name(docs, "seq")
     rows = numbered(docs, seq)
-    classes = set_classes(rows.select(F.col(id_col).alias("id"), F.col(seq).alias("seq"), F.col(text_col).cast("binary").alias("text")), False)
-    first = classes.groupBy("class_seq").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "seq")).alias("first"))
-    kept = classes.select("seq").join(first.select(F.col("first.seq").alias("seq")), "seq", "left_anti")
-    gone = written(kept.select(F.col("seq").alias(seq)), "near-copies")
+    with scratch(docs.sparkSession):
+        classes = set_classes(rows.select(F.col(id_col).alias("id"), F.col(seq).alias("seq"), F.col(text_col).cast("binary").alias("text")), False)
+        first = classes.groupBy("class_seq").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "seq")).alias("first"))
+        kept = classes.select("seq").join(first.select(F.col("first.seq").alias("seq")), "seq", "left_anti")
+        gone = written(kept.select(F.col("seq").alias(seq)), "near-copies", keep=True)
     return rows.join(small_side(gone), seq, "left_anti").drop(seq)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import byte_values, free_name, mix64, powers
+from .common import byte_values, free_name, frugal, mix64, powers
 
 SPACE = "▁"
 #: Units of more characters are cut where no piece reaches across.
@@ -517,7 +517,7 @@ def sample_segmentations(docs: DataFrame, model_path: str, *, k: int = 2, seed:
 
     parts = [F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), *([F.col(row_col)] if row_col else [])]
     rows = docs.select(F.col(id_col), F.xxhash64(*parts).alias("__key"), F.col(text_col).cast("binary").alias("__text"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, rank int, ids array<int>, n_pieces long, log_prob double, inclusion double, exact boolean")
+    return rows.mapInArrow(frugal(run), f"`{id_col}` {kind}, rank int, ids array<int>, n_pieces long, log_prob double, inclusion double, exact boolean")
 
 
 def encode_texts(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col: str = "ids", block: int = BLOCK) -> DataFrame:
@@ -538,7 +538,7 @@ def encode_texts(docs: DataFrame, model_path: str, *, text_col: str = "text", id
                 ids = _list_array(best_block(lattices, texts[a:b]))
                 yield pa.RecordBatch.from_arrays([*some.columns, pc.if_else(none, pa.scalar(None, ids.type), ids)], names)
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ids_col, ArrayType(IntegerType()))]))
+    return docs.mapInArrow(frugal(run), StructType([*docs.schema.fields, StructField(ids_col, ArrayType(IntegerType()))]))
 
 
 def decode_ids(df: DataFrame, model_path: str, *, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -559,4 +559,4 @@ def decode_ids(df: DataFrame, model_path: str, *, ids_col: str = "ids", text_col
                 texts.append(decode(vocabulary, known).decode("utf-8", "replace") if ids.is_valid else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(text_col, StringType())]))
+    return df.mapInArrow(frugal(run), StructType([*df.schema.fields, StructField(text_col, StringType())]))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import byte_values, free_name, numbered, small_batches, small_side, written
+from .common import byte_values, free_name, frugal, small_batches, small_side, written
 
 #: Labelled documents that a model is fitted on, at most about so many: rows are taken by a hash of their id.
 SAMPLE = 20_000
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     trains = F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(1000)) < int(TRAIN_SHARE * 1000)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     # each batch sends counts of its words, not its texts
-    rows = texts.join(F.broadcast(named.where(trains)), "id").mapInArrow(_counted, "y int, word string, docs long, times long")
+    rows = texts.join(F.broadcast(named.where(trains)), "id").mapInArrow(frugal(_counted), "y int, word string, docs long, times long")
     counts = rows.groupBy("y", "word").agg(F.sum("docs").alias("docs"), F.sum("times").alias("times"))
     counts = written(counts, "word-counts")
     total = {r["y"]: r["docs"] for r in counts.where("word = ''").collect()}
@@ -216,7 +216,7 @@ def _calibrated(labelled: DataFrame, toxic: bytes, ordinary: bytes) -> Model:
             cols = list(zip(*[(*k, n) for k, n in found.items()], strict=True)) if found else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["n", "o", "t", "y", "docs"])
 
-    table = labelled.mapInArrow(triples, "n long, o long, t long, y long, docs long").groupBy("n", "o", "t", "y").agg(F.sum("docs").alias("docs")).collect()
+    table = labelled.mapInArrow(frugal(triples), "n long, o long, t long, y long, docs long").groupBy("n", "o", "t", "y").agg(F.sum("docs").alias("docs")).collect()
     seen = {(r["n"], r["o"], r["t"], r["y"]): r["docs"] for r in table}
     all_ = [max(1, seen.get((-1, 0, 0, y), 0)) for y in (0, 1)]
     keys = {k[:3] for k in seen if k[0] >= 0}
@@ -230,7 +230,7 @@ def _calibrated(labelled: DataFrame, toxic: bytes, ordinary: bytes) -> Model:
             e = [round(evidence(raw.decode("utf-8", "replace")), 3) for raw in byte_values(batch.column(at["text"]))]
             yield pa.RecordBatch.from_arrays([pa.array(e, pa.float64()), batch.column(at["y"]).cast(pa.int64())], ["e", "y"])
 
-    pairs = np.array([(r["e"], r["y"] > 0) for r in labelled.mapInArrow(evidences, "e double, y long").collect()]).reshape(-1, 2)
+    pairs = np.array([(r["e"], r["y"] > 0) for r in labelled.mapInArrow(frugal(evidences), "e double, y long").collect()]).reshape(-1, 2)
     model.cuts, model.chances = _curve(pairs[:, 0], pairs[:, 1])
     return model
 
@@ -245,7 +245,7 @@ def text_scores(rows: DataFrame, model: Model) -> DataFrame:
             s = [score(evidence(raw.decode("utf-8", "replace"))) for raw in byte_values(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["key", "score"])
 
-    return rows.select("key", F.col("text").cast("binary")).mapInArrow(run, StructType([rows.schema["key"], StructField("score", DoubleType())]))
+    return rows.select("key", F.col("text").cast("binary")).mapInArrow(frugal(run), StructType([rows.schema["key"], StructField("score", DoubleType())]))
 
 
 def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,10 +257,10 @@ def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", te
 def reject_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", cut: float = 0.5) -> DataFrame:
     """docs without the rows that score cut or more; the columns stay as they are.
 
-    docs is written once with row numbers, and the numbers of the rejected rows once more.
+    A score follows from the text alone, so rejected texts are known by a digest of theirs, which is written once.
     """
-    row = free_name(docs, "row")
-    rows = numbered(docs, row)
-    scored = text_scores(rows.select(F.col(row).alias("key"), F.col(text_col).alias("text")), model)
-    gone = written(scored.where(F.col("score") >= cut).select(F.col("key").alias(row)), "rejected")
-    return rows.join(small_side(gone), row, "left_anti").drop(row)
+    key = free_name(docs, "key")
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
+    scored = text_scores(docs.select(F.md5(text).alias("key"), text.alias("text")), model)
+    gone = written(scored.where(F.col("score") >= cut).select(F.col("key").alias(key)).distinct(), "rejected")
+    return docs.withColumn(key, F.md5(text)).join(small_side(gone), key, "left_anti").drop(key)
