@@ -21,7 +21,7 @@ from .registry import query
 GRID = (1.1, 1.5, 2.0)
 ETAS = (0.0, 0.25, 0.5, 0.75, 1.0)
 #: Steps of a fit in the queries below; the functions go on to convergence by default.
-STEPS = 40
+STEPS = 20
 
 
 def grand_objective(points: DataFrame, k: int, m: float, x: str = "x") -> float:
@@ -53,7 +53,7 @@ def grand_centroid_objective(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fuzzifier_landscape")
 def fuzzifier_landscape(spark: SparkSession, sf: str) -> DataFrame:
-    """Fits from class means, of forty steps at most, for each fuzzifier of the grid."""
+    """Fits from class means, of twenty steps at most, for each fuzzifier of the grid."""
     source, _, v = parts(spark, sf)
     rows = landscape(source, len(v), 1, max_iterations=STEPS, start=v)
     return rounded(spark.createDataFrame([tuple(r.values()) for r in rows], "m double, first double, last double, grand double, grand_is_lower boolean, is_grand boolean, degenerate boolean, distinct int, fpc_gap double"))
@@ -61,7 +61,7 @@ def fuzzifier_landscape(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fuzzifier_policies")
 def fuzzifier_policies(spark: SparkSession, sf: str) -> DataFrame:
-    """The fixed fuzzifier 2 against the one of the dimension, from seeded centers, forty steps at most."""
+    """The fixed fuzzifier 2 against the one of the dimension, from seeded centers, twenty steps at most."""
     source, _, v = parts(spark, sf)
     out = []
     for policy, m in (("fixed", 2.0), ("dimension", fuzzifier(v.shape[1]))):
@@ -132,13 +132,14 @@ def eta_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("alignment_panel")
 def alignment_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Fits of a shifted target (forty steps at most), of two methods and seeds, aligned with the source's fit: cost, margin, overlap, status."""
+    """Fits of a shifted target (twenty steps at most), of two methods and seeds, aligned with the source's fit: cost, margin, overlap, status."""
     source, target, v = parts(spark, sf)
     out = []
-    for method in ("kmeans", "fcm"):
+    bank = signals.bank(source, 1, "reference-bank")
+    for method in ("fcm", "gmm"):
+        ref = clustering.fit(method, source, len(v), 1, max_iterations=STEPS)
         for condition, rows in (("clean", target), ("location", moved(target))):
-            ref, cand = clustering.fit(method, source, len(v), 1, max_iterations=STEPS), clustering.fit(method, rows, len(v), 3, max_iterations=STEPS)
-            bank = signals.bank(source, 1, "reference-bank")
+            cand = clustering.fit(method, rows, len(v), 3, max_iterations=STEPS)
             both = cand.memberships(ref.memberships(bank, out="u_ref"), out="u_cand")
             scales, _, _ = alignment.reference_scales(ref.memberships(bank), ref.centers)
             overlap = alignment.soft_jaccard(both)
