@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Counts of a cell that are summed at once.
+COUNTS = 100_000
 #: Labels times clusters that the driver takes; the tables compared here are small.
 CELLS = 1_000_000
 
@@ -62,17 +67,27 @@ def normalised_mutual_information(cells: DataFrame) -> float:
     return _mutual(a, b, c, n) / h if h > 0 else 1.0
 
 
-def expected_mutual_information(a: list[int], b: list[int]) -> float:
-    """Of random tables with these margins (hypergeometric)."""
+def expected_mutual_information(spark: SparkSession, a: list[int], b: list[int]) -> float:
+    """Of random tables with these margins (hypergeometric). The possible counts of all cells are dealt out in chunks."""
     n = sum(a)
-    lg = math.lgamma
-    total = 0.0
-    for x in a:
-        for y in b:
-            for k in range(max(1, x + y - n), min(x, y) + 1):
-                log = lg(x + 1) + lg(y + 1) + lg(n - x + 1) + lg(n - y + 1) - lg(n + 1) - lg(k + 1) - lg(x - k + 1) - lg(y - k + 1) - lg(n - x - y + k + 1)
-                total += k / n * math.log(n * k / (x * y)) * math.exp(log)
-    return total
+    pairs = spark.createDataFrame([(x, y, max(1, x + y - n), min(x, y)) for x in a for y in b], "x long, y long, lo long, hi long").where("lo <= hi")
+    chunks = pairs.select("x", "y", "hi", F.explode(F.sequence("lo", "hi", F.lit(COUNTS))).alias("k"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lg = math.lgamma
+        for batch in batches:
+            total = 0.0
+            for x, y, hi, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                first = lg(x + 1) + lg(y + 1) + lg(n - x + 1) + lg(n - y + 1) - lg(n + 1) - lg(k + 1) - lg(x - k + 1) - lg(y - k + 1) - lg(n - x - y + k + 1)
+                ks = np.arange(k, min(k + COUNTS, hi + 1), dtype=np.float64)
+                # each probability follows from the one before
+                step = np.log(x - ks[:-1]) + np.log(y - ks[:-1]) - np.log(ks[1:]) - np.log(n - x - y + ks[1:])
+                log = first + np.concatenate(([0.0], np.cumsum(step)))
+                total += float((ks / n * np.log(n * ks / (x * y)) * np.exp(log)).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([total])], ["e"])
+
+    parts = chunks.repartition(min(64, spark.sparkContext.defaultParallelism)).mapInArrow(run, "e double")
+    return parts.agg(F.coalesce(F.sum("e"), F.lit(0.0))).first()[0]
 
 
 def adjusted_mutual_information(cells: DataFrame) -> float:
@@ -80,7 +95,7 @@ def adjusted_mutual_information(cells: DataFrame) -> float:
     n = sum(a)
     if n == 0 or len(a) == len(b) == 1 or len(a) == len(b) == n:
         return 1.0
-    expected = expected_mutual_information(a, b)
+    expected = expected_mutual_information(cells.sparkSession, a, b)
     most = (_entropy(a, n) + _entropy(b, n)) / 2
     low = most - expected
     return (_mutual(a, b, c, n) - expected) / (low if abs(low) > 1e-15 else math.copysign(1e-15, low))

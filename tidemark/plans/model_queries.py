@@ -229,6 +229,17 @@ def alignment_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spark.createDataFrame([(*a.permutation, a.cost)], "j0 int, j1 int, j2 int, j3 int, cost double"))
 
 
+_STEPS = ", ".join(f"s{i + 1} AS (SELECT mask | (1 << j) AS mask, min(s.cost + c.cost) AS cost FROM s{i} s, cost c WHERE c.i = {i} AND (mask & (1 << j)) = 0 GROUP BY 1)" for i in range(10))
+
+
+@query("alignment_whole_cost", f"""WITH {BASE}, {BOTH_SRC}, {_JACCARD}, {_SCALES}, {_COST}, s0 AS (SELECT 0::BIGINT AS mask, 0.0::DOUBLE AS cost), {_STEPS} SELECT 10::INTEGER AS clusters, round(cost, 6) AS cost FROM s10""")
+def alignment_whole_cost(spark: SparkSession, sf: str) -> DataFrame:
+    """The cost of the best assignment of all ten clusters, which SQL finds over the sets of clusters taken."""
+    source, _, v = parts(spark, sf)
+    a = alignment.align(alignment_costs(source, v))
+    return rounded(spark.createDataFrame([(len(a.permutation), a.cost)], "clusters int, cost double"))
+
+
 _JS = """js AS (SELECT row_id, least(greatest(sum(CASE WHEN a.u > 0 THEN a.u * ln(a.u / ((a.u + b.u) / 2)) ELSE 0 END + CASE WHEN b.u > 0 THEN b.u * ln(b.u / ((a.u + b.u) / 2)) ELSE 0 END) / (2 * ln(2)), 0), 1) AS js
 FROM a JOIN b USING (row_id, k) GROUP BY 1)"""
 
