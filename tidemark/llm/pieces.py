@@ -185,8 +185,8 @@ class Lattices:
     the most probable path to the unit's end.
     """
 
-    def __init__(self, vocabulary: Vocabulary, search: bool = False):
-        self.vocabulary, self.search = vocabulary, search
+    def __init__(self, vocabulary: Vocabulary, search: bool = False, kept: int = KEPT):
+        self.vocabulary, self.search, self.kept = vocabulary, search, kept
         self.clear()
 
     def clear(self) -> None:
@@ -200,7 +200,7 @@ class Lattices:
 
     def sequences(self, texts: list[str]) -> list[np.ndarray]:
         """The unit numbers of each text, after lattices of new units are added."""
-        if len(self.chars) > KEPT:
+        if len(self.chars) > self.kept:
             self.clear()
         number, before = self.index.__getitem__, len(self.index)
         out = [np.fromiter(map(number, u), np.int64, len(u)) for u in (units_of(self.vocabulary, t, self.parts) for t in texts)]
@@ -483,7 +483,7 @@ def _list_array(ids: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
-def sample_segmentations(docs: DataFrame, model_path: str, *, k: int = 2, seed: int = 11, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+def sample_segmentations(docs: DataFrame, model_path: str, *, k: int = 2, seed: int = 11, block: int = BLOCK, kept: int = KEPT, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """k distinct sampled segmentations of each whole text: id_col, rank, ids, n_pieces, log_prob, inclusion, exact.
 
     rank counts from 1 by perturbed log-probability; a text with fewer than k segmentations gives all of
@@ -491,13 +491,14 @@ def sample_segmentations(docs: DataFrame, model_path: str, *, k: int = 2, seed:
     and id only (rows that repeat an id and text draw alike, unless row_col, which then is hashed too, tells them
     apart; a null id is hashed as the word null). Null and empty texts are the one segmentation of the leading
     space. Other columns are ignored; an empty table gives an empty result. The file at model_path must be on
-    every executor. block: characters handled at once.
+    every executor. block: characters handled at once; kept: positions of lattices that a task keeps (neither
+    changes a result).
     """
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "rank", "ids", "n_pieces", "log_prob", "inclusion", "exact"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = Lattices(load(model_path))
+        lattices = Lattices(load(model_path), kept=kept)
         for batch in batches:
             texts = [b.decode("utf-8", "replace") for b in byte_values(batch.column(2))]
             keys = batch.column(1).to_numpy().view(np.uint64)
