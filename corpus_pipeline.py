@@ -62,7 +62,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     row = free_name(docs, "row")
     rows = docs.withColumn(row, F.monotonically_increasing_id())
-    return sample_segmentations(rows, PIECES, k=2, block=1 << 18, row_col=row)
+    return sample_segmentations(rows, PIECES, k=2, block=1 << 18, kept=1 << 19, row_col=row)
 
 
 STAGES = [("toxicity", reject_toxic), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("pieces", encode)]
