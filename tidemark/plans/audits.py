@@ -1,4 +1,4 @@
-"""Panels and audits: objective landscapes of the fuzzifier, fixtures of the signals, recovery of permutations,
+"""Panels and audits: objective landscapes of the fuzzifier, recovery of permutations,
 sensitivity to the weight of the two costs, and verification of signal and prediction tables."""
 
 from __future__ import annotations
@@ -71,39 +71,6 @@ def fuzzifier_policies(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spark.createDataFrame(out, "policy string, m double, status string, fpc_gap double, mean_max double, distinct int, degenerate boolean"))
 
 
-def mechanism_fixtures(spark: SparkSession) -> list[tuple[str, bool]]:
-    """Small cases in which one cause moves one signal: (fixture, whether it holds)."""
-    bank = lambda ref, cand: spark.createDataFrame([(a, b) for a, b in zip(ref, cand, strict=True)], "u_ref array<double>, u_cand array<double>")
-    points = lambda rows: spark.createDataFrame([(r,) for r in rows], "x array<double>")
-    v, one = np.array([[0.0, 0.0], [1.0, 1.0]]), np.ones(2)
-    u = [[0.8, 0.2], [0.3, 0.7]]
-    same = bank(u, u)
-    x = [[0.0, 0.0], [1.0, 1.0], [2.0, 2.0]]
-    still = [signals.membership_drift(same).first()["mean"], signals.prototype_movement(v, v, one)["D_V"], signals.entropy_shift(same).first()["D_H"], signals.mass_shift(same)[2], signals.mmd(points(x), points(x), 1.0)[0]]
-    turned = bank(u, [r[::-1] for r in u])
-    a = alignment.align_models(v, v[::-1], one, turned)
-    back = turned.withColumn("u_cand", a.memberships(F.col("u_cand")))
-    refused = False
-    try:
-        signals.same_bank("a", "b")
-    except ValueError:
-        refused = True
-    return [
-        ("identity_zero", all(abs(s) < 1e-10 for s in still)),
-        ("permutation_invariant", a.permutation == [1, 0] and abs(signals.membership_drift(back).first()["mean"]) < 1e-12 and signals.mass_shift(back)[2] < 1e-12),
-        ("center_movement", abs(signals.prototype_movement(v, np.array([[0.5, 0.0], [1.0, 1.0]]), one)["D_V"] - 0.25) < 1e-5),
-        ("entropy_change", signals.entropy_shift(bank([[1.0, 0.0], [0.0, 1.0]], [[0.7, 0.3], [0.4, 0.6]])).first()["D_H"] > 0),
-        ("mass_change", signals.mass_shift(bank([[0.9, 0.1]] * 2, [[0.1, 0.9]] * 2))[2] > 0.5),
-        ("raw_shift_alone", signals.mmd(points(x), points([[c + 5 for c in r] for r in x]), 1.0)[0] > 0.1),
-        ("other_bank_refused", refused),
-    ]
-
-
-@query("mechanism_fixtures", "SELECT f AS fixture, true AS holds FROM (VALUES ('identity_zero'), ('permutation_invariant'), ('center_movement'), ('entropy_change'), ('mass_change'), ('raw_shift_alone'), ('other_bank_refused')) t(f)")
-def mechanism_fixtures_query(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(n, bool(b)) for n, b in mechanism_fixtures(spark)], "fixture string, holds boolean")
-
-
 def eta_panel(source: DataFrame, v: np.ndarray, candidate: np.ndarray, etas: Sequence[float] = ETAS, m: float = M) -> list[tuple[float, list[int], float, float, bool]]:
     """For each weight of the center costs: permutation, cost, margin, ambiguous. One pass gives all overlaps."""
     bank = signals.bank(source, 1, "reference-bank")

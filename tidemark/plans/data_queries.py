@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import derived_seed_column, record_hash, sql_draw, sql_uniform, uniform
-from ..functions.vectors import fuzzifier
 from ..operators import folds, shifts, signals, statistics
 from ..sources.ingest import LINE_FEATURES, LINE_SQL, embedding_points, isolate, line_rows, with_row_id
 from .registry import query
@@ -234,11 +233,6 @@ def reference_bank_lineitem(spark: SparkSession, sf: str) -> DataFrame:
     return signals.bank(side(line_rows(spark, sf), "source"), SEED, "reference-bank").select("row_id")
 
 
-@query("fuzzifier_policy", "SELECT d::INTEGER AS d, round(greatest(1.01, 1 + 2.0 / d), 6) AS m FROM range(1, 301) t(d)")
-def fuzzifier_policy(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(spark.createDataFrame([(d, fuzzifier(d)) for d in range(1, 301)], "d int, m double"))
-
-
 _REC = "concat_ws('|', o_orderkey, o_custkey, coalesce(o_orderstatus, 'null'), round(o_totalprice * 100)::BIGINT)"
 
 
