@@ -92,3 +92,12 @@ def test_run_against_plain_stages(spark, sf):
 def test_names():
     assert [n for n, _ in cp.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "pieces"] and all(f.__doc__ for _, f in cp.STAGES)
     assert os.path.exists(cp.PIECES)
+
+
+def test_samples_do_not_follow_partitions(spark):
+    """Copies of a document are told apart by their number, whatever partitions they stand in."""
+    rows = [(i, f"the words of document number {i} are cut into pieces") for i in range(60)] * 3 + [(None, "no id here"), (None, "nor here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["rank"], tuple(r["ids"])) for r in cp.encode(spark, df, "").collect())
+    one, many = ids(docs.repartition(1)), ids(docs.repartition(8))
+    assert one == many and len({x[1:] for x in one if x[1] == 5}) > 2

@@ -16,7 +16,7 @@ encode_texts gives the most probable segmentation of the same lattice, decode_id
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -483,13 +483,19 @@ def _list_array(ids: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
-def sample_segmentations(docs: DataFrame, model_path: str, *, k: int = 2, seed: int = 11, block: int = BLOCK, kept: int = KEPT, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+def _nth(met: Counter, row: tuple[int, int]) -> int:
+    """How often row was met before."""
+    met[row] += 1
+    return met[row] - 1
+
+
+def sample_segmentations(docs: DataFrame, model_path: str, *, k: int = 2, seed: int = 11, block: int = BLOCK, kept: int = KEPT, id_col: str = "doc_id", text_col: str = "text", apart: bool = False) -> DataFrame:
     """k distinct sampled segmentations of each whole text: id_col, rank, ids, n_pieces, log_prob, inclusion, exact.
 
     rank counts from 1 by perturbed log-probability; a text with fewer than k segmentations gives all of
     them, with inclusion 1. exact tells that decoding the ids gives the text back. Samples depend on seed
-    and id only (rows that repeat an id and text draw alike, unless row_col, which then is hashed too, tells them
-    apart; a null id is hashed as the word null). Null and empty texts are the one segmentation of the leading
+    and id only; rows that repeat an id and text draw alike. With apart they are brought together and numbered, and
+    draw by id and number. A null id is hashed as the word null. Null and empty texts are the one segmentation of the leading
     space. Other columns are ignored; an empty table gives an empty result. The file at model_path must be on
     every executor. block: characters handled at once; kept: positions of lattices that a task keeps (neither
     changes a result).
@@ -498,10 +504,12 @@ def sample_segmentations(docs: DataFrame, model_path: str, *, k: int = 2, seed:
     names = [id_col, "rank", "ids", "n_pieces", "log_prob", "inclusion", "exact"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = Lattices(load(model_path), kept=kept)
+        lattices, met = Lattices(load(model_path), kept=kept), Counter()
         for batch in batches:
             texts = [b.decode("utf-8", "replace") for b in byte_values(batch.column(2))]
             keys = batch.column(1).to_numpy().view(np.uint64)
+            if apart:
+                keys = keys + np.array([_nth(met, x) for x in zip(keys.tolist(), batch.column(3).to_pylist(), strict=True)], np.uint64) * _STEP
             for a, b in _blocks(texts, block):
                 got = sample_block(lattices, texts[a:b], keys[a:b], k)
                 row = [i for i, s in enumerate(got) for _ in s]
@@ -516,8 +524,10 @@ def sample_segmentations(docs: DataFrame, model_path: str, *, k: int = 2, seed:
                     names,
                 )
 
-    parts = [F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), *([F.col(row_col)] if row_col else [])]
+    parts = [F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))]
     rows = docs.select(F.col(id_col), F.xxhash64(*parts).alias("__key"), F.col(text_col).cast("binary").alias("__text"))
+    if apart:
+        rows = rows.withColumn("__hash", F.xxhash64("__text")).repartition("__key", "__hash")
     return rows.mapInArrow(frugal(run), f"`{id_col}` {kind}, rank int, ids array<int>, n_pieces long, log_prob double, inclusion double, exact boolean")
 
 
