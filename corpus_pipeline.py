@@ -6,10 +6,9 @@ Each stage takes the documents that the stage before it kept, all of them, and i
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import toxicity
-from tidemark.llm.common import free_name, table, written
+from tidemark.llm.common import table, written
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.jaccard_join import keep_one_per_class
 from tidemark.llm.mixing import mix_sources
@@ -55,14 +54,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two different sampled segmentations of each row; copies of a document, told apart by their rows, draw apart.
+    """Two different sampled segmentations of each row; copies of a document, told apart by their number, draw apart.
 
-    Null and empty texts are the one segmentation of the leading space; other columns are left out; an empty table
-    gives an empty result.
+    Rows of one id and text are numbered, so samples depend on ids, texts and how often they stand in docs, not on
+    partitions. Null and empty texts are the one segmentation of the leading space; other columns are left out; an
+    empty table gives an empty result.
     """
-    row = free_name(docs, "row")
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
-    return sample_segmentations(rows, PIECES, k=2, block=1 << 18, kept=1 << 19, row_col=row)
+    return sample_segmentations(docs, PIECES, k=2, block=1 << 18, kept=1 << 19, apart=True)
 
 
 STAGES = [("toxicity", reject_toxic), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("pieces", encode)]
