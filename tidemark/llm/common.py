@@ -69,15 +69,24 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _SCOPES.reset(token)
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path, keep in mine:
             if not keep:
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(conf).delete(at, True)
+                _remove(spark, path)
             elif outer:
                 outer[-1].append((path, False))
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(table_: DataFrame) -> None:
+    """Remove the table that written gave, before its scope ends; nothing may read it later."""
+    if files := table_.inputFiles():
+        _remove(table_.sparkSession, files[0].rpartition("/")[0])
+
+
 def written(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from . import suffix_tree, toxicity
 from .chat_format import format_turns, json_turns, read_back, table_turns
+from .codes import compress_vectors
+from .collocations import collocations
 from .common import table
 from .exact_dedup import exact_groups
 from .jaccard_join import jaccard_classes
@@ -17,6 +19,7 @@ from .media import media_features
 from .mixing import mix_sources
 from .pieces import sample_segmentations
 from .url_filter import Rule, filter_urls
+from .wrappers import extract_pages
 
 #: The rules of op1.
 URL_RULES = [
@@ -81,6 +84,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
@@ -93,6 +108,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": op8_licenses,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_collocations": op11_collocations,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_html_extraction": op13_html_extraction,
     }
 
 
@@ -138,5 +156,49 @@ FROM n WINDOW w AS (PARTITION BY sha ORDER BY doc_id NULLS LAST, seq)
 """
 
 
+OP11_SQL = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_ABC}), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+split AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM starts, range(1, 4) t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT c.lang, c.k, c.phrase, a, cut, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+         FROM (SELECT *, unnest(range(1, k)) AS cut FROM cand) c
+         JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+covered AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS most FROM (SELECT *, unnest(range(1, k)) AS i FROM cand WHERE k = 3) GROUP BY ALL),
+left_ AS (SELECT b.* FROM best b LEFT JOIN covered c USING (lang, phrase) WHERE c.most IS NULL OR 100 * c.most < 50 * a),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM left_ JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
+def _codes_sql() -> str:
+    """Vectors of 64 components in 16 parts, three assignments to 64 entries written out."""
+    four = range(1, 5)
+    cut = ", ".join(f"x[4 * part + {k}] AS x{k}" for k in four)
+    near = " + ".join(f"(x{k} - c{k}) * (x{k} - c{k})" for k in four)
+    mean = ", ".join(f"(sum(x{k}) - (sum(x{k}) % count(*) + count(*)) % count(*)) // count(*) AS c{k}" for k in four)
+    now = ", ".join(f"coalesce(m.c{k}, b.c{k})::BIGINT AS c{k}" for k in four)
+    steps = ", ".join(
+        f"""a{r} AS (SELECT seq, part, min({{'d': {near}, 'entry': entry}}) AS best FROM cut JOIN b{r} USING (part) GROUP BY seq, part),
+m{r} AS (SELECT part, best.entry AS entry, {mean} FROM cut JOIN a{r} USING (seq, part) GROUP BY part, best.entry),
+b{r + 1} AS (SELECT part, entry, {now} FROM b{r} b LEFT JOIN m{r} m USING (part, entry))"""
+        for r in range(2)
+    )
+    return f"""
+WITH v AS (SELECT row_number() OVER () AS seq, vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+cut AS (SELECT seq, part, {cut} FROM v, range(16) t(part)),
+start AS (SELECT seq, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS entry FROM v QUALIFY entry < 64),
+b0 AS (SELECT part, entry, x1 AS c1, x2 AS c2, x3 AS c3, x4 AS c4 FROM cut JOIN start USING (seq)),
+{steps},
+a2 AS (SELECT seq, part, min({{'d': {near}, 'entry': entry}}) AS best FROM cut JOIN b2 USING (part) GROUP BY seq, part),
+coded AS (SELECT seq, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a2 GROUP BY seq),
+sha AS (SELECT sha256(string_agg(c1 || ',' || c2 || ',' || c3 || ',' || c4, ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN v USING (seq), sha
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op4_mix_sources": mix_sql("documents"), "op9_exact_dedup": OP9_SQL}
+    return {"op11_collocations": OP11_SQL, "op12_vector_codes": _codes_sql(), "op1_url_filters": OP1_SQL, "op4_mix_sources": mix_sql("documents"), "op9_exact_dedup": OP9_SQL}
