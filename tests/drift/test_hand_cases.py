@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import vectors as vec
 from tidemark.functions.hashing import config_hash, derived_seed
-from tidemark.operators import alignment, clustering, evaluation, external, signals
+from tidemark.operators import alignment, clustering, evaluation, external, nested, signals
 
 
 def points(spark, rows, **columns):
@@ -154,7 +154,7 @@ def test_ridge_against_normal_equations(spark):
     x = rng.normal(size=(60, 3))
     y = x @ [1.0, -2.0, 0.5] + rng.normal(size=60) * 0.1
     rows = spark.createDataFrame([(*map(float, r), float(v), f"g{i % 4}") for i, (r, v) in enumerate(zip(x, y, strict=True))], "a double, b double, c double, y double, g string")
-    got = {r["observed"]: r["predicted"] for r in evaluation.leave_group_out_ridge(rows, ["a", "b", "c"], "y", "g", alphas=[2.0]).collect()}
+    got = {r["observed"]: r["predicted"] for r in nested.nested_ridge(rows, {"P0": ["a", "b", "c"]}, "y", "g", inner="g", alphas=[2.0], folds=3)[0].collect()}
     for g in range(4):
         tr = np.arange(60) % 4 != g
         mean, sd = x[tr].mean(0), x[tr].std(0)

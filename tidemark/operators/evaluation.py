@@ -13,7 +13,8 @@ from .statistics import quantiles
 from .sums import summed
 
 KEY = ["dataset_id", "outer_fold", "condition", "method", "seed"]
-ALPHAS = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 1e4, 1e5)
+#: The penalties that the linear control is tuned over.
+ALPHAS = (0.0001, 0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0)
 REPETITIONS = 10_000
 SEED = 2026090707
 #: Columns that no predictor may be (labels, quality and what follows from them).
@@ -77,89 +78,6 @@ def regression_metrics(predictions: DataFrame, by: list[str], observed: str = "o
     return g.withColumn("r2", F.when(F.col("__var") <= 1e-12, 0.0).otherwise(1 - F.col("__mse") / F.nullif("__var", F.lit(0.0)))).drop("__mse", "__var")
 
 
-class Moments:
-    """Sums that ridge regression needs, of every group: counts, first and second moments of features and target."""
-
-    def __init__(self, rows: DataFrame, features: Sequence[str], target: str, group: str):
-        check_features(features)
-        names = [*features, target]
-        p = len(names)
-        cells = [F.sum(F.col(a) * F.col(b)).alias(f"q{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
-        found = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(names)], *cells).collect()
-        self.groups = sorted(r[group] for r in found)
-        self.n, self.s, self.q = {}, {}, {}
-        for r in found:
-            q = np.array([[r[f"q{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)], float)
-            self.n[r[group]], self.s[r[group]], self.q[r[group]] = r["n"], np.array([r[f"s{i}"] for i in range(p)], float), q
-
-    def total(self, without: set) -> tuple[float, np.ndarray, np.ndarray]:
-        use = [g for g in self.groups if g not in without]
-        return sum(self.n[g] for g in use), sum(self.s[g] for g in use), sum(self.q[g] for g in use)
-
-
-def ridge_from(n: float, s: np.ndarray, q: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
-    """Weights and intercept of ridge regression on scaled features (population sd; a constant one has scale 1)."""
-    mean = s / n
-    cov = q / n - np.outer(mean, mean)
-    sd = np.sqrt(np.maximum(np.diag(cov)[:-1], 0))
-    sd[sd < 1e-12] = 1.0
-    c = cov[:-1, :-1] / np.outer(sd, sd) * n
-    w = np.linalg.solve(c + alpha * np.eye(len(sd)), cov[:-1, -1] / sd * n) / sd
-    return w, float(mean[-1] - w @ mean[:-1])
-
-
-def squared_error(n: float, s: np.ndarray, q: np.ndarray, w: np.ndarray, b: float) -> float:
-    """Mean squared error of a linear model on a group, from its moments."""
-    v = np.append(-w, 1.0)
-    return float((v @ q @ v - 2 * b * (v @ s) + n * b * b) / n)
-
-
-def leave_group_out_ridge(rows: DataFrame, features: Sequence[str], target: str, group: str, alphas: Sequence[float] = ALPHAS, keep: Sequence[str] = ()) -> DataFrame:
-    """Predictions for each group by a ridge model of all the others: keep, group, observed, predicted, alpha.
-
-    One aggregation gives the moments of every group; each outer model and each inner fold (leave one more
-    group out, mean squared error, ties to the larger alpha) is solved from sums of those in the driver,
-    whatever the number of rows. Rows with a null among the columns are left out.
-    """
-    whole = rows.dropna(subset=[*features, target, group])
-    m = Moments(whole, features, target, group)
-    models = []
-    for g in m.groups:
-        inner = [h for h in m.groups if h != g]
-        best = None
-        for alpha in sorted(alphas, reverse=True):
-            if len(inner) > 1:
-                error = sum(squared_error(m.n[h], m.s[h], m.q[h], *ridge_from(*m.total({g, h}), alpha)) * m.n[h] for h in inner) / sum(m.n[h] for h in inner)
-            else:
-                error = 0.0
-            if best is None or error < best[0] - 1e-12:
-                best = (error, alpha)
-        if not inner:
-            continue
-        w, b = ridge_from(*m.total({g}), best[1])
-        models.append((g, best[1], float(b), [float(v) for v in w]))
-    kind = rows.schema[group].dataType.simpleString()
-    table = rows.sparkSession.createDataFrame(models, f"`{group}` {kind}, __alpha double, __b double, __w array<double>")
-    x = F.array(*[F.col(c).cast("double") for c in features])
-    predicted = F.aggregate(F.zip_with(x, "__w", lambda a, w: a * w), F.lit(0.0), lambda s, v: s + v) + F.col("__b")
-    return whole.join(F.broadcast(table), group).select(*keep, group, F.col(target).alias("observed"), predicted.alias("predicted"), F.col("__alpha").alias("alpha"))
-
-
-def leave_group_out_gbt(rows: DataFrame, features: Sequence[str], target: str, group: str, iterations: int = 20, depth: int = 3, seed: int = SEED, keep: Sequence[str] = ()) -> DataFrame:
-    """As leave_group_out_ridge, with gradient-boosted trees of pyspark.ml (one fit for each group)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    check_features(features)
-    whole = VectorAssembler(inputCols=list(features), outputCol="__x").transform(rows.dropna(subset=[*features, target, group]))
-    out = None
-    for (g,) in sorted(tuple(r) for r in whole.select(group).distinct().collect()):
-        model = GBTRegressor(featuresCol="__x", labelCol=target, predictionCol="predicted", maxIter=iterations, maxDepth=depth, seed=seed).fit(whole.where(F.col(group) != g))
-        part = model.transform(whole.where(F.col(group) == g)).select(*keep, group, F.col(target).alias("observed"), "predicted")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def paired_deltas(predictions: DataFrame, unit: str, pairs: Sequence[tuple[str, str]], block: str = "feature_block") -> DataFrame:
     """unit, the mean absolute error of each block, and delta_ab = mae_a - mae_b for the pairs."""
     names = sorted({x for p in pairs for x in p})

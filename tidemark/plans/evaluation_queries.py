@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import sql_draw
 from ..operators import evaluation as ev
-from ..operators import nested, signals, statistics
+from ..operators import nested, signals
 from .data_queries import NUDGE, rounded
 from .registry import query
 
@@ -190,27 +190,36 @@ w AS (SELECT dataset_id, (xy / n - x * y / n / n) * n / (xx / n - x * x / n / n)
 def lodo_ridge_one_feature(spark: SparkSession, sf: str) -> DataFrame:
     """Leave one data set out with one feature and one penalty, which has a closed form in SQL."""
     rows = joined_table(spark, sf).where("condition != 'clean'")
-    out = ev.leave_group_out_ridge(rows, ["D_X"], "delta_ari", "dataset_id", alphas=[10.0], keep=["outer_fold", "condition", "seed"])
+    out, _ = nested.nested_ridge(rows, {"P0": ["D_X"]}, "delta_ari", "dataset_id", alphas=[10.0], keep=["dataset_id", "outer_fold", "condition", "seed"])
     return out.select("dataset_id", "outer_fold", "condition", "seed", F.round(F.col("observed") + NUDGE, 6).alias("observed"), (F.round("predicted", 5) + F.lit(0.0)).alias("predicted"))
 
 
+def _one_block(spark: SparkSession, sf: str, kind: str, regressor: str, setting: str) -> DataFrame:
+    records, _ = nested.evaluate(joined_table(spark, sf), "primary", kind, regressor=regressor, blocks={"all": FEATURES})
+    return rounded(ev.regression_metrics(records, ["outer_test_group", setting]))
+
+
 @query("lodo_ridge")
 def lodo_ridge(spark: SparkSession, sf: str) -> DataFrame:
     """All features and penalties, tuned inside each outer split; errors by data set."""
-    rows = joined_table(spark, sf).where("condition != 'clean'")
-    return rounded(ev.regression_metrics(ev.leave_group_out_ridge(rows, FEATURES, "delta_ari", "dataset_id"), ["dataset_id", "alpha"]))
+    return _one_block(spark, sf, "LODO", nested.RIDGE, "alpha")
 
 
 @query("losfo_ridge")
 def losfo_ridge(spark: SparkSession, sf: str) -> DataFrame:
-    rows = joined_table(spark, sf).where("condition != 'clean'")
-    return rounded(ev.regression_metrics(ev.leave_group_out_ridge(rows, FEATURES, "delta_ari", "shift_family"), ["shift_family", "alpha"]))
+    return _one_block(spark, sf, "LOSFO", nested.RIDGE, "alpha")
 
 
 @query("losfo_gbt")
 def losfo_gbt(spark: SparkSession, sf: str) -> DataFrame:
-    rows = joined_table(spark, sf).where("condition != 'clean'")
-    return rounded(ev.regression_metrics(ev.leave_group_out_gbt(rows, FEATURES, "delta_ari", "shift_family", iterations=5), ["shift_family"]))
+    """Histogram boosting over all sixteen settings, a family left out at a time."""
+    return _one_block(spark, sf, "LOSFO", nested.BOOSTED, "params")
+
+
+@query("lodo_gbt")
+def lodo_gbt(spark: SparkSession, sf: str) -> DataFrame:
+    """Histogram boosting over all sixteen settings, a data set left out at a time."""
+    return _one_block(spark, sf, "LODO", nested.BOOSTED, "params")
 
 
 def wide_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -260,10 +269,25 @@ def evaluation_inner_folds(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(nested.evaluate(wide_table(spark, sf), "primary", "LODO")[1])
 
 
+@query("boosted_losfo")
+def boosted_losfo(spark: SparkSession, sf: str) -> DataFrame:
+    """The primary regressor on the six blocks, a family left out at a time: errors and the setting taken."""
+    records, _ = nested.evaluate(wide_table(spark, sf), "primary", "LOSFO", regressor=nested.BOOSTED)
+    return rounded(ev.regression_metrics(records, ["outer_test_group", "feature_block", "params"]))
+
+
+@query("boosted_candidates")
+def boosted_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every setting of the grid with its inner errors and the hashes of its inner groups, for two blocks."""
+    blocks = {b: signals.BLOCKS[b] for b in ("P0", "P4")}
+    return rounded(nested.evaluate(wide_table(spark, sf), "secondary", "LOSFO", regressor=nested.BOOSTED, blocks=blocks)[1])
+
+
 @query("evaluation_verdict")
 def evaluation_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    """From the joined table to the verdict: four evaluations of the six blocks and the eight rules."""
-    report, _ = nested.run_evaluation(wide_table(spark, sf), blocks=signals.BLOCKS)
+    """From the joined table to the verdict on the primary regressor: both primary evaluations of the blocks that the eight rules read, and the linear control."""
+    blocks = {b: signals.BLOCKS[b] for b in ("P0", "P3", "P4")}
+    report, _ = nested.run_evaluation(wide_table(spark, sf), scopes=[("primary", "LODO"), ("primary", "LOSFO")], blocks=blocks)
     rows = [(name, block, round(v, 6), report["verdict"], sum(report["rules"].values())) for name, m in report["mae"].items() for block, v in m.items()]
     return spark.createDataFrame(rows, "evaluation string, feature_block string, mae double, verdict string, rules_held int")
 
@@ -274,7 +298,6 @@ def training_medians(spark: SparkSession, sf: str) -> DataFrame:
     """What missing signals are filled with when a data set is left out: medians of the training rows alone."""
     rows = nested.scoped(wide_table(spark, sf), "primary")
     plan = nested.planned(rows, "dataset_id")
-    train = rows.join(F.broadcast(plan.roles), (F.col("dataset_id") == F.col("o")) & (F.col("dataset_id") == F.col("i"))).select(F.explode("train").alias("fit"), "silhouette", "D_V")
-    last = spark.createDataFrame([(plan.fit(t, plan.folds), t) for t in plan.tests], "fit int, test string")
-    q = statistics.quantiles(train, ["silhouette", "D_V"], [0.5], ["fit"]).join(F.broadcast(last), "fit")
-    return q.groupBy("test").agg(*[(F.round(F.max(F.when(F.col("column") == c, F.col("q")[0])), 6) + F.lit(0.0)).alias(c) for c in ("silhouette", "D_V")])
+    found = nested.medians_of(plan.marked(rows, "dataset_id", "dataset_id"), ["silhouette", "D_V"], plan.train)
+    table = [(t, *(float(v) for v in found[plan.fit(t, plan.folds)])) for t in plan.tests]
+    return rounded(spark.createDataFrame(table, "test string, silhouette double, D_V double"))
