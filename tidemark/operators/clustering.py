@@ -1,20 +1,23 @@
 """Soft and hard clusterings fitted by one tree-merged sum over the points for each step.
 
 Points are a DataFrame with row_id and x (array of doubles). A model is small (K centers of D numbers, and
-K covariances for two methods) and lives in the driver; memberships of any number of rows are columns.
+K covariances for two methods) and lives in the driver; memberships of any number of rows are columns. Each method is
+a program (see passes), so that one fit runs alone and many share their passes over the points.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Hashable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import uniform
-from ..functions.vectors import argmax, fuzzifier, matrix, squared_distance
+from ..functions.vectors import argmax, fuzzifier
+from .passes import Draw, Outcome, Program, Sum, alone, together
 from .sums import summed, vector_map
 
 TOLERANCE = 1e-5
@@ -112,20 +115,22 @@ def posterior(x: np.ndarray, priors: np.ndarray, mean: np.ndarray, cov: np.ndarr
     return u / u.sum(1, keepdims=True)
 
 
+def drawn(k: int, seeds: Sequence[int]) -> Program:
+    """For each seed k rows drawn by squared distance to those drawn before; all seeds draw in the same k passes."""
+    centers: list[list[np.ndarray]] = [[] for _ in seeds]
+    for j in range(k):
+        rows = yield Draw(f"init-{j}", [(s, list(c)) for s, c in zip(seeds, centers, strict=True)])
+        for c, row in zip(centers, rows, strict=True):
+            c.append(row)
+    return [np.array(c) for c in centers]
+
+
 def initial_centers(points: DataFrame, k: int, seed: int, x: str = "x", row_id: str = "row_id") -> np.ndarray:
     """k rows drawn by squared distance to those drawn before (an exponential race on seeded draws).
 
-    One pass for each center; ties and repeated runs give the same rows. Fewer distinct rows than k raise.
+    One pass for each center; repeated runs give the same rows. Fewer distinct rows than k raise.
     """
-    centers: list[list[float]] = []
-    for j in range(k):
-        u = uniform(seed, f"init-{j}", row_id)
-        d = F.lit(1.0) if not centers else F.array_min(F.transform(matrix(centers), lambda c: squared_distance(F.col(x), c)))
-        row = points.select(row_id, x, (-F.ln(u) / d).alias("race"), d.alias("d")).where("d > 0").orderBy("race", row_id).limit(1).collect()
-        if not row:
-            raise ValueError(f"fewer than {k} distinct rows")
-        centers.append([float(v) for v in row[0][x]])
-    return np.array(centers)
+    return alone(points, drawn(k, [seed]), x, row_id)[0]
 
 
 def center_sums(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -137,29 +142,36 @@ def split_sums(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return s[:-k].reshape(k, -1), s[-k:]
 
 
-def fcm_step(points: DataFrame, v: np.ndarray, m: float, x: str = "x") -> tuple[np.ndarray, float, float]:
-    """New centers, the objective at v, and the smallest mass of a cluster."""
-    k = len(v)
+def fcm_sums(v: np.ndarray, m: float) -> Callable[[np.ndarray], np.ndarray]:
+    """The objective, weighted sums and masses of fuzzy c-means at centers v."""
 
     def fn(a: np.ndarray) -> np.ndarray:
         d = distances(a, v)
         w = fuzzy(d, m) ** m
         return np.concatenate(([(w * d**2).sum()], center_sums(a, w)))
 
-    s = summed(points, fn, x)
+    return fn
+
+
+def fcm_moved(s: np.ndarray, k: int) -> tuple[np.ndarray, float, float]:
+    """New centers, the objective at the old ones, and the smallest mass of a cluster."""
     top, mass = split_sums(s[1:], k)
     return top / np.maximum(mass, 1e-15)[:, None], float(s[0]), float(mass.min())
 
 
-def degeneracy(points: DataFrame, model: Model, x: str = "x") -> dict[str, float | bool]:
-    """Partition coefficient and entropy gaps, mean largest membership, distance of the nearest centers over the data's spread, distinct centers."""
+def fcm_step(points: DataFrame, v: np.ndarray, m: float, x: str = "x") -> tuple[np.ndarray, float, float]:
+    """New centers, the objective at v, and the smallest mass of a cluster."""
+    return fcm_moved(summed(points, fcm_sums(v, m), x), len(v))
+
+
+def _degeneracy(model: Model) -> Program:
     k = len(model.centers)
 
     def fn(a: np.ndarray) -> np.ndarray:
         u = model.of(a)
         return np.concatenate(([len(a), (u**2).sum(), -(u * np.log(np.maximum(u, 1e-15))).sum(), u.max(1).sum(), (a**2).sum()], a.sum(0)))
 
-    s = summed(points, fn, x)
+    s = yield Sum(fn)
     n, mean = s[0], s[5:] / s[0]
     scale = math.sqrt(max(s[4] / n - (mean**2).sum(), 0))
     between = distances(model.centers, model.centers) + np.where(np.eye(k) > 0, np.inf, 0)
@@ -174,19 +186,33 @@ def degeneracy(points: DataFrame, model: Model, x: str = "x") -> dict[str, float
     return out
 
 
-def _status(points: DataFrame, model: Model, moved: float, x: str) -> Model:
+def degeneracy(points: DataFrame, model: Model, x: str = "x") -> dict[str, float | bool]:
+    """Partition coefficient and entropy gaps, mean largest membership, distance of the nearest centers over the data's spread, distinct centers."""
+    return alone(points, _degeneracy(model), x)
+
+
+def _finished(model: Model, moved: float) -> Program:
     if model.status == "SUCCESS":
-        model.status = "DEGENERATE_SOLUTION" if degeneracy(points, model, x)["degenerate"] else "SUCCESS" if moved < TOLERANCE else "MAX_ITER_REACHED"
+        found = yield from _degeneracy(model)
+        model.status = "DEGENERATE_SOLUTION" if found["degenerate"] else "SUCCESS" if moved < TOLERANCE else "MAX_ITER_REACHED"
     return model
 
 
-def fit_fcm(points: DataFrame, k: int, seed: int = 0, m: float | None = None, start: np.ndarray | None = None, max_iterations: int = MAX_ITERATIONS, x: str = "x") -> Model:
+def _started(k: int, seed: int, start: np.ndarray | None) -> Program:
+    if start is not None:
+        return np.array(start, float)
+    centers = yield from drawn(k, [seed])
+    return centers[0]
+
+
+def fcm(k: int, seed: int = 0, m: float | None = None, start: np.ndarray | None = None, max_iterations: int = MAX_ITERATIONS) -> Program:
     """Fuzzy c-means; m defaults to the adaptive fuzzifier of the dimension."""
-    v = initial_centers(points, k, seed, x) if start is None else np.array(start, float)
+    v = yield from _started(k, seed, start)
     model = Model("fcm", v, fuzzifier(v.shape[1]) if m is None else m)
     moved = math.inf
     for step in range(max_iterations):
-        new, model.objective, least = fcm_step(points, model.centers, model.m, x)
+        s = yield Sum(fcm_sums(model.centers, model.m))
+        new, model.objective, least = fcm_moved(s, k)
         model.history.append(model.objective)
         model.iterations = step + 1
         if least < 1e-15:
@@ -196,19 +222,19 @@ def fit_fcm(points: DataFrame, k: int, seed: int = 0, m: float | None = None, st
         model.centers = new
         if moved < TOLERANCE:
             break
-    return _status(points, model, moved, x)
+    return (yield from _finished(model, moved))
 
 
-def fit_pfcm(points: DataFrame, k: int, seed: int = 0, m: float = 2.0, a: float = 1.0, b: float = 1.0, eta: float = 2.0, scale: float = 1.0, max_iterations: int = MAX_ITERATIONS, start: np.ndarray | None = None, x: str = "x") -> Model:
+def pfcm(k: int, seed: int = 0, m: float = 2.0, a: float = 1.0, b: float = 1.0, eta: float = 2.0, scale: float = 1.0, max_iterations: int = MAX_ITERATIONS, start: np.ndarray | None = None) -> Program:
     """Possibilistic fuzzy c-means: gamma is frozen after a fuzzy warm start, then both weights move the centers."""
-    warm = fit_fcm(points, k, seed, m, start, max_iterations, x)
+    warm = yield from fcm(k, seed, m, start, max_iterations)
 
     def spread(p: np.ndarray) -> np.ndarray:
         d = distances(p, warm.centers)
         w = fuzzy(d, m) ** m
         return np.concatenate(((w * d**2).sum(0), w.sum(0)))
 
-    s = summed(points, spread, x)
+    s = yield Sum(spread)
     gamma = np.maximum(scale * s[:k] / np.maximum(s[k:], 1e-15), 1e-6)
     model = Model("pfcm", warm.centers, m, gamma=gamma)
     moved = math.inf
@@ -221,7 +247,7 @@ def fit_pfcm(points: DataFrame, k: int, seed: int = 0, m: float = 2.0, a: float
             w = a * fuzzy(d, m) ** m + b * t**eta
             return np.concatenate(([(w * d**2).sum() + (gamma * ((1 - t) ** eta).sum(0)).sum()], center_sums(p, w)))
 
-        s = summed(points, fn, x)
+        s = yield Sum(fn)
         top, mass = split_sums(s[1:], k)
         new = top / np.maximum(mass, 1e-15)[:, None]
         moved = float(np.linalg.norm(new - v))
@@ -229,7 +255,7 @@ def fit_pfcm(points: DataFrame, k: int, seed: int = 0, m: float = 2.0, a: float
         model.history.append(model.objective)
         if moved < TOLERANCE:
             break
-    return _status(points, model, moved, x)
+    return (yield from _finished(model, moved))
 
 
 def regularised(cov: np.ndarray, least: float = 1e-6, condition: float = 1e8, ridge: float = 1e-5) -> np.ndarray:
@@ -243,61 +269,67 @@ def regularised(cov: np.ndarray, least: float = 1e-6, condition: float = 1e8, ri
     return cov
 
 
-def fit_gk(points: DataFrame, k: int, seed: int = 0, m: float = 2.0, max_iterations: int = MAX_ITERATIONS, start: np.ndarray | None = None, x: str = "x") -> Model:
+def gk(k: int, seed: int = 0, m: float = 2.0, max_iterations: int = MAX_ITERATIONS, start: np.ndarray | None = None) -> Program:
     """Gustafson-Kessel: a metric of unit volume for each cluster, from its fuzzy covariance."""
-    v = initial_centers(points, k, seed, x) if start is None else np.array(start, float)
+    v = yield from _started(k, seed, start)
     d = v.shape[1]
     model = Model("gk", v, m, shape=np.stack([np.eye(d)] * k))
     moved = math.inf
     for step in range(max_iterations):
+        centers, shape = model.centers, model.shape
 
-        def weighted(p: np.ndarray, model: Model = model) -> np.ndarray:
-            d = mahalanobis(p, model.centers, model.shape)
+        def weighted(p: np.ndarray, centers: np.ndarray = centers, shape: np.ndarray = shape) -> np.ndarray:
+            d = mahalanobis(p, centers, shape)
             w = fuzzy(d, m) ** m
             return np.concatenate(([(w * d**2).sum()], center_sums(p, w)))
 
-        s = summed(points, weighted, x)
+        s = yield Sum(weighted)
         model.objective = float(s[0])
         model.history.append(model.objective)
         top, mass = split_sums(s[1:], k)
         new = top / np.maximum(mass, 1e-15)[:, None]
 
-        def spread(p: np.ndarray, new: np.ndarray = new, model: Model = model) -> np.ndarray:
-            w = model.of(p) ** m
+        def spread(p: np.ndarray, new: np.ndarray = new, centers: np.ndarray = centers, shape: np.ndarray = shape) -> np.ndarray:
+            w = fuzzy(mahalanobis(p, centers, shape), m) ** m
             return np.concatenate([((p - c).T * w[:, j]) @ (p - c) for j, c in enumerate(new)])
 
-        cov = summed(points, spread, x).reshape(k, d, d) / np.maximum(mass, 1e-15)[:, None, None]
-        shape = []
+        s = yield Sum(spread)
+        cov = s.reshape(k, d, d) / np.maximum(mass, 1e-15)[:, None, None]
+        shapes = []
         for c in cov:
             c = regularised(c)
             sign, log = np.linalg.slogdet(c)
             if sign <= 0:
                 model.status = "SINGULAR_METRIC"
-            shape.append(np.exp(log / d) * np.linalg.inv(c))
+            shapes.append(np.exp(log / d) * np.linalg.inv(c))
         moved = float(np.linalg.norm(new - model.centers))
-        model.centers, model.shape, model.iterations = new, np.stack(shape), step + 1
+        model.centers, model.shape, model.iterations = new, np.stack(shapes), step + 1
         if moved < TOLERANCE or model.status != "SUCCESS":
             break
-    return _status(points, model, moved, x)
+    return (yield from _finished(model, moved))
 
 
-def fit_kmeans(points: DataFrame, k: int, seed: int = 0, starts: int = 10, max_iterations: int = 300, x: str = "x", start: np.ndarray | None = None) -> Model:
+def kmeans(k: int, seed: int = 0, starts: int = 10, max_iterations: int = 300, start: np.ndarray | None = None) -> Program:
     """Lloyd's k-means, the best of several starts; all starts move in the same pass over the points."""
-    runs = [np.array(start, float)] if start is not None else [initial_centers(points, k, seed + 1000 * i, x) for i in range(starts)]
+    if start is not None:
+        runs = [np.array(start, float)]
+    else:
+        runs = yield from drawn(k, [seed + 1000 * i for i in range(starts)])
     best = [math.inf] * len(runs)
     live = set(range(len(runs)))
     for step in range(max_iterations):
         order = sorted(live)
+        now = [runs[i] for i in order]
 
-        def fn(p: np.ndarray, order: list[int] = order) -> np.ndarray:
+        def fn(p: np.ndarray, now: list[np.ndarray] = now) -> np.ndarray:
             out = []
-            for i in order:
-                d = distances(p, runs[i])
+            for v in now:
+                d = distances(p, v)
                 w = np.eye(k)[d.argmin(1)]
                 out += [[(d.min(1) ** 2).sum()], center_sums(p, w)]
             return np.concatenate(out)
 
-        s = summed(points, fn, x)
+        s = yield Sum(fn)
         parts = s.reshape(len(order), -1)
         for i, part in zip(order, parts, strict=True):
             top, mass = split_sums(part[1:], k)
@@ -308,21 +340,22 @@ def fit_kmeans(points: DataFrame, k: int, seed: int = 0, starts: int = 10, max_i
             runs[i] = new
         if not live:
             break
-    i = int(np.argmin(best))
+    # starts that end in the same clustering differ by rounding only: the first of them counts
+    i = next(k for k, b in enumerate(best) if b <= min(best) * (1 + 1e-9))
     return Model("kmeans", runs[i], objective=best[i], iterations=step + 1, status="SUCCESS" if i not in live else "MAX_ITER_REACHED")
 
 
-def fit_gmm(points: DataFrame, k: int, seed: int = 0, ridge: float = 1e-6, tolerance: float = 1e-3, max_iterations: int = 100, x: str = "x", start: np.ndarray | None = None) -> Model:
+def gmm(k: int, seed: int = 0, ridge: float = 1e-6, tolerance: float = 1e-3, max_iterations: int = 100, start: np.ndarray | None = None) -> Program:
     """Full-covariance normal mixture by expectation maximisation from k-means centers."""
-    first = fit_kmeans(points, k, seed, starts=1, x=x, start=start)
+    first = yield from kmeans(k, seed, starts=1, start=start)
     d = first.centers.shape[1]
     model = Model("gmm", first.centers, weights=np.full(k, 1 / k), shape=np.stack([np.eye(d)] * k))
     previous = -math.inf
     for step in range(max_iterations):
         hard = step == 0
 
-        def fn(p: np.ndarray, model: Model = model, hard: bool = hard) -> np.ndarray:
-            log = log_gaussians(p, model.centers, model.shape) + np.log(model.weights)
+        def fn(p: np.ndarray, centers: np.ndarray = model.centers, shape: np.ndarray = model.shape, weights: np.ndarray = model.weights, hard: bool = hard) -> np.ndarray:
+            log = log_gaussians(p, centers, shape) + np.log(weights)
             top = log.max(1, keepdims=True)
             r = np.exp(log - top)
             like = (top[:, 0] + np.log(r.sum(1))).sum()
@@ -330,7 +363,7 @@ def fit_gmm(points: DataFrame, k: int, seed: int = 0, ridge: float = 1e-6, toler
             outer = [((p.T * r[:, j]) @ p).ravel() for j in range(k)]
             return np.concatenate(([like, len(p)], *outer, center_sums(p, r)))
 
-        s = summed(points, fn, x)
+        s = yield Sum(fn)
         n, outer = s[1], s[2 : 2 + k * d * d].reshape(k, d, d)
         top, mass = split_sums(s[2 + k * d * d :], k)
         mass = np.maximum(mass, 1e-10)
@@ -345,11 +378,43 @@ def fit_gmm(points: DataFrame, k: int, seed: int = 0, ridge: float = 1e-6, toler
     return model
 
 
-def fit(method: str, points: DataFrame, k: int, seed: int = 0, **options) -> Model:
-    """A clustering by name: fcm (adaptive fuzzifier), fcm2 (m = 2), pfcm, gk, kmeans or gmm."""
-    if method == "fcm2":
-        return fit_fcm(points, k, seed, 2.0, **options)
-    known = {"fcm": fit_fcm, "fcm_adaptive": fit_fcm, "pfcm": fit_pfcm, "gk": fit_gk, "kmeans": fit_kmeans, "gmm": fit_gmm}
-    if method not in known:
+#: Methods by name: fcm has the adaptive fuzzifier, fcm2 has m = 2.
+PROGRAMS: dict[str, Callable[..., Program]] = {"fcm": fcm, "fcm_adaptive": fcm, "fcm2": partial(fcm, m=2.0), "pfcm": pfcm, "gk": gk, "kmeans": kmeans, "gmm": gmm}
+
+
+def program(method: str, k: int, seed: int = 0, **options) -> Program:
+    if method not in PROGRAMS:
         raise ValueError(f"unknown method {method}")
-    return known[method](points, k, seed, **options)
+    return PROGRAMS[method](k, seed, **options)
+
+
+def fit(method: str, points: DataFrame, k: int, seed: int = 0, x: str = "x", **options) -> Model:
+    """A clustering by name; one that fails raises."""
+    return alone(points, program(method, k, seed, **options), x)
+
+
+def fit_many(points: DataFrame, runs: Mapping[Hashable, tuple[object, str, int, int]], key: str | None = None, x: str = "x", **options) -> tuple[dict[Hashable, Outcome], int]:
+    """(outcomes, passes) of runs by name: (key value of its points, method, k, seed), all in the same passes over the points.
+
+    Each fit is the one that fit gives over its own points, up to the order of sums; a fit that fails has its error."""
+    return together(points, {name: (of, program(method, k, seed, **options)) for name, (of, method, k, seed) in runs.items()}, key, x)
+
+
+def fit_fcm(points: DataFrame, k: int, seed: int = 0, m: float | None = None, start: np.ndarray | None = None, max_iterations: int = MAX_ITERATIONS, x: str = "x") -> Model:
+    return alone(points, fcm(k, seed, m, start, max_iterations), x)
+
+
+def fit_pfcm(points: DataFrame, k: int, seed: int = 0, x: str = "x", **options) -> Model:
+    return alone(points, pfcm(k, seed, **options), x)
+
+
+def fit_gk(points: DataFrame, k: int, seed: int = 0, x: str = "x", **options) -> Model:
+    return alone(points, gk(k, seed, **options), x)
+
+
+def fit_kmeans(points: DataFrame, k: int, seed: int = 0, x: str = "x", **options) -> Model:
+    return alone(points, kmeans(k, seed, **options), x)
+
+
+def fit_gmm(points: DataFrame, k: int, seed: int = 0, x: str = "x", **options) -> Model:
+    return alone(points, gmm(k, seed, **options), x)

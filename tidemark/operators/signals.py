@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,6 +175,39 @@ def xie_beni(points: DataFrame, centers: np.ndarray, m: float = 2.0, x: str = "x
     return float(s[0] / (s[1] * between))
 
 
+def silhouettes(points: DataFrame, labelings: dict, x: str = "x") -> dict:
+    """silhouette of a bank under each of many labelings, functions from the bank's matrix to hard labels; a task has some labelings."""
+    found = points.select(x).limit(2 * BANK + 1).toArrow()
+    if found.num_rows > 2 * BANK:
+        raise ValueError("the silhouette is taken on banks only")
+    if not labelings:
+        return {}
+    p = as_matrix(found.column(x).combine_chunks())
+    spark = points.sparkSession
+    held = spark.sparkContext.broadcast((p, [np.asarray(of(p)) for of in labelings.values()]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, labels = held.value
+        d = np.sqrt(np.maximum((p**2).sum(1)[:, None] + (p**2).sum(1)[None] - 2 * p @ p.T, 0))
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                names, code = np.unique(labels[k], return_inverse=True)
+                value = None
+                if 2 <= len(names) < len(p):
+                    one = np.eye(len(names))[code]
+                    size, at = one.sum(0), np.arange(len(p))
+                    sums = d @ one
+                    inside, means = sums[at, code] / np.maximum(size[code] - 1, 1), sums / size
+                    means[at, code] = np.inf
+                    other = means.min(1)
+                    value = float(np.where(size[code] > 1, (other - inside) / np.maximum(np.maximum(other, inside), 1e-300), 0).mean())
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([value], pa.float64())], ["k", "s"])
+
+    order = list(labelings)
+    rows = spark.createDataFrame([(k,) for k in range(len(order))], "k int").repartition(min(len(order), spark.sparkContext.defaultParallelism), "k").mapInArrow(run, "k int, s double")
+    return {order[r["k"]]: r["s"] for r in rows.collect()}
+
+
 def silhouette(points: DataFrame, x: str = "x", label: str = "cluster") -> float | None:
     """Mean silhouette (Euclidean) of a bank under hard labels; None for fewer than two labels or as many as rows."""
     found = points.select(x, label).limit(2 * BANK + 1).toArrow()
