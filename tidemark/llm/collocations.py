@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from .common import byte_values, frugal, scratch, small_batches, small_side, written
 
 #: Text bytes of a shard, about; a text is never cut, so a shard may be longer by one text.
-SHARD = 4 << 20
+SHARD = 3 << 20
 #: Bits of the table of frequent phrases, at every size of the corpus: 16 MB. Fewer free bits only cost time.
 BITS = 1 << 27
 #: Phrases are ranked in so many parts of a language before the parts' first ones are ranked together.
@@ -181,10 +181,13 @@ def _phrases(ids: np.ndarray, words: pa.Array, lang: bytes, k: int, frequent: Fr
     room = rooms(ids)
     order, lcp = suffix_order(ids, room, k)
     at, n = intervals(order, lcp, room, k - 1)
-    keys = [lang + b" ".join([word[i - 1] for i in row]) for row in np.stack([ids[at + j] for j in range(k - 1)], 1).tolist()] if len(at) else []
+    known = [np.empty(0, bool)]
+    for a in range(0, len(at), 1 << 15):
+        rows = np.stack([ids[at[a : a + (1 << 15)] + j] for j in range(k - 1)], 1).tolist()
+        known.append(frequent.has([lang + b" ".join([word[i - 1] for i in row]) for row in rows]))
     # a position is good if the phrase of k - 1 words that begins there may be frequent
     good = np.zeros(len(ids) + 1, bool)
-    good[order[room[order] >= k - 1]] = np.repeat(frequent.has(keys), n)
+    good[order[room[order] >= k - 1]] = np.repeat(np.concatenate(known), n)
     at, n = intervals(order, lcp, room, k)
     both = good[at] & good[at + 1]
     return at[both], n[both]
