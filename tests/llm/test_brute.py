@@ -188,19 +188,18 @@ def plain_tree(train, docs, st):
     """Scores by dictionaries: contexts are tuples of words, oldest first; None is the end, "?" a word that is no symbol."""
     c = Counter(w for d in train for w in d)
     total, whole = sum(c.values()), sum(c.values()) + len(c) + 1
-    symbols = {w for w, n in c.items() if n >= st.P_SYMBOL * total or w is None}
+    least = st.Least.of(total)
+    deepest = max(map(len, docs)) + 1
+    symbols = {w for w, n in c.items() if n >= least.symbol or w is None}
     root = {w: (c[w] + 1) / whole for w in symbols}
     root["?"] = max(1 - sum(root.values()), 1e-12)
     marked = lambda d: [None, *(w if w in symbols else "?" for w in d)]
     counts = defaultdict(Counter)
     for d in map(marked, train):
         for i in range(1, len(d)):
-            for k in range(1, min(i, st.DEPTH) + 1):
+            for k in range(1, min(i, deepest) + 1):
                 counts[tuple(d[i - k : i])][d[i]] += 1
-    live = {x for x in counts if len(x) == 1 and x != ("?",)}
-    for k in range(2, st.DEPTH + 1):
-        live |= {x for x in counts if len(x) == k and x[:-1] in live and x[-1] not in ("?", None) and counts[x[:-1]][x[-1]] >= max(st.P_CONTEXT * total, math.ceil(st.P_ENTRY * total))}
-    states = {}
+    live, states = set(), {}
 
     def chance(context, w):
         p = root[w]
@@ -211,34 +210,38 @@ def plain_tree(train, docs, st):
                 p = (kept.get(w, 0) + (st.PRIOR + rest) * p) / (size + st.PRIOR)
         return p
 
-    for x in sorted(live, key=len):
-        size = sum(counts[x].values())
-        kept = {w: n for w, n in counts[x].items() if n >= math.ceil(st.P_ENTRY * total)}
-        rest = size - sum(kept.values())
-        q = {w: chance(x[1:], w) for w in kept}
-        gain = sum(n * math.log(n / size / q[w]) for w, n in kept.items())
-        if rest > 0 and (left := 1 - sum(q.values())) > 0:
-            gain += rest * math.log(rest / size / left)
-        if size >= st.P_CONTEXT * total and gain > 0.5 * (len(kept) + 1) * math.log(max(size, 2)):
-            states[x] = (size, kept, rest)
+    for k in range(1, min(deepest, st.DEPTH) + 1):
+        if k == 1:
+            now = {x for x in counts if len(x) == 1 and x != ("?",)}
+        else:
+            now = {x for x in counts if len(x) == k and x[:-1] in live and x[1:] in states and x[-1] not in ("?", None) and counts[x[:-1]][x[-1]] >= max(least.context, least.entry)}
+        live |= now
+        for x in now:
+            size = sum(counts[x].values())
+            kept = {w: n for w, n in counts[x].items() if n >= least.entry}
+            rest = size - sum(kept.values())
+            q = {w: chance(x[1:], w) for w in kept}
+            gain = sum(n * math.log(n / size / q[w]) for w, n in kept.items())
+            if rest > 0 and (left := 1 - sum(q.values())) > 0:
+                gain += rest * math.log(rest / size / left)
+            if size >= least.context and gain > 0.5 * (len(kept) + 1) * math.log(max(size, 2)):
+                states[x] = (size, kept, rest)
     out = []
     for d in docs:
         m, score = marked(d), 0.0
         for i in range(1, len(m)):
-            k = max((k for k in range(1, min(i, st.DEPTH) + 1) if tuple(m[i - k : i]) in live and all(tuple(m[i - j : i]) in live for j in range(1, k + 1))), default=0)
+            k = max((k for k in range(1, min(i, deepest) + 1) if tuple(m[i - k : i]) in live and all(tuple(m[i - j : i]) in live for j in range(1, k + 1))), default=0)
             score += math.log10((c[d[i - 1]] + 1) / whole) + math.log10(chance(m[i - k : i], m[i]) / root[m[i]])
         out.append(score)
     return out, states
 
 
-@pytest.mark.parametrize("least", [1e-6, 4e-3])
+@pytest.mark.parametrize("least", [1e-6, 0.2])
 def test_suffix_tree_scores_are_those_of_plain_counts(spark, monkeypatch, least):
     """Phrases of several lengths, so that long contexts pass the test; with and without entries left out."""
     from tidemark.llm import suffix_tree as st
 
-    monkeypatch.setattr(st, "P_SYMBOL", 3e-3)
-    monkeypatch.setattr(st, "P_CONTEXT", 2e-3)
-    monkeypatch.setattr(st, "P_ENTRY", least)
+    monkeypatch.setattr(st, "ENTRY", least)
     rng = np.random.default_rng(8)
     phrases = ["a b c d e", "x b c y", "a b z", "q a b c r", "b c", "e e e"]
     docs = [" ".join(phrases[int(k)] if k < len(phrases) else f"rare{k}" for k in rng.integers(0, 9, rng.integers(1, 12))) for _ in range(400)] + ["", "a", "never seen b c"]
@@ -252,6 +255,19 @@ def test_suffix_tree_scores_are_those_of_plain_counts(spark, monkeypatch, least)
         assert math.isclose(got[i], w, rel_tol=1e-9, abs_tol=1e-9), (i, docs[i])
 
 
+def test_suffix_tree_grows_with_the_corpus(spark, sf):
+    """Of more text the tree keeps more symbols, contexts and entries."""
+    from tidemark.llm import suffix_tree as st
+
+    texts = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "cast(text as binary) as text")
+    found = []
+    for part in (texts.where("doc_id % 4 = 0"), texts, spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("cast(text as binary) as text")):
+        tree, _ = st.fit(part.select("text"))
+        found.append((tree.total, tree.other, sum(len(x.size) for x in tree.levels), sum(len(x.entries) for x in tree.levels)))
+    assert all(a < b for one, two in zip(found, found[1:]) for a, b in zip(one, two)), found
+    assert st.Least.of(10**8).context == 2000 and st.Least.of(4 * 10**8).context == 4000
+
+
 def test_suffix_tree_sums_to_one(spark):
     """In every state of a small tree the probabilities of all words and of the unknown rest sum to one."""
     from tidemark.llm import suffix_tree as st

@@ -5,6 +5,10 @@ or the length of the longest template; long lines are cut into windows. Each blo
 compressed alone and with each license template as a zstandard raw dictionary; templates are ranked by the
 share of bytes saved. All that save enough are confirmed by the exact word differences between the template
 and the block: versions and names must agree, holders and years are free.
+
+Templates are headers, statements and clauses. A clause that several licenses share names their family only; where
+all clauses of the family stand together they are the license that has just these, and where a clause that only one license
+has stands with them, they are part of that license.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ TEMPLATES = {
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "This project is MIT licensed.",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -32,25 +37,85 @@ TEMPLATES = {
     ],
     "GPL-3.0-only": [
         "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation.",
     ],
     "GPL-3.0-or-later": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "GPL-2.0-only": [
         "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    ],
+    "GPL-2.0-or-later": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-2.1-only": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 2.1 as published by the Free Software Foundation.",
+    ],
+    "LGPL-2.1-or-later": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0-or-later": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
+    "AGPL-3.0-or-later": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "AGPL-3.0-only": ["Licensed under the GNU Affero General Public License, version 3."],
     "BSD-3-Clause": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Licensed under the BSD 3-Clause License.",
+    ],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License."],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Licensed under the ISC License.",
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "Licensed under the Mozilla Public License, version 2.0.",
     ],
+    "MPL-1.1": ["The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "EPL-1.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"],
+    "CDDL-1.0": ["The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\"). You may not use this file except in compliance with the License."],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
+    "Zlib": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "Artistic-2.0": ["Licensed under the Artistic License 2.0."],
+    "AFL-3.0": ["Licensed under the Academic Free License version 3.0."],
+    "EUPL-1.2": ["Licensed under the EUPL, Version 1.2."],
+    "OFL-1.1": ["This Font Software is licensed under the SIL Open Font License, Version 1.1."],
+    "MS-PL": ["Licensed under the Microsoft Public License."],
+    "NCSA": ["Licensed under the University of Illinois/NCSA Open Source License."],
+    "PostgreSQL": ["Licensed under the PostgreSQL License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0."],
+    "CC-BY-3.0": ["Licensed under CC BY 3.0."],
+    "CC-BY-SA-3.0": ["Licensed under CC BY-SA 3.0."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "LicenseRef-all-rights-reserved": ["Copyright. All rights reserved."],
 }
-_MENTION = re.compile(rb"licen[cs]|copyright|\xc2\xa9|permission|redistribut|rights reserved|creative commons|public domain", re.I)
+#: Clauses that several licenses share, by family.
+SHARED = {
+    "BSD": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ],
+}
+#: The license that has all clauses of a family and no others, and the ones that have more.
+COMPLETE = {"BSD": ("BSD-2-Clause", {"BSD-3-Clause"})}
+
+
+def tagged(templates: dict[str, list[str]]) -> dict[str, list[str]]:
+    """templates with the line that names each license by its identifier."""
+    return {name: [*texts, *([] if name.startswith("LicenseRef") else [f"SPDX-License-Identifier: {name}"])] for name, texts in templates.items()}
+
+
+_MENTION = re.compile(rb"licen[cs]|copyright|unencumbered|anyone is free|\xc2\xa9|permission|redistribut|rights reserved|creative commons|public domain", re.I)
 _WORD = re.compile(r"[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]")
 _MARK = rb"[ \t]*(?:(?:/\*+|\*+/?|//+|#+|--+|;+|%+|>+|<!--|\.\.|(?:dnl|rem)\b)[ \t]*)*"
 _MARKS = re.compile(rb"^" + _MARK, re.I | re.M)
@@ -63,6 +128,7 @@ LEAST_SAVED = 0.25
 DIFFERENT = 0.1
 _NAMES = set("mit apache gnu gpl lgpl agpl lesser library affero creative commons cc by nc sa nd attribution sharealike noncommercial noderivatives zero cc0 bsd mozilla eclipse copyright rights reserved later not".split())
 _NAMES |= {f"by-{x}" for x in ("nc", "sa", "nd", "nc-sa", "nc-nd")} | {f"attribution-{x}" for x in ("noncommercial", "sharealike", "noderivatives", "noncommercial-sharealike", "noncommercial-noderivatives", "noncommercial-noderivs", "noderivs")}
+_NAMES |= {"2-clause", "3-clause", "mpl", "epl", "eupl", "isc", "sil", "font", "boost", "artistic", "academic", "microsoft", "ncsa", "postgresql", "cddl", "unencumbered", "only", "program", "library", *(name.lower() for name in TEMPLATES)}
 _YEAR = re.compile(r"(?:19|20)\d\d(?:-(?:19|20)?\d\d)?")
 _VERSION = re.compile(r"\d+(?:\.\d+)*\+?")
 #: Words that may come in anywhere, words that a holder's name may replace, and the most words of such a name.
@@ -106,10 +172,17 @@ def candidate_blocks(data: bytes, reach: int = REACH) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, list[str]] | None = None):
+    """templates: statements by license; shared: clauses by family; complete: see COMPLETE. Without templates those of this module."""
+
+    def __init__(self, templates: dict[str, list[str]] | None = None, shared: dict[str, list[str]] | None = None, complete: dict[str, tuple[str, set[str]]] | None = None):
+        if templates is None:
+            templates, shared, complete = tagged(TEMPLATES), SHARED, COMPLETE
+        self.complete = complete or {}
+        self.clauses = {family: {f"{family}/{k}": text for k, text in enumerate(texts)} for family, texts in (shared or {}).items()}
+        every = [*((name, t) for name, texts in templates.items() for t in texts), *(pair for of in self.clauses.values() for pair in of.items())]
         parameters = zstandard.ZstdCompressionParameters.from_level(19, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, min_match=3, window_log=17)
         self.plain = zstandard.ZstdCompressor(compression_params=parameters)
-        self.templates = [(name, text, words(text), zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=parameters)) for name, texts in (templates or TEMPLATES).items() for text in texts]
+        self.templates = [(name, text, words(text), zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=parameters)) for name, text in every]
         self.reach = max([REACH, *(len(t[1].encode()) * 3 // 2 for t in self.templates)])
 
     def blocks(self, data: bytes) -> list[tuple[int, int]]:
@@ -173,7 +246,29 @@ class Scanner:
                         key = (found["license"], lo)
                         if key not in best or (n, b - a) < (best[key]["differing"], best[key]["end"] - best[key]["start"]):
                             best[key] = found
-        return sorted(best.values(), key=lambda f: (f["start"], f["license"]))
+        return self.gathered(sorted(best.values(), key=lambda f: (f["start"], f["license"])))
+
+    def gathered(self, found: list[dict]) -> list[dict]:
+        """Findings with shared clauses made licenses where they are complete, else their family; clauses of one notice are
+        no farther apart than a block's size."""
+        for family, clauses in self.clauses.items():
+            whole, wider = self.complete.get(family, (family, set()))
+            mine = [f for f in found if f["license"] in clauses]
+            others = [f for f in found if f["license"] in wider]
+            groups: list[list[dict]] = []
+            for f in mine:
+                if groups and f["start"] - max(g["end"] for g in groups[-1]) <= BLOCK_BYTES:
+                    groups[-1].append(f)
+                else:
+                    groups.append([f])
+            for group in groups:
+                lo, hi = min(f["start"] for f in group) - BLOCK_BYTES, max(f["end"] for f in group) + BLOCK_BYTES
+                found = [f for f in found if f not in group]
+                if not any(lo <= o["end"] and o["start"] <= hi for o in others):
+                    name = whole if {f["license"] for f in group} == set(clauses) else family
+                    words = [w for f in group for w in f["words"]]
+                    found.append({"license": name, "start": min(f["start"] for f in group), "end": max(f["end"] for f in group), "saved": max(f["saved"] for f in group), "differing": sum(f["differing"] for f in group), "words": words})
+        return sorted(found, key=lambda f: (f["start"], f["license"]))
 
 
 _FOUND = "array<struct<license:string,start:bigint,end:bigint,saved:double,differing:bigint,words:array<string>>>"

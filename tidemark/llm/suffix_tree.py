@@ -1,15 +1,15 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-Symbols are the words whose share of all training tokens is at least P_SYMBOL, and one for all others.
-Contexts are the last symbols, one and more: those of the next length are grown from the contexts whose share
-is at least P_CONTEXT, until there are none left or DEPTH is reached. A context is a state of the tree if a
+Symbols are the words with `symbol` training tokens at least (see Least), and one for all others. Contexts are the last
+symbols, one and more: one of the next length is looked at if it has `context` tokens at least and what it has without its
+oldest symbol is a state, as long as there are any. A context is a state of the tree if a
 divergence test finds its next-symbol distribution unlike that of the context without its oldest symbol. Next-symbol counts are smoothed with the shorter context's distribution. A token is scored in the state of
 the longest suffix; a rare word's probability is that of the rare symbol times its share among rare words.
 
-All counts cover all training tokens. The tree's size is bounded by the three shares (at most 1/P_SYMBOL
-symbols and 1/P_CONTEXT contexts of a length, at most 1/P_ENTRY counts of a length) at any corpus size, so
-it is broadcast; word counts, whose number grows with the corpus, are joined by shuffle but for the words
-with a share of P_ENTRY or more.
+All counts cover all training tokens. What must be seen how often to be kept grows as the square root of the
+corpus, so what the tree keeps grows as the square root too, at every size alike: twice the corpus keeps more symbols, more
+contexts and longer ones. That much is broadcast; word counts, whose number grows with the corpus, are joined by
+shuffle but for the commonest.
 """
 
 from __future__ import annotations
@@ -24,17 +24,29 @@ from pyspark.sql import functions as F
 
 from .common import Words, blocks, byte_values, frugal, small_batches, with_seq, written
 
-P_SYMBOL = 5e-5
-P_CONTEXT = 2e-5
-P_ENTRY = 1e-6
-#: Symbols of the longest context that the tree grows to.
-DEPTH = 6
+#: Least counts of symbols, contexts and next-symbol entries, as multiples of the square root of the training tokens.
+SYMBOL, CONTEXT, ENTRY = 0.5, 0.2, 0.01
+#: Symbols of a context, at most: each length is a pass over the texts, and the divergence test mostly ends earlier.
+DEPTH = 12
 #: Weight of the shorter context's distribution, in tokens.
 PRIOR = 20.0
 #: The hash of the token that ends a text; also the context at its start.
 END = np.uint64(0xE4D0F7E75A11D0C5)
 
 
+@dataclass(frozen=True)
+class Least:
+    """How many training tokens a symbol, a context and a next-symbol entry must have."""
+
+    symbol: int
+    context: int
+    entry: int
+
+    @staticmethod
+    def of(total: int) -> Least:
+        return Least(*(max(1, int(np.ceil(c * np.sqrt(total)))) for c in (SYMBOL, CONTEXT, ENTRY)))
+
+
 def held_out(id_: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
@@ -72,7 +84,7 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """total, distinct: N and V. known: sorted hashes of the words with share P_ENTRY or more, with their
+    """total, distinct: N and V. known: sorted hashes of the words with as many tokens as an entry needs, with their
     counts and symbols (other = number of symbols). share: root probability of each symbol. levels: the
     contexts by length."""
 
@@ -158,7 +170,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def next_counts(texts: DataFrame, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (context, next symbol) of the tree's longest contexts, and their counts, of a share of P_ENTRY at least."""
+    """Keys (context, next symbol) of the tree's longest contexts, and their counts, of as many tokens as an entry needs."""
     held = texts.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +182,7 @@ def next_counts(texts: DataFrame, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
                 k, n = np.unique(key[key >= 0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n.astype(np.int64))], ["k", "n"])
 
-    least = max(1, int(np.ceil(P_ENTRY * tree.total)))
+    least = Least.of(tree.total).entry
     sums = texts.select("text").mapInArrow(frugal(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     with small_batches(texts.sparkSession):
         kept = sums.where(F.col("n") >= least).toArrow()
@@ -179,8 +191,8 @@ def next_counts(texts: DataFrame, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
     return k[order], n[order]
 
 
-def _states(keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, shorter: np.ndarray, other: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """size and rest of each context; size is 0 where the share or the divergence test speaks against a state.
+def _states(keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, shorter: np.ndarray, other: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """size and rest of each context; size is 0 where the count (under least) or the divergence test speaks against a state.
 
     shorter: the next symbol's probability in the shorter context, for each key. The divergence, in nats
     over all of the context's tokens, must exceed half the logarithm of their number for each kept count.
@@ -194,7 +206,7 @@ def _states(keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, shorter: n
         rare = np.where((rest > 0) & (left > 0), rest * np.log(rest / np.maximum(totals, 1) / np.maximum(left, 1e-300)), 0)
     divergence = (np.bincount(context, each, len(totals)) if len(keys) else np.zeros(len(totals))) + rare
     cost = 0.5 * (np.bincount(context, minlength=len(totals)) + 1) * np.log(np.maximum(totals, 2))
-    good = (totals >= P_CONTEXT * total) & (divergence > cost)
+    good = (totals >= least) & (divergence > cost)
     return np.where(good, totals, 0), rest
 
 
@@ -202,11 +214,12 @@ def fit(texts: DataFrame) -> tuple[Tree, DataFrame]:
     """The tree of the training texts (column text, binary) and the written counts (h, c) of all their words."""
     vocabulary = written(word_counts(texts), "words")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    often = vocabulary.where(F.col("c") >= max(1, int(np.ceil(P_ENTRY * total)))).toArrow()
+    least = Least.of(total)
+    often = vocabulary.where(F.col("c") >= least.entry).toArrow()
     h, c = often.column("h").to_numpy().view(np.uint64), often.column("c").to_numpy()
     order = np.argsort(h)
     h, c = h[order], c[order]
-    is_symbol = (c >= P_SYMBOL * total) | (h == END)
+    is_symbol = (c >= least.symbol) | (h == END)
     other = int(is_symbol.sum())
     symbol = np.full(len(h), other)
     symbol[is_symbol] = np.arange(other)
@@ -222,10 +235,11 @@ def fit(texts: DataFrame) -> tuple[Tree, DataFrame]:
         context, next_ = level.keys // (other + 1), level.keys % (other + 1)
         # a context's own tokens: its ends of text have no next token, so the kept counts may be fewer
         shorter = tree.suffix_chances(n, context, next_)
-        level.size, level.rest = _states(level.keys, level.entries, sizes, shorter, other, total)
-        grow = (next_ != other) & (level.entries >= P_CONTEXT * total) & (next_ != int(tree.look_up(np.array([END]))[1][0]))
-        grown, sizes = level.keys[grow], level.entries[grow]
+        level.size, level.rest = _states(level.keys, level.entries, sizes, shorter, other, least.context)
+        grow = (next_ != other) & (level.entries >= least.context) & (next_ != int(tree.look_up(np.array([END]))[1][0]))
         suffix = next_[grow] if n == 0 else _found(level.grown, tree.key(level.suffix[context[grow]], next_[grow]))
+        stands = (suffix >= 0) & (level.size[suffix] > 0)
+        grown, sizes, suffix = level.keys[grow][stands], level.entries[grow][stands], suffix[stands]
         level = Level(grown, suffix, none, none, none, none)
     return tree, vocabulary
 
