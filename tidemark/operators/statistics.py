@@ -52,17 +52,21 @@ def quantiles(df: DataFrame, columns: list[str], probabilities: list[float], by:
     return found.groupBy(*by, "column", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "q"))), lambda x: x["q"]).alias("q"))
 
 
-def source_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
+def source_statistics(df: DataFrame, columns: list[str], medians: bool = True) -> DataFrame:
     """column, n, mean, sd (sample), median, zero_variance of the numeric columns, over values that are present.
 
-    Moments in one aggregation, medians by quantiles; the result has a row for each column.
+    Moments in one aggregation, medians (null unless asked for) by quantiles; the result has a row for each column.
     """
     x = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns]
     aggregates = [a for k, v in enumerate(x) for a in (F.count(v).alias(f"n{k}"), F.avg(v).alias(f"m{k}"), F.stddev_samp(v).alias(f"s{k}"))]
     wide = df.agg(*aggregates)
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{k}").alias("n"), F.col(f"m{k}").alias("mean"), F.col(f"s{k}").alias("sd")) for k, c in enumerate(columns)])
-    middle = quantiles(df, columns, [0.5]).select("column", F.col("q")[0].alias("median"))
-    out = wide.select(F.explode(rows).alias("r")).select("r.*").join(F.broadcast(middle), "column", "left")
+    out = wide.select(F.explode(rows).alias("r")).select("r.*")
+    if medians:
+        middle = quantiles(df, columns, [0.5]).select("column", F.col("q")[0].alias("median"))
+        out = out.join(F.broadcast(middle), "column", "left")
+    else:
+        out = out.withColumn("median", F.lit(None).cast("double"))
     return out.withColumn("zero_variance", F.coalesce(F.col("sd"), F.lit(0.0)) <= ZERO_SD)
 
 

@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import sql_uniform
 from ..operators import folds, shifts, signals, statistics
 from ..sources import descriptors as d
 from ..sources.ingest import LINE_FEATURES, LINE_SQL, line_rows
@@ -35,7 +34,7 @@ def split_artifact(spark: SparkSession, sf: str) -> DataFrame:
     return table.groupBy("fold", "side").agg(F.count(F.lit(1)).alias("rows")).withColumn("problems", F.lit(len(bad)))
 
 
-_MCAR = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({sql_uniform(7, 'mcar-' + c, 'row_id')} < 0.1) AS cells FROM l" for c in LINE_FEATURES)
+_MCAR = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round_even(count({c}) * 0.1, 0)::BIGINT AS cells FROM l" for c in LINE_FEATURES)
 
 
 @query("shift_artifact", f"WITH l AS (SELECT DISTINCT ON (row_id) * FROM ({LINE_SQL})) SELECT *, 0::INTEGER AS problems FROM ({_MCAR})")

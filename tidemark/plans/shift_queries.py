@@ -21,13 +21,12 @@ def _sql(family: str, cell) -> str:
 
 
 def _stats(spark: SparkSession, sf: str) -> shifts.Stats:
-    return shifts.collected(statistics.source_statistics(side(line_rows(spark, sf), "source"), LINE_FEATURES))
+    return shifts.collected(statistics.source_statistics(side(line_rows(spark, sf), "source"), LINE_FEATURES, medians=False))
 
 
 def _shifted(spark: SparkSession, sf: str, family: str) -> DataFrame:
     rows, stats = side(line_rows(spark, sf), "target").select("row_id", *LINE_FEATURES), _stats(spark, sf)
-    out = [shifts.shifted(f"{family}_{s}", rows, stats, LINE_FEATURES, SEED).withColumn("severity", F.lit(s)) for s in shifts.SEVERITIES]
-    return rounded(out[0].unionByName(out[1]), 5)
+    return rounded(shifts.both_severities(family, rows, stats, LINE_FEATURES, SEED), 5)
 
 
 _MOVED = shifts.moved_features(dict.fromkeys(LINE_FEATURES, (0.0, 1.0, 0.0)), SEED)
@@ -48,12 +47,19 @@ def shift_noise(spark: SparkSession, sf: str) -> DataFrame:
     return _shifted(spark, sf, "noise")
 
 
-@query("shift_outliers", _sql("outliers", lambda c, k: f"CASE WHEN {sql_uniform(SEED, 'outlier-rows', 'row_id')} < {k} THEN {c} + {sql_student3(SEED, f'outlier-{c}', 'row_id')} * 3.0 * {c}_s ELSE {c} END"))
+_HIT = f"row_number() OVER (ORDER BY {sql_draw(SEED, 'outlier-rows', 'row_id')}, row_id) <= round_even(count(*) OVER () * {{k}}, 0)"
+_OUTLIERS = _sql("outliers", lambda c, k: f"CASE WHEN {_HIT.format(k=k)} THEN {c} + {sql_student3(SEED, f'outlier-{c}', 'row_id')} * 3.0 * {c}_s ELSE {c} END")
+
+
+@query("shift_outliers", _OUTLIERS)
 def shift_outliers(spark: SparkSession, sf: str) -> DataFrame:
     return _shifted(spark, sf, "outliers")
 
 
-@query("shift_mcar", _sql("mcar", lambda c, k: f"CASE WHEN {sql_uniform(SEED, f'mcar-{c}', 'row_id')} >= {k} THEN {c} END"))
+_GONE = "{c} IS NOT NULL AND row_number() OVER (PARTITION BY {c} IS NULL ORDER BY {d}, row_id) <= round_even(count({c}) OVER () * {k}, 0)"
+
+
+@query("shift_mcar", _sql("mcar", lambda c, k: f"CASE WHEN NOT ({_GONE.format(c=c, k=k, d=sql_draw(SEED, f'mcar-{c}', 'row_id'))}) THEN {c} END"))
 def shift_mcar(spark: SparkSession, sf: str) -> DataFrame:
     return _shifted(spark, sf, "mcar")
 
@@ -93,7 +99,7 @@ def shift_local_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("row_id", "label", "moved", sum_.alias("checksum")), 5)
 
 
-@query("shift_replay_overlay", _sql("outliers", lambda c, k: f"CASE WHEN {sql_uniform(SEED, 'outlier-rows', 'row_id')} < {k} THEN {c} + {sql_student3(SEED, f'outlier-{c}', 'row_id')} * 3.0 * {c}_s ELSE {c} END"))
+@query("shift_replay_overlay", _OUTLIERS)
 def shift_replay_overlay(spark: SparkSession, sf: str) -> DataFrame:
     """The outlier shift stored as differing cells and replayed onto the target rows."""
     rows, stats = side(line_rows(spark, sf), "target").select("row_id", *LINE_FEATURES), _stats(spark, sf)
