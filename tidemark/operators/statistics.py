@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 ROLES = ("numeric", "categorical", "ordinal", "boolean")
 ZERO_SD = 1e-12
 #: Groups up to this size are put in order whole; of larger ones the values within BRACKET of a quantile's rank, as a sketch of SKETCH points finds them.
 SMALL, BRACKET, SKETCH = 2000, 0.0015, 5000
-#: Categories of a column that are encoded one by one; a column with more is refused.
-MOST_CATEGORIES = 100_000
+#: Values of a column that are encoded by expressions; the vocabulary of a column with more is a table.
+LITERALS = 1000
+#: Vocabularies are broadcast up to this many values; of larger ones the values with at least this share of rows are.
+BROADCAST_VALUES, HOT_SHARE = 200_000, 0.001
 MISSING = "__MISSING_SOURCE__"
 #: Texts read as booleans.
 TRUE = ("true", "t", "yes", "y", "1", "1.0")
@@ -105,32 +110,87 @@ def as_boolean(c: Column) -> Column:
     return F.when(text.isNull() | (text == ""), F.lit(None).cast("boolean")).when(text.isin(*TRUE), True).when(text.isin(*FALSE), False).otherwise(wrong)
 
 
+@dataclass
+class Vocabulary:
+    """The values of a source column as a written table: value, n, code. Kept values have codes from 0 in their order;
+    infrequent ones share the code behind (rare, if there are any). hot: the commonest values, few enough to broadcast."""
+
+    table: DataFrame
+    fill: str
+    kept: int
+    rare: bool
+    values: int
+
+    @staticmethod
+    def fit(df: DataFrame, column: str, min_frequency: float) -> Vocabulary | None:
+        """Of the values that are present (None if there are none); missing ones count as the commonest."""
+        counts = stored(df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")), "values")
+        total, gone, values = counts.agg(F.sum("n"), F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.count("value")).first()
+        if not values:
+            return None
+        fill = counts.where("value is not null").orderBy(F.desc("n"), "value").first()["value"]
+        full = counts.where("value is not null").withColumn("n", F.when(F.col("value") == fill, F.col("n") + (gone or 0)).otherwise(F.col("n")))
+        keep = F.col("n") >= min_frequency * total
+        # numbered range by range: no task orders the whole vocabulary
+        parts = full.where(keep).repartitionByRange("value").sortWithinPartitions("value").select("value", "n", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+        parts = stored(parts, "kept-values")
+        sizes = {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+        first, kept = [], 0
+        for p in sorted(sizes):
+            first.append((p, kept))
+            kept += sizes[p]
+        spark = df.sparkSession
+        offsets = spark.createDataFrame(first, "part int, first long")
+        coded = parts.join(F.broadcast(offsets), "part").select("value", "n", (F.col("first") + F.col("at")).cast("int").alias("code"))
+        rest = full.where(~keep).select("value", "n", F.lit(kept).alias("code"))
+        table = stored(coded.unionByName(rest), "vocabulary")
+        return Vocabulary(table, fill, kept, values > kept, values)
+
+    def coded(self, df: DataFrame, column: str, out: str) -> DataFrame:
+        """df with the code of each row's value (missing: that of the fill; null: a value that the source did not have)."""
+        value = F.coalesce(F.col(column).cast("string"), F.lit(self.fill))
+        if self.values <= BROADCAST_VALUES:
+            small = F.broadcast(self.table.select(F.col("value").alias("__value"), F.col("code").alias(out)))
+            return df.withColumn("__of", value).join(small, F.col("__of") == F.col("__value"), "left").drop("__of", "__value")
+        total = self.table.agg(F.sum("n")).first()[0]
+        hot = self.table.where(F.col("n") >= HOT_SHARE * total).select(F.col("value").alias("__hot"), F.col("code").alias("__hot_code"))  # 1 / HOT_SHARE values at most
+        some = df.withColumn("__of", value).join(F.broadcast(hot), F.col("__of") == F.col("__hot"), "left")
+        # rows of hot values are done: they are spread over the tasks of the join by a key that no value has
+        salt = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*df.columns), F.lit(4096)).cast("string"))
+        some = some.withColumn("__key", F.when(F.col("__hot").isNull(), F.col("__of")).otherwise(salt))
+        cold = self.table.where(F.col("n") < HOT_SHARE * total).select(F.col("value").alias("__value"), F.col("code").alias("__cold_code"))
+        return some.join(cold, F.col("__key") == F.col("__value"), "left").withColumn(out, F.coalesce("__hot_code", "__cold_code")).drop("__of", "__hot", "__hot_code", "__key", "__value", "__cold_code")
+
+
 @dataclass
 class Preprocessor:
     """Expressions fitted on source rows: imputation, scaling and encoding by role.
 
     numeric: (median, mean, population sd after imputation); categorical: (fill, kept categories, infrequent
-    categories); ordinal: (order, mode, mean, sd of the codes); boolean: mode.
+    categories), or a vocabulary where there are many; ordinal: (order, mode, mean, sd of the codes); boolean: mode.
     """
 
     numeric: dict[str, tuple[float, float, float]] = field(default_factory=dict)
-    categorical: dict[str, tuple[str, list[str], list[str]]] = field(default_factory=dict)
+    categorical: dict[str, tuple[str, list[str], list[str]] | Vocabulary] = field(default_factory=dict)
     ordinal: dict[str, tuple[list[str], str, float, float]] = field(default_factory=dict)
     boolean: dict[str, bool] = field(default_factory=dict)
 
-    def expressions(self) -> dict[str, Column]:
-        """Output columns in order: numeric, categorical, ordinal, boolean."""
+    def _numeric(self) -> dict[str, Column]:
         out: dict[str, Column] = {}
         for c, (median, mean, sd) in self.numeric.items():
             x = F.col(c).cast("double")
             x = F.when(x.isNull() | F.isnan(x), F.lit(median)).when(F.abs(x) == float("inf"), F.raise_error(F.lit(f"infinite value in {c}")).cast("double")).otherwise(x)
             out[c] = (x - mean) / sd
-        for c, (fill, kept, rare) in self.categorical.items():
-            x = F.coalesce(F.col(c).cast("string"), F.lit(fill))
-            for v in kept:
-                out[f"{c}={v}"] = (x == v).cast("double")
-            if rare:
-                out[f"{c}=infrequent"] = x.isin(*rare).cast("double")
+        return out
+
+    def _one_hot(self, c: str) -> dict[str, Column]:
+        fill, kept, rare = self.categorical[c]
+        x = F.coalesce(F.col(c).cast("string"), F.lit(fill))
+        out = {f"{c}={v}": (x == v).cast("double") for v in kept}
+        return out | ({f"{c}=infrequent": x.isin(*rare).cast("double")} if rare else {})
+
+    def _rest(self) -> dict[str, Column]:
+        out: dict[str, Column] = {}
         for c, (order, mode, mean, sd) in self.ordinal.items():
             x = F.coalesce(F.col(c).cast("string"), F.lit(mode))
             code = F.array_position(F.array(*[F.lit(v) for v in order]), x).cast("double") - 1
@@ -139,8 +199,26 @@ class Preprocessor:
             out[c] = F.coalesce(as_boolean(F.col(c)), F.lit(mode)).cast("double")
         return out
 
+    def expressions(self) -> dict[str, Column]:
+        """Output columns in order: numeric, categorical, ordinal, boolean; ValueError if a vocabulary is a table (see sparse)."""
+        many = [c for c, v in self.categorical.items() if isinstance(v, Vocabulary)]
+        if many:
+            raise ValueError(f"{', '.join(many)}: more than {LITERALS} categories have no expressions of their own")
+        out = self._numeric()
+        for c in self.categorical:
+            out |= self._one_hot(c)
+        return out | self._rest()
+
     def names(self) -> list[str]:
-        return [*self.expressions()]
+        """Names of the output columns, in order; those of a vocabulary are read from its table."""
+        out = [*self.numeric]
+        for c, v in self.categorical.items():
+            if isinstance(v, Vocabulary):
+                kept = v.table.where(F.col("code") < v.kept).orderBy("code").select("value").toLocalIterator()
+                out += [f"{c}={r['value']}" for r in kept] + ([f"{c}=infrequent"] if v.rare else [])
+            else:
+                out += [*self._one_hot(c)]
+        return out + [*self._rest()]
 
     def transform(self, df: DataFrame, keep: list[str]) -> DataFrame:
         """keep, features: the transformed row as an array of floats; a NaN raises."""
@@ -148,17 +226,50 @@ class Preprocessor:
         checked = F.when(F.exists(x, lambda v: F.isnan(v) | v.isNull()), F.raise_error(F.lit("missing value after preprocessing")).cast("array<float>")).otherwise(x)
         return df.select(*keep, checked.alias("features"))
 
+    def sparse(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        """keep, size, indices, values: the transformed row without its zeros, for any number of categories; a NaN raises.
+
+        Columns with many categories are joined with their vocabularies, one column after the other."""
+        one = lambda i, e: F.struct(F.lit(i).alias("i"), e.cast("float").alias("v"))
+        entries, at = [], 0
+        for e in self._numeric().values():
+            entries.append(one(at, e))
+            at += 1
+        for k, (c, v) in enumerate(self.categorical.items()):
+            if isinstance(v, Vocabulary):
+                df = v.coded(df, c, f"__code_{k}")
+                entries.append(F.struct((F.col(f"__code_{k}") + at).alias("i"), F.lit(1.0).cast("float").alias("v")))
+                at += v.kept + v.rare
+            else:
+                for e in self._one_hot(c).values():
+                    entries.append(one(at, e))
+                    at += 1
+        for e in self._rest().values():
+            entries.append(one(at, e))
+            at += 1
+        cells = F.filter(F.array(*entries), lambda x: x["i"].isNotNull() & (x["v"].isNull() | (x["v"] != 0)))
+        checked = F.when(F.exists(cells, lambda x: F.isnan(x["v"]) | x["v"].isNull()), F.raise_error(F.lit("missing value after preprocessing")).cast("array<struct<i:int,v:float>>")).otherwise(cells)
+        return df.select(*keep, checked.alias("__cells")).select(*keep, F.lit(at).alias("size"), F.col("__cells.i").alias("indices"), F.col("__cells.v").alias("values"))
+
     def unseen(self, df: DataFrame) -> DataFrame:
         """column, n_unseen, n_values: values of the categorical columns that the source did not have."""
-        rows = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), (~F.col(c).cast("string").isin(*kept, *rare, fill)).alias("new")) for c, (fill, kept, rare) in self.categorical.items()]
-        cells = df.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-        return cells.groupBy("column").agg(F.sum(F.coalesce(F.col("new").cast("long"), F.lit(0))).alias("n_unseen"), F.count_distinct(F.when(F.col("new"), F.col("value"))).alias("n_values"))
+        few = {c: v for c, v in self.categorical.items() if not isinstance(v, Vocabulary)}
+        parts = []
+        if few:
+            rows = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), (~F.col(c).cast("string").isin(*kept, *rare, fill)).alias("new")) for c, (fill, kept, rare) in few.items()]
+            parts.append(df.select(F.explode(F.array(*rows)).alias("r")).select("r.*"))
+        for c, v in self.categorical.items():
+            if isinstance(v, Vocabulary):
+                parts.append(v.coded(df.select(c), c, "__code").select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), F.col("__code").isNull().alias("new")))
+        cells = reduce(DataFrame.unionByName, parts)
+        by_value = cells.groupBy("column", "value").agg(F.sum(F.coalesce(F.col("new").cast("long"), F.lit(0))).alias("n"))
+        return by_value.groupBy("column").agg(F.sum("n").alias("n_unseen"), F.sum((F.col("n") > 0).cast("long")).alias("n_values"))
 
 
 def fit_preprocessor(df: DataFrame, roles: dict[str, str], orders: dict[str, list[str]] | None = None, min_frequency: float = 0.01) -> Preprocessor:
     """Fit on df (source rows). Two aggregations for the numeric columns and one for each categorical vocabulary.
 
-    A column with more than MOST_CATEGORIES values is refused. A numeric column without values gets median 0; a categorical one a fill of its own; a boolean one False.
+    A categorical column with more than LITERALS values gets a vocabulary. A numeric column without values gets median 0; a categorical one a fill of its own; a boolean one False.
     An ordinal column without an order is one-hot encoded.
     """
     p = Preprocessor()
@@ -175,9 +286,10 @@ def fit_preprocessor(df: DataFrame, roles: dict[str, str], orders: dict[str, lis
     for c, role in roles.items():
         if role == "categorical" or role == "ordinal" and c not in orders:
             counts = df.groupBy(F.col(c).cast("string").alias("v")).count()
-            listed = counts.limit(MOST_CATEGORIES + 2).collect()
-            if len(listed) > MOST_CATEGORIES + 1:
-                raise ValueError(f"{c} has more than {MOST_CATEGORIES} categories: group or hash them before encoding")
+            listed = counts.limit(LITERALS + 2).collect()
+            if len(listed) > LITERALS + 1:
+                p.categorical[c] = Vocabulary.fit(df, c, min_frequency)
+                continue
             size = {r["v"]: r["count"] for r in listed}
             gone, total = size.pop(None, 0), sum(r["count"] for r in listed)
             fill = min(size, key=lambda v: (-size[v], v)) if size else MISSING

@@ -83,7 +83,8 @@ def source_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(statistics.source_statistics(side(line_rows(spark, sf), "source"), LINE_FEATURES))
 
 
-_MISSING = ", ".join(f"CASE WHEN {sql_uniform(SEED, f'mcar-{c}', 'row_id')} >= 0.1 THEN {c} END AS {c}" for c in LINE_FEATURES)
+_GONE = "{c} IS NOT NULL AND row_number() OVER (PARTITION BY {c} IS NULL ORDER BY {d}, row_id) <= round_even(count({c}) OVER () * 0.1, 0)"
+_MISSING = ", ".join(f"CASE WHEN NOT ({_GONE.format(c=c, d=sql_draw(SEED, f'mcar-{c}', 'row_id'))}) THEN {c} END AS {c}" for c in LINE_FEATURES)
 _MED = ", ".join(f"median({c}) AS {c}" for c in LINE_FEATURES)
 _FILL = ", ".join(f"coalesce(m.{c}, d.{c}) AS {c}" for c in LINE_FEATURES)
 _SCALE = ", ".join(f"round((f.{c} - s.{c}_m) / s.{c}_s, 4) + 0.0 AS {c}" for c in LINE_FEATURES)
@@ -136,14 +137,28 @@ def boolean_normalise(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "unseen_categories",
-    """WITH s AS (SELECT DISTINCT source FROM documents WHERE doc_id % 40 = 0)
-SELECT 'source' AS "column", count(*) FILTER (source NOT IN (SELECT source FROM s)) AS n_unseen, count(DISTINCT source) FILTER (source NOT IN (SELECT source FROM s)) AS n_values FROM documents WHERE source IS NOT NULL""",
+    f"""WITH o AS (SELECT *, {sql_uniform(SEED, 'split', 'o_orderkey')} < {SOURCE} AS source FROM orders), v AS (SELECT 'o_custkey' AS "column", o_custkey::VARCHAR AS v, source FROM o UNION ALL SELECT 'o_clerk_day', strftime(o_orderdate, '%Y-%m-%d'), source FROM o),
+s AS (SELECT DISTINCT "column", v FROM v WHERE source), t AS (SELECT v.*, s.v IS NULL AND v.v IS NOT NULL AS new FROM v LEFT JOIN s USING ("column", v) WHERE NOT source)
+SELECT "column", count(*) FILTER (new) AS n_unseen, count(DISTINCT v) FILTER (new) AS n_values FROM t GROUP BY 1""",
 )
 def unseen_categories(spark: SparkSession, sf: str) -> DataFrame:
-    """Sources of all documents that a small fitting part (a feature of the check: the vocabulary must be incomplete) did not have."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source")
-    p = statistics.fit_preprocessor(docs.where("doc_id % 40 = 0"), {"source": "categorical"}, min_frequency=0.0)
-    return p.unseen(docs)
+    """Customers and days of the target's orders that no order of the source has; both have vocabularies as tables."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_clerk_day"))
+    p = statistics.fit_preprocessor(side(orders, "source", "o_orderkey"), {"o_custkey": "categorical", "o_clerk_day": "categorical"}, min_frequency=0.0)
+    return p.unseen(side(orders, "target", "o_orderkey"))
+
+
+@query(
+    "sparse_one_hot",
+    f"""WITH o AS (SELECT o_orderkey, o_custkey::VARCHAR AS v, {sql_uniform(SEED, 'split', 'o_orderkey')} < {SOURCE} AS source FROM orders), n AS (SELECT v, count(*) AS k, sum(count(*)) OVER () AS t FROM o WHERE source GROUP BY 1),
+c AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM n WHERE k >= 0.0005 * t), m AS (SELECT count(*) AS m, (SELECT count(*) FROM n) > count(*) AS rare FROM c)
+SELECT o_orderkey, (m + rare::INTEGER)::INTEGER AS size, CASE WHEN code IS NOT NULL THEN code WHEN n.v IS NOT NULL THEN m END::INTEGER AS place FROM o LEFT JOIN c USING (v) LEFT JOIN n USING (v), m WHERE NOT source""",
+)
+def sparse_one_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """The one-hot place of each target order's customer in the source's vocabulary; rare ones share the last, unseen ones have none."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey")
+    p = statistics.fit_preprocessor(side(orders, "source", "o_orderkey"), {"o_custkey": "categorical"}, min_frequency=0.0005)
+    return p.sparse(side(orders, "target", "o_orderkey"), ["o_orderkey"]).select("o_orderkey", "size", F.get("indices", F.lit(0)).alias("place"))
 
 
 def _rank(purpose: str, rid: str = "row_id") -> str:
