@@ -27,7 +27,7 @@ from .common import Words, blocks, byte_values, frugal, small_batches, with_seq,
 #: Least counts of symbols, contexts and next-symbol entries, as multiples of the square root of the training tokens.
 SYMBOL, CONTEXT, ENTRY = 0.5, 0.2, 0.01
 #: Symbols of a context, at most: each length is a pass over the texts, and the divergence test mostly ends earlier.
-DEPTH = 12
+DEPTH = 6
 #: Weight of the shorter context's distribution, in tokens.
 PRIOR = 20.0
 #: The hash of the token that ends a text; also the context at its start.
