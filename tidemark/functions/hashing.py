@@ -68,9 +68,15 @@ def derived_seed_column(*parts: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)"), F.lit(2**31 - 1)).cast("long")
 
 
-def record_hash(*columns: Column, digits: int = 7) -> Column:
-    """SHA-256 of a record's fields, doubles rounded, nulls written as null."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("null")) for c in columns]), 256)
+def record_hash(*columns: Column) -> Column:
+    """SHA-256 of a record's fields, each written with its length, a null as a tilde: no two records are written alike."""
+    field = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("~"))
+    return F.sha2(F.concat_ws("|", *[field(c.cast("string")) for c in columns]), 256)
+
+
+def sql_record(*columns: str) -> str:
+    """The text that record_hash hashes."""
+    return "concat_ws('|', " + ", ".join(f"coalesce(length(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '~')" for c in columns) + ")"
 
 
 def config_hash(config: object) -> str:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import config_hash, record_hash
+from ..sources import store
 from ..sources.artifacts import ResultTable, table_hash
 from ..sources.shared import stored
 from . import boosting
@@ -498,11 +499,46 @@ def run_evaluation(joined: DataFrame, *, scopes: Sequence[tuple[str, str]] = tup
         return evaluate(joined, scope, kind, regressor=name, **options)[0]
 
     records = {k: stored(records_of(*k), "predictions") for k in runs}
+    return report(records, regressor), records
+
+
+def report(records: Mapping[tuple[str, str, str], DataFrame], regressor: str = BOOSTED) -> dict:
+    """Errors by block of each evaluation (scope, kind, regressor), paired deltas, bootstrap bounds and the verdict, all from the prediction records."""
     mae = {k: {r["feature_block"]: r["mae"] for r in regression_metrics(p, ["feature_block"]).collect()} for k, p in records.items()}
     pairs = [("P0", "P4"), ("P3", "P4")]
     by_set = paired_deltas(records["primary", "LODO", regressor], "dataset_id", pairs)
-    by_family = paired_deltas(records["primary", "LOSFO", regressor], "shift_family", pairs).collect()
-    lo = [paired_bootstrap(by_set, c, "dataset_id").first()["lo"] for c in ("delta_04", "delta_34")]
-    sets = by_set.collect()
-    v = verdict(mae["primary", "LODO", regressor], [r["delta_04"] for r in sets], [r["delta_04"] for r in by_family], [r["delta_34"] for r in by_family], *lo)
-    return {"mae": {"_".join(k): m for k, m in mae.items()}, **v}, records
+    families = paired_deltas(records["primary", "LOSFO", regressor], "shift_family", pairs).orderBy("shift_family").collect()
+    boot = {c: paired_bootstrap(by_set, c, "dataset_id").first() for c in ("delta_04", "delta_34")}
+    sets = by_set.orderBy("dataset_id").collect()
+    v = verdict(mae["primary", "LODO", regressor], [r["delta_04"] for r in sets], [r["delta_04"] for r in families], [r["delta_34"] for r in families], *(boot[c]["lo"] for c in boot))
+    deltas = {"dataset_id": {r["dataset_id"]: [r["delta_04"], r["delta_34"]] for r in sets}, "shift_family": {r["shift_family"]: [r["delta_04"], r["delta_34"]] for r in families}}
+    return {"mae": {"_".join(k): m for k, m in mae.items()}, "deltas": deltas, "bootstrap": {c: [r["lo"], r["hi"]] for c, r in boot.items()}, **v}
+
+
+def save_evaluation(records: Mapping[tuple[str, str, str], DataFrame], path: str, regressor: str = BOOSTED) -> dict:
+    """The prediction tables and the report that follows from them, chained by their hashes; the chain is stored with them."""
+    spark = next(iter(records.values())).sparkSession
+    names = {"_".join(k): k for k in records}
+    for name, k in names.items():
+        records[k].write.mode("overwrite").parquet(f"{path}/{name}.parquet")
+    kept = {k: spark.read.parquet(f"{path}/{name}.parquet") for name, k in names.items()}
+    chain = store.chained({name: store.leaves(spark, f"{path}/{name}.parquet") for name in names}, report(kept, regressor))
+    spark.createDataFrame([(json.dumps(chain, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/chain.json")
+    return chain
+
+
+def evaluation_problems(spark: SparkSession, path: str, regressor: str = BOOSTED, tolerance: float = 1e-9) -> list[str]:
+    """What speaks against a stored evaluation: files of prediction tables that changed, records whose hash is not
+    their own, and numbers of the report that do not follow from the predictions (by more than the tolerance)."""
+    chain = json.loads(spark.read.text(f"{path}/chain.json", wholetext=True).first()[0])
+    names = sorted(chain["leaves"])
+    out = store.changed(spark, chain, {name: f"{path}/{name}.parquet" for name in names})
+    if any("cannot be read" in p for p in out):
+        return out
+    records = {tuple(name.split("_", 2)): spark.read.parquet(f"{path}/{name}.parquet") for name in names}
+    for k, rows in records.items():
+        bad = rows.where(~F.col("record_sha256").eqNullSafe(prediction_hash(rows))).count()
+        if bad:
+            out.append(f"{'_'.join(k)}: {bad} records are not those of their hash")
+    now = json.loads(json.dumps(report(records, regressor)))
+    return out + [f"report{d}" for d in store.differences(chain["report"], now, tolerance)]

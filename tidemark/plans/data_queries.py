@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import derived_seed_column, record_hash, sql_draw, sql_uniform, uniform
+from ..functions.hashing import derived_seed_column, record_hash, sql_draw, sql_record, sql_uniform, uniform
 from ..operators import folds, shifts, signals, statistics
 from ..sources.ingest import LINE_FEATURES, LINE_SQL, embedding_points, isolate, line_rows, with_row_id
 from .registry import query
@@ -248,7 +248,7 @@ def reference_bank_lineitem(spark: SparkSession, sf: str) -> DataFrame:
     return signals.bank(side(line_rows(spark, sf), "source"), SEED, "reference-bank").select("row_id")
 
 
-_REC = "concat_ws('|', o_orderkey, o_custkey, coalesce(o_orderstatus, 'null'), round(o_totalprice * 100)::BIGINT)"
+_REC = sql_record("o_orderkey", "o_custkey", "o_orderstatus", "round(o_totalprice * 100)::BIGINT")
 
 
 @query("record_hash", f"SELECT o_orderkey, sha256({_REC}) AS record_sha256 FROM orders")
