@@ -226,7 +226,8 @@ def collocations(
         totals = written(totals, "words-of-languages")
         found = []
         for k in range(1, words + 1):
-            rows = every if k == 1 else counted(pieces, k, frequent_bits(found[-1], bits))
+            # a shard has each phrase once, so rows go to their place without being gathered by phrase in the sending task
+            rows = every if k == 1 else counted(pieces, k, frequent_bits(found[-1], bits)).repartition("lang", "phrase")
             merged = rows.groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
             with small_batches(docs.sparkSession, 1):  # a shard is a row
                 found.append(written(merged.where(F.col("a") >= least), f"phrases-{k}"))
