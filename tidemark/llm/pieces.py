@@ -10,6 +10,9 @@ inclusion scores. Texts are units (a word with the spaces before it), and long u
 of the vocabulary reaches across; so each unit has a lattice of its own, which a task keeps for the texts
 that follow, and all units of a block of texts are handled at once in arrays.
 
+A unit of more than LONG characters without a cut (rules, padding) has no arrays of its own lattice: sums over its paths are
+carried backwards from stretch to stretch, and stretches are solved again where paths are drawn.
+
 encode_texts gives the most probable segmentation of the same lattice, decode_ids the text of ids.
 """
 
@@ -17,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import count, islice
@@ -37,6 +40,8 @@ SPACE = "▁"
 UNIT = 24
 #: A piece's weight is exp(-SCALE * ln(rank + SHIFT)): Zipf's law over the vocabulary's order, sharpened.
 SCALE, SHIFT = 1.0, 10.0
+#: Texts with a unit of more characters that cannot be cut are solved in stretches of STRETCH characters.
+LONG, STRETCH = 1 << 13, 1 << 12
 #: Weights are multiplied by this for each byte of text, all paths of a unit alike, which keeps sums near one.
 GAIN = 8000.0
 BLOCK = 1 << 20
@@ -44,6 +49,8 @@ BLOCK = 1 << 20
 KEPT = 2 << 20
 #: Units whose lattices are built at once.
 TOGETHER = 4096
+#: Products that differ by a smaller share are equal.
+TIED = 1e-9
 _BASE = 0xC2B2AE3D27D4EB4F | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _U = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
@@ -108,11 +115,13 @@ class Vocabulary:
         """The unit cut wherever no piece reaches across: its segmentations are those of the parts, side by side."""
         chars = _code_points(unit)
         n = len(chars)
-        pos, _, begin = self.edges(chars, n - np.arange(n), np.zeros(n, bool))
-        k = np.repeat(np.arange(1, self.longest + 1), np.diff(begin))
         across = np.zeros(n + 1, np.int64)
-        np.add.at(across, pos + 1, 1)
-        np.add.at(across, pos + k, -1)
+        for a in range(0, n, LONG):  # pieces that begin in a stretch end at most `longest` behind it
+            some = chars[a : a + LONG + self.longest]
+            pos, _, begin = self.edges(some, len(some) - np.arange(len(some)), np.arange(len(some)) >= LONG)
+            k = np.repeat(np.arange(1, self.longest + 1), np.diff(begin))
+            np.add.at(across, a + pos + 1, 1)
+            np.add.at(across, a + pos + k, -1)
         cuts = np.flatnonzero(np.cumsum(across)[:n] == 0)
         return [unit[a:b] for a, b in zip(cuts, [*cuts[1:], n], strict=True)]
 
@@ -176,6 +185,168 @@ def units_of(vocabulary: Vocabulary, text: str, known: dict[str, list[str]]) ->
     return cut
 
 
+def is_long(units: list[str]) -> bool:
+    return max(map(len, units)) > LONG
+
+
+class LongText:
+    """The lattice of a whole text, solved in stretches: nothing is held for its positions but where it is worked on.
+
+    windows: for the end of each stretch the sums over paths from there and the next positions to the text's end, up to a
+    common factor; tops: the same for the largest product instead of the sum."""
+
+    def __init__(self, vocabulary: Vocabulary, units: list[str]):
+        self.v = vocabulary
+        literal = [u[0] == "\0" for u in units]
+        texts = [u[1:] if bare else u for u, bare in zip(units, literal, strict=True)]
+        length = np.array([len(t) for t in texts])
+        self.chars = _code_points("".join(texts))
+        self.n = len(self.chars)
+        self.stop = np.repeat(np.cumsum(length), length)
+        self.bare = np.repeat(np.array(literal), length)
+        self.starts = list(range(0, self.n, STRETCH))
+        reach = vocabulary.longest + 1
+        window = np.zeros(reach)
+        window[0] = 1.0
+        self.windows, self.tops = [window] * len(self.starts), [window] * len(self.starts)
+        self.held: tuple[int, tuple] | None = None
+        for j in range(len(self.starts) - 1, 0, -1):
+            _, _, _, _, _, self.windows[j - 1] = self._solved(j)
+
+    def _edges(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """at (first edge of each position from a to b), size, ids, weights, shorter pieces first."""
+        end = min(self.n, b + self.v.longest)
+        place = np.arange(a, end)
+        pos, entry, begin = self.v.edges(self.chars[a:end], np.minimum(self.stop[a:end], end) - place, self.bare[a:end] | (place >= b))
+        size = np.repeat(np.arange(1, self.v.longest + 1), np.diff(begin))
+        ids, weight = self.v.ids[entry].astype(np.int64), self.v.weights[entry]
+        char = self.chars[a:b]
+        alone = np.ones(b - a, bool)
+        alone[pos[size == 1]] = False
+        rest = np.flatnonzero(alone)  # a character without a piece is its bytes
+        width = 1 + (char[rest] > 0x7F) + (char[rest] > 0x7FF) + (char[rest] > 0xFFFF)
+        pos, size = np.concatenate((pos, rest)), np.concatenate((size, np.ones(len(rest), np.int64)))
+        ids = np.concatenate((ids, np.where(char[rest] < 0x80, self.v.byte_ids[np.minimum(char[rest], 0x7F)], -1)))
+        weight = np.concatenate((weight, ((len(self.v.width) + SHIFT) ** -SCALE * GAIN) ** width))
+        order = np.lexsort((size, pos))
+        return np.searchsorted(pos[order], np.arange(b - a + 1)), size[order], ids[order], weight[order]
+
+    def _solved(self, j: int, best: bool = False) -> tuple:
+        """at, size, ids and chances of the edges of stretch j, the first's place in its own position's edges of the best path
+        (with best), and the window at its beginning."""
+        a, b = self.starts[j], min(self.n, self.starts[j] + STRETCH)
+        at, size, ids, weight = self._edges(a, b)
+        reach = self.v.longest + 1
+        sums = np.zeros(b - a + reach)
+        sums[b - a :] = (self.tops if best else self.windows)[j][: len(sums) - (b - a)]
+        chance, choice = np.empty(len(size)), np.zeros(b - a, np.int64)
+        for i in range(b - a - 1, -1, -1):
+            s, e = at[i], at[i + 1]
+            part = weight[s:e] * sums[i + size[s:e]]
+            if best:
+                total = part.max()
+                choice[i] = s + (part >= total * (1 - TIED)).argmax()
+            else:
+                total = part.sum()
+                chance[s:e] = part / total
+            sums[i] = total
+            if not 1e-60 < total < 1e60:
+                sums[i : i + reach] /= total
+        return at, size, ids, chance, choice, sums[:reach] / sums[0]
+
+    def stretch(self, position: int) -> tuple[int, tuple]:
+        """The number of a position's stretch, and the stretch solved (the last one is kept)."""
+        j = position // STRETCH
+        if self.held is None or self.held[0] != j:
+            self.held = j, self._solved(j)
+        return self.held
+
+    def drawn(self, position: int, key: np.uint64) -> tuple[np.ndarray, ...]:
+        """A path from a position to the end: positions, sizes, ids, log-probabilities and logarithms of what each piece leaves."""
+        rows: list[tuple] = []
+        while position < self.n:
+            j, (at, size, ids, chance, _, _) = self.stretch(position)
+            a, b = self.starts[j], min(self.n, self.starts[j] + STRETCH)
+            u = _uniform(key + np.arange(position, b).astype(np.uint64) * _STEP)
+            first, mine = position, []
+            while position < b:
+                s, e = at[position - a], at[position - a + 1]
+                k = s + min(int(np.searchsorted(chance[s:e].cumsum(), u[position - first], "right")), e - s - 1)
+                mine.append(k)
+                position += int(size[k])
+            edge = np.array(mine)
+            where = np.searchsorted(at, edge, "right") - 1
+            p, alone = chance[edge], at[where + 1] - at[where] == 1
+            with np.errstate(divide="ignore"):
+                rows.append((a + where, size[edge], ids[edge], np.log(p), np.where(alone, -np.inf, np.log1p(-np.minimum(p, 1.0)))))
+        return tuple(np.concatenate(x) for x in zip(*rows, strict=True)) if rows else tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, float, float))
+
+    def samples(self, key: np.uint64, k: int) -> list[tuple[np.ndarray, float, float]]:
+        """As sample_block, for this text."""
+        paths: list[dict[str, np.ndarray]] = []
+        used: dict[tuple[int, int], set[int]] = {}
+
+        def add(head: dict[str, np.ndarray] | None, begin: int, base: float, value: float, r: int) -> None:
+            pos, size, ids, log_p, rest = self.drawn(begin, mix64(np.array([key + np.uint64(r)]))[0])
+            before = base + np.concatenate(([0.0], np.cumsum(log_p)))
+            u = _uniform((key ^ np.uint64(r * 977 + 13)) + pos.astype(np.uint64) * _STEP)
+            tail = {"pos": pos, "size": size, "ids": ids, "before": before[:-1], "bound": truncated(before[:-1] + rest, value, u)}
+            path = tail if head is None else {c: np.concatenate((head[c], tail[c])) for c in tail}
+            paths.append(path | {"log_p": before[-1]})
+
+        root = float(-np.log(-np.log(_uniform(np.array([key ^ np.uint64(0x51ED270B)]))))[0])
+        add(None, 0, 0.0, root, 0)
+        for r in range(1, k):
+            tops = [p["bound"].max(initial=-np.inf) for p in paths]
+            best = int(np.argmax(tops))
+            if not np.isfinite(top := tops[best]):
+                break
+            path = paths[best]
+            t = int(path["bound"].argmax())
+            here = int(path["pos"][t])
+            j, (at, size, ids, chance, _, _) = self.stretch(here)
+            s, e = at[here - self.starts[j]], at[here - self.starts[j] + 1]
+            taken = used.setdefault((best, t), {int(path["size"][t])})
+            p = np.where(np.isin(size[s:e], list(taken)), 0.0, chance[s:e])
+            upto = p.cumsum()
+            draw_key = key ^ np.uint64((r << 40) + 0x2545F491)
+            i = min(int(np.searchsorted(upto, _uniform(np.array([draw_key]))[0] * upto[-1], "right")), len(p) - 1)
+            i = i if p[i] > 0 else int(p.argmax())
+            taken.add(int(size[s + i]))
+            left = p.sum() - p[i]
+            base = float(path["before"][t])
+            again = _uniform(np.array([draw_key + np.uint64(7)]))
+            path["bound"][t] = truncated(np.array([base + np.log(left)]) if left > 1e-12 else np.array([-np.inf]), top, again)[0]
+            head = {c: path[c][:t] for c in ("pos", "size", "ids", "before")} | {"bound": np.full(t, -np.inf)}
+            step = {"pos": [here], "size": [size[s + i]], "ids": [ids[s + i]], "before": [base], "bound": [-np.inf]}
+            head = {c: np.append(head[c], step[c]) for c in step}
+            add(head, here + int(size[s + i]), base + float(np.log(chance[s + i])), float(top), r)
+        limit = max(p["bound"].max(initial=-np.inf) for p in paths)
+        score = lambda x: 1.0 if not np.isfinite(limit) else float(-np.expm1(-np.exp(min(x - limit, 700.0))))
+        return [(self._whole(p["pos"], p["ids"]), float(p["log_p"]), score(p["log_p"])) for p in paths]
+
+    def best(self) -> np.ndarray:
+        """The ids of the most probable segmentation."""
+        for j in range(len(self.starts) - 1, 0, -1):
+            *_, self.tops[j - 1] = self._solved(j, True)
+        pos, found, position = [], [], 0
+        for j, a in enumerate(self.starts):
+            if position >= self.n:
+                break
+            b = min(self.n, a + STRETCH)
+            if position < b:
+                _, size, ids, _, choice, _ = self._solved(j, True)
+            while position < b:
+                k = choice[position - a]
+                pos.append(position)
+                found.append(ids[k])
+                position += int(size[k])
+        return self._whole(np.array(pos), np.array(found))
+
+    def _whole(self, pos: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return _with_bytes(self.v, ids, lambda b: self.chars[pos[b]])
+
+
 class Lattices:
     """The lattices of the units seen so far, one row for each position of each unit and one for each edge.
 
@@ -198,12 +369,20 @@ class Lattices:
         self.ids, self.size = np.empty(0, np.int32), np.empty(0, np.uint8)
         self.log_p, self.rest, self.upto = (np.empty(0, np.float32) for _ in range(3))
 
-    def sequences(self, texts: list[str]) -> list[np.ndarray]:
-        """The unit numbers of each text, after lattices of new units are added."""
+    def refresh(self) -> None:
+        """Start afresh if more positions are held than may be."""
         if len(self.chars) > self.kept:
             self.clear()
+
+    def sequences(self, texts: list[str]) -> list[np.ndarray]:
+        """The unit numbers of each text, after lattices of new units are added."""
+        self.refresh()
+        return self.numbers([units_of(self.vocabulary, t, self.parts) for t in texts])
+
+    def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """sequences of texts given in units, none of them long."""
         number, before = self.index.__getitem__, len(self.index)
-        out = [np.fromiter(map(number, u), np.int64, len(u)) for u in (units_of(self.vocabulary, t, self.parts) for t in texts)]
+        out = [np.fromiter(map(number, u), np.int64, len(u)) for u in texts]
         if len(self.index) > before:
             new = [*islice(self.index, before, None)]
             self._add([self._built(new[k : k + TOGETHER]) for k in range(0, len(new), TOGETHER)])
@@ -261,7 +440,7 @@ class Lattices:
                 ahead = slice(layer[d - k - 1], layer[d - k - 1] + wide[d]) if k < d else None
                 if self.search:
                     part = weight[k, at] * (best[ahead] if ahead else 1.0)
-                    choice[at][part > most] = k
+                    choice[at][part > most * (1 + TIED)] = k
                     most = np.maximum(most, part)
                 if ahead:
                     weight[k, at] *= total[ahead]
@@ -343,8 +522,20 @@ class Path:
 
 def sample_block(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text its samples, best perturbed first: (piece ids, log-probability, inclusion score)."""
-    sequences = lattices.sequences(texts)
-    n = len(texts)
+    lattices.refresh()
+    units = [units_of(lattices.vocabulary, t, lattices.parts) for t in texts]
+    long = [i for i, u in enumerate(units) if is_long(u)]
+    if long:
+        rest = [i for i in range(len(texts)) if i not in set(long)]
+        lattices.parts.clear()
+        out = dict(zip(rest, _sample_units(lattices, [units[i] for i in rest], keys[rest], k), strict=True)) if rest else {}
+        return [out[i] if i in out else LongText(lattices.vocabulary, units[i]).samples(keys[i], k) for i in range(len(texts))]
+    return _sample_units(lattices, units, keys, k)
+
+
+def _sample_units(lattices: Lattices, units: list[list[str]], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
+    sequences = lattices.numbers(units)
+    n = len(units)
     # round 0: a path through every unit of every text
     size = np.array([len(s) for s in sequences])
     flat = np.concatenate(sequences) if n else np.empty(0, np.int64)
@@ -428,21 +619,27 @@ def _extend(lattices, paths, who, heads, doc, place, start, end, keys, r, values
 
 
 def _ids(lattices: Lattices, at: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    ids = lattices.ids[edge]
+    return _with_bytes(lattices.vocabulary, lattices.ids[edge], lambda b: lattices.chars[at[b]])
+
+
+def _with_bytes(vocabulary: Vocabulary, ids: np.ndarray, char: Callable[[int], int]) -> np.ndarray:
+    """ids with the byte ids of the characters (by place) where they are -1."""
     bare = np.flatnonzero(ids == -1)
     if not len(bare):
         return ids
     parts, done = [], 0
     for b in bare:
-        raw = chr(lattices.chars[at[b]]).encode("utf-8", "surrogatepass")
-        parts += [ids[done:b], lattices.vocabulary.byte_ids[np.frombuffer(raw, np.uint8)]]
+        raw = chr(char(b)).encode("utf-8", "surrogatepass")
+        parts += [ids[done:b], vocabulary.byte_ids[np.frombuffer(raw, np.uint8)]]
         done = b + 1
     return np.concatenate([*parts, ids[done:]])
 
 
 def best_block(lattices: Lattices, texts: list[str]) -> list[np.ndarray]:
     """The ids of each text's most probable segmentation (of equal ones the one with the shorter first piece)."""
-    sequences = lattices.sequences(texts)
+    lattices.refresh()
+    units = [units_of(lattices.vocabulary, t, lattices.parts) for t in texts]
+    sequences = lattices.numbers([[] if is_long(u) else u for u in units])
     held: dict[int, np.ndarray] = {}
 
     def of_unit(u: int) -> np.ndarray:
@@ -453,7 +650,10 @@ def best_block(lattices: Lattices, texts: list[str]) -> list[np.ndarray]:
         return _ids(lattices, *np.array(path).T)
 
     out = []
-    for s in sequences:
+    for s, own in zip(sequences, units, strict=True):
+        if is_long(own):
+            out.append(LongText(lattices.vocabulary, own).best())
+            continue
         for u in np.unique(s).tolist():
             if u not in held:
                 held[u] = of_unit(u)
