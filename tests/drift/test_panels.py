@@ -88,3 +88,25 @@ def test_models_of_a_fold_share_passes(points):
     assert passes == max(setting.models[g].passes for g in grid) and setting.fit(grid) == 0
     one = clustering.fit("gmm", setting.shifted("location_severe"), 3, 2)
     assert np.allclose(setting.model("gmm", 2, "location_severe").centers, one.centers, atol=1e-9)
+
+
+def test_nested_banks(spark, points):
+    from tidemark.functions.hashing import draw
+
+    rows = points.withColumn("x", F.col("x")).repartition(7)
+    got = signals.nested_banks(rows, 5, "sizes", 40, "dataset").collect()
+    want = {}
+    for r in rows.select("dataset", "row_id", draw(5, "sizes", "row_id").alias("d")).collect():
+        want.setdefault(r["dataset"], []).append((r["d"], r["row_id"]))
+    for name, each in want.items():
+        mine = sorted((r["place"], r["row_id"]) for r in got if r["key"] == name)
+        assert mine == [(k, i) for k, (_, i) in enumerate(sorted(each)[:40])]
+    assert signals.nested_banks(rows.where("false"), 5, "sizes", 40).count() == 0
+
+
+def test_bank_sizes(spark, points):
+    rows = points.where("dataset = 'a'").select("row_id", "x")
+    moved = rows.withColumn("x", F.transform("x", lambda v: v + 0.5))
+    got = {r["bank"]: r for r in panels.bank_sizes(rows, moved, 3, sizes=(50, 100, 240, 400), usual=240).collect()}
+    assert [got[s]["rows"] for s in (50, 100, 240, 400)] == [50, 100, 240, 240] and all(r["same_permutation"] for r in got.values())
+    assert got[240]["cost_change"] == 0 and got[400]["cost"] == pytest.approx(got[240]["cost"]) and got[50]["cost_change"] > 0

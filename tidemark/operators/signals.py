@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,37 @@ def bank(rows: DataFrame, seed: int, purpose: str, size: int = BANK, row_id: str
     return rows.withColumn("__draw", draw(seed, purpose, row_id)).orderBy("__draw", row_id).limit(size).drop("__draw")
 
 
+def nested_banks(rows: DataFrame, seed: int, purpose: str, most: int, key: str | None = None, row_id: str = "row_id", x: str = "x") -> DataFrame:
+    """key, row_id, x, place: of each key the `most` rows with the smallest draws, place from 0 in their order.
+
+    The bank of any smaller size is the rows with a place under it, so one pass gives all sizes, each inside the next. Tasks
+    keep a sketch of the smallest draws of each key; sketches are merged by key and part, then by key. Equal draws are in
+    the order of row ids.
+    """
+    at = [(F.col(key) if key else F.lit("")).cast("string").alias("key"), draw(seed, purpose, row_id).alias("draw"), F.col(row_id).alias("row_id"), F.col(x).alias("x")]
+
+    def kept(last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[str, pa.Table] = {}
+            for batch in batches:
+                for k in batch.column(0).unique():
+                    some = pa.Table.from_batches([batch.filter(pc.equal(batch.column(0), k))])
+                    every = pa.concat_tables([held[k.as_py()], some]) if k.as_py() in held else some
+                    held[k.as_py()] = every.take(pc.sort_indices(every.select(["draw", "row_id"]), [("draw", "ascending"), ("row_id", "ascending")])[:most])
+            for t in held.values():
+                if last:
+                    t = t.append_column("place", pa.array(np.arange(t.num_rows, dtype=np.int32)))
+                yield from t.combine_chunks().to_batches()
+
+        return run
+
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    schema = f"key string, draw long, row_id {kinds[row_id].simpleString()}, x {kinds[x].simpleString()}"
+    parts = rows.select(*at).mapInArrow(kept(False), schema)
+    parts = parts.withColumn("part", F.pmod(F.xxhash64("draw"), F.lit(16))).repartition("key", "part").drop("part").mapInArrow(kept(False), schema)
+    return parts.repartition("key").mapInArrow(kept(True), schema + ", place int").select("key", "row_id", "x", "place")
+
+
 def bank_hash(rows: DataFrame, row_id: str = "row_id") -> str:
     """SHA-256 of the sorted ids of a bank (a bank is at most BANK rows)."""
     return rows.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(row_id)), lambda v: v.cast("string")), ","), 256)).first()[0]
