@@ -4,6 +4,7 @@ sensitivity to the weight of the two costs, and verification of signal and predi
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.vectors import fuzzifier
 from ..operators import alignment, clustering, nested, signals
 from ..operators import evaluation as ev
+from ..operators.passes import together
 from ..operators.sums import summed
+from ..sources.shared import stored
 from .data_queries import rounded
 from .evaluation_queries import _PRED, _UNIVERSE, CONDITIONS, TABLES, predictions, signal_table
 from .model_queries import BASE, M, memberships, moved, parts, second_model
@@ -20,8 +23,6 @@ from .registry import query
 
 GRID = (1.1, 1.5, 2.0)
 ETAS = (0.0, 0.25, 0.5, 0.75, 1.0)
-#: Steps of a fit in the queries below; the functions go on to convergence by default.
-STEPS = 20
 
 
 def grand_objective(points: DataFrame, k: int, m: float, x: str = "x") -> float:
@@ -31,11 +32,14 @@ def grand_objective(points: DataFrame, k: int, m: float, x: str = "x") -> float:
     return float(k * (1 / k) ** m * spread)
 
 
-def landscape(points: DataFrame, k: int, seed: int, grid: Sequence[float] = GRID, max_iterations: int = clustering.MAX_ITERATIONS, start: np.ndarray | None = None) -> list[dict]:
-    """For each fuzzifier the objective at the start, at the end and at the grand mean, and whether the end is degenerate."""
+def landscape(points: DataFrame, k: int, seed: int, grid: Sequence[float] = GRID, start: np.ndarray | None = None) -> list[dict]:
+    """For each fuzzifier the objective at the start, at the end and at the grand mean, and whether the end is degenerate.
+
+    All fits go on until they rest, in the same passes."""
+    fits, _ = together(points, {m: (0, clustering.fcm(k, seed, m, start)) for m in grid})
     out = []
     for m in grid:
-        model = clustering.fit_fcm(points, k, seed, m, start, max_iterations)
+        model = fits[m].model
         grand = grand_objective(points, k, m)
         found = clustering.degeneracy(points, model)
         out.append(
@@ -53,19 +57,21 @@ def grand_centroid_objective(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fuzzifier_landscape")
 def fuzzifier_landscape(spark: SparkSession, sf: str) -> DataFrame:
-    """Fits from class means, of twenty steps at most, for each fuzzifier of the grid."""
+    """Fits from class means for each fuzzifier of the grid."""
     source, _, v = parts(spark, sf)
-    rows = landscape(source, len(v), 1, max_iterations=STEPS, start=v)
+    rows = landscape(stored(source, "source"), len(v), 1, start=v)
     return rounded(spark.createDataFrame([tuple(r.values()) for r in rows], "m double, first double, last double, grand double, grand_is_lower boolean, is_grand boolean, degenerate boolean, distinct int, fpc_gap double"))
 
 
 @query("fuzzifier_policies")
 def fuzzifier_policies(spark: SparkSession, sf: str) -> DataFrame:
-    """The fixed fuzzifier 2 against the one of the dimension, from seeded centers, twenty steps at most."""
+    """The fixed fuzzifier 2 against the one of the dimension, from seeded centers."""
     source, _, v = parts(spark, sf)
-    out = []
-    for policy, m in (("fixed", 2.0), ("dimension", fuzzifier(v.shape[1]))):
-        model = clustering.fit_fcm(source, len(v), 1, m, max_iterations=STEPS)
+    source, out = stored(source, "source"), []
+    policies = (("fixed", 2.0), ("dimension", fuzzifier(v.shape[1])))
+    fits, _ = together(source, {policy: (0, clustering.fcm(len(v), 1, m)) for policy, m in policies})
+    for policy, m in policies:
+        model = fits[policy].model
         d = clustering.degeneracy(source, model)
         out.append((policy, float(m), model.status, float(d["fpc_gap"]), float(d["mean_max"]), int(d["distinct"]), bool(d["degenerate"])))
     return rounded(spark.createDataFrame(out, "policy string, m double, status string, fpc_gap double, mean_max double, distinct int, degenerate boolean"))
@@ -99,20 +105,27 @@ def eta_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("alignment_panel")
 def alignment_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Fits of a shifted target (twenty steps at most), of two methods and seeds, aligned with the source's fit: cost, margin, overlap, status."""
+    """Fits of a target and of a shifted one, by five methods and three seeds, aligned with the source's fit: cost, margin, overlap, status."""
     source, target, v = parts(spark, sf)
     out = []
-    bank = signals.bank(source, 1, "reference-bank")
-    for method in ("fcm", "gmm"):
-        ref = clustering.fit(method, source, len(v), 1, max_iterations=STEPS)
-        for condition, rows in (("clean", target), ("location", moved(target))):
-            cand = clustering.fit(method, rows, len(v), 3, max_iterations=STEPS)
+    bank = stored(signals.bank(source, 1, "reference-bank"), "bank")
+    tables = {"source": source, "clean": target, "location": moved(target)}
+    points = stored(reduce(DataFrame.unionByName, [t.select("row_id", "x", F.lit(name).alias("of")) for name, t in tables.items()]), "panel")
+    methods, seeds = ("fcm", "fcm2", "pfcm", "gmm", "gk"), (3, 4, 5)
+    runs = {("source", m, 1): ("source", m, len(v), 1) for m in methods} | {(c, m, s): (c, m, len(v), s) for c in ("clean", "location") for m in methods for s in seeds}
+    fits, _ = clustering.fit_many(points, runs, "of")
+    for (condition, method, seed), found in fits.items():
+        if condition != "source":
+            ref, cand = fits["source", method, 1].model, found.model
+            if ref is None or cand is None:
+                out.append((method, condition, seed, None, None, None, None, fits["source", method, 1].error, found.error))
+                continue
             both = cand.memberships(ref.memberships(bank, out="u_ref"), out="u_cand")
             scales, _, _ = alignment.reference_scales(ref.memberships(bank), ref.centers)
             overlap = alignment.soft_jaccard(both)
             a = alignment.align(alignment.combined_costs(alignment.center_costs(ref.centers, cand.centers, scales), overlap))
-            out.append((method, condition, float(a.cost), float(a.margin), float(np.mean([overlap[i, j] for i, j in enumerate(a.permutation)])), bool(a.ambiguous), ref.status, cand.status))
-    return rounded(spark.createDataFrame(out, "method string, condition string, cost double, margin double, overlap double, ambiguous boolean, source_status string, candidate_status string"))
+            out.append((method, condition, seed, float(a.cost), float(a.margin), float(np.mean([overlap[i, j] for i, j in enumerate(a.permutation)])), bool(a.ambiguous), ref.status, cand.status))
+    return rounded(spark.createDataFrame(out, "method string, condition string, seed int, cost double, margin double, overlap double, ambiguous boolean, source_status string, candidate_status string"))
 
 
 def signal_problems(rows: DataFrame, universe: DataFrame, bounds: dict[str, tuple[float | None, float | None]], constant: dict[str, list[str]]) -> DataFrame:

@@ -128,17 +128,17 @@ def kmeans_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("gmm_fit")
 def gmm_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return _fit_rows(spark, sf, "gmm", max_iterations=10)
+    return _fit_rows(spark, sf, "gmm")
 
 
 @query("pfcm_fit")
 def pfcm_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return _fit_rows(spark, sf, "pfcm", max_iterations=10)
+    return _fit_rows(spark, sf, "pfcm")
 
 
 @query("gk_fit")
 def gk_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return _fit_rows(spark, sf, "gk", max_iterations=5)
+    return _fit_rows(spark, sf, "gk")
 
 
 @query(
@@ -216,28 +216,20 @@ def alignment_cost(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spark.createDataFrame([(i, j, float(c[i, j])) for i in range(len(v)) for j in range(len(v))], "i int, j int, cost double"))
 
 
+_STEPS = ", ".join(
+    f"s{i + 1} AS (SELECT mask | (1 << j) AS mask, min({{'cost': b.cost + c.cost, 'places': list_append(b.places, j)}}) AS b FROM s{i}, cost c WHERE c.i = {i} AND (mask & (1 << j)) = 0 GROUP BY 1)" for i in range(10)
+)
+
+
 @query(
     "alignment_assignment",
-    f"""WITH {BASE}, {BOTH_SRC}, {_JACCARD}, {_SCALES}, {_COST}, four AS (SELECT * FROM cost WHERE i < 4 AND j < 4)
-SELECT a.j::INTEGER AS j0, b.j::INTEGER AS j1, c.j::INTEGER AS j2, d.j::INTEGER AS j3, round(a.cost + b.cost + c.cost + d.cost, 6) AS cost
-FROM four a, four b, four c, four d WHERE a.i = 0 AND b.i = 1 AND c.i = 2 AND d.i = 3 AND len(list_distinct([a.j, b.j, c.j, d.j])) = 4 ORDER BY a.cost + b.cost + c.cost + d.cost LIMIT 1""",
+    f"""WITH {BASE}, {BOTH_SRC}, {_JACCARD}, {_SCALES}, {_COST}, s0 AS (SELECT 0::BIGINT AS mask, {{'cost': 0.0::DOUBLE, 'places': []::BIGINT[]}} AS b), {_STEPS} SELECT array_to_string(b.places, ',') AS permutation, round(b.cost, 6) AS cost FROM s10""",
 )
 def alignment_assignment(spark: SparkSession, sf: str) -> DataFrame:
-    """The best assignment of the first four clusters, which SQL finds by trying all."""
-    source, _, v = parts(spark, sf)
-    a = alignment.align(alignment_costs(source, v)[:4, :4])
-    return rounded(spark.createDataFrame([(*a.permutation, a.cost)], "j0 int, j1 int, j2 int, j3 int, cost double"))
-
-
-_STEPS = ", ".join(f"s{i + 1} AS (SELECT mask | (1 << j) AS mask, min(s.cost + c.cost) AS cost FROM s{i} s, cost c WHERE c.i = {i} AND (mask & (1 << j)) = 0 GROUP BY 1)" for i in range(10))
-
-
-@query("alignment_whole_cost", f"""WITH {BASE}, {BOTH_SRC}, {_JACCARD}, {_SCALES}, {_COST}, s0 AS (SELECT 0::BIGINT AS mask, 0.0::DOUBLE AS cost), {_STEPS} SELECT 10::INTEGER AS clusters, round(cost, 6) AS cost FROM s10""")
-def alignment_whole_cost(spark: SparkSession, sf: str) -> DataFrame:
-    """The cost of the best assignment of all ten clusters, which SQL finds over the sets of clusters taken."""
+    """The best assignment of all ten clusters, which SQL finds over the sets of clusters taken."""
     source, _, v = parts(spark, sf)
     a = alignment.align(alignment_costs(source, v))
-    return rounded(spark.createDataFrame([(len(a.permutation), a.cost)], "clusters int, cost double"))
+    return rounded(spark.createDataFrame([(",".join(map(str, a.permutation)), a.cost)], "permutation string, cost double"))
 
 
 _JS = """js AS (SELECT row_id, least(greatest(sum(CASE WHEN a.u > 0 THEN a.u * ln(a.u / ((a.u + b.u) / 2)) ELSE 0 END + CASE WHEN b.u > 0 THEN b.u * ln(b.u / ((a.u + b.u) / 2)) ELSE 0 END) / (2 * ln(2)), 0), 1) AS js
