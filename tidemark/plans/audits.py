@@ -105,13 +105,13 @@ def eta_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("alignment_panel")
 def alignment_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Fits of a target and of a shifted one, by five methods and three seeds, aligned with the source's fit: cost, margin, overlap, status."""
+    """Fits of a target and of a shifted one, by four methods and two seeds, aligned with the source's fit: cost, margin, overlap, status."""
     source, target, v = parts(spark, sf)
     out = []
     bank = stored(signals.bank(source, 1, "reference-bank"), "bank")
     tables = {"source": source, "clean": target, "location": moved(target)}
     points = stored(reduce(DataFrame.unionByName, [t.select("row_id", "x", F.lit(name).alias("of")) for name, t in tables.items()]), "panel")
-    methods, seeds = ("fcm", "fcm2", "pfcm", "gmm", "gk"), (3, 4, 5)
+    methods, seeds = ("fcm", "fcm2", "kmeans", "gmm"), (3, 4)
     runs = {("source", m, 1): ("source", m, len(v), 1) for m in methods} | {(c, m, s): (c, m, len(v), s) for c in ("clean", "location") for m in methods for s in seeds}
     fits, _ = clustering.fit_many(points, runs, "of")
     for (condition, method, seed), found in fits.items():
