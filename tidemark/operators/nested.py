@@ -122,9 +122,11 @@ def medians_of(rows: DataFrame, names: Sequence[str], train: np.ndarray) -> np.n
 
     rows: __cell and names. Values are counted by bucket and cell, from which each fit's middle ranks are located; only the
     distinct values of buckets with a median are read. The bounds of the buckets come from a sketch and need not be exact.
+    The values are written once: means that are summed anew in another order would change buckets between the passes.
     """
     names = list(names)
     narrow = rows.select("__cell", *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in names])
+    narrow = stored(narrow, "medians")
     steps = [k / BUCKETS for k in range(BUCKETS + 1)]
     sketch = narrow.agg(*[F.percentile_approx(c, steps, 20 * BUCKETS).alias(f"e{k}") for k, c in enumerate(names)]).first()
     edges = [np.unique(np.array(sketch[k] if sketch[k] is not None else [0.0])) for k in range(len(names))]
