@@ -48,3 +48,36 @@ def test_medians_of_rows_that_waver(spark):
     for _ in range(5):
         got = nested.medians_of(rows, ["x"], train)[:, 0]
         assert np.allclose(got, [1.5 * 199 - 0.5, 1.5 * 200 + 1, 1.5 * 199.5 + 1], atol=1.6)
+
+
+def test_monotonicities_are_those_of_joins(spark):
+    from tidemark.operators import shifts
+
+    rows = spark.createDataFrame([(i, float(i % 50), None if i % 9 == 0 else i / 7) for i in range(300)], "row_id long, x double, y double")
+    stats = {"x": (24.5, 14.4, 24.5), "y": (21.0, 12.0, 21.0)}
+    got = {r["family"]: tuple(r) for r in shifts.monotonicities(rows, stats, ["x", "y"], 5, ["noise", "outliers", "mcar"]).collect()}
+    for f in ("noise", "outliers", "mcar"):
+        one, two = (shifts.shifted(f"{f}_{s}", rows, stats, ["x", "y"], 5) for s in shifts.SEVERITIES)
+        want = tuple(shifts.monotonicity(rows, one, two, ["x", "y"], f).first())
+        assert got[f][0] == want[0] and got[f][3] == want[3] and np.allclose(got[f][1:3], want[1:3])
+
+
+def test_points_in_blocks(spark, tmp_path):
+    from tidemark.operators.passes import packed
+
+    rows = spark.range(0, 20_000, 1, 1).select(F.concat(F.lit("k"), F.col("id") % 2).alias("key"), "id", F.array(F.col("id") * 1.0, F.col("id") * 2.0).alias("x"))
+    found = packed(rows).collect()
+    assert {r["n"] for r in found} <= {8192, 1808} and sorted(i for r in found for i in r["id"]) == list(range(20_000))
+    for r in found:
+        x = np.frombuffer(r["x"], np.float64).reshape(r["n"], 2)
+        assert (x[:, 0] == r["id"]).all() and (x[:, 1] == 2 * x[:, 0]).all() and {f"k{i % 2}" for i in r["id"]} == {r["key"]}
+
+
+def test_a_row_on_both_sides(spark, tmp_path):
+    from tidemark.sources import descriptors as d
+
+    what = {"dataset_id": "a", "strategy": "kfold", "seed": 1, "bundle_sha256": "b", "protocol_sha256": "p"}
+    sound = spark.createDataFrame([(0, "source", 1), (63, "target", 1), (1, "target", 2)], "fold int, side string, row_id long")
+    assert d.save_split(sound, str(tmp_path / "sound"), **what)["rows"] == 3
+    with pytest.raises(ValueError, match="both sides"):
+        d.save_split(sound.union(spark.createDataFrame([(1, "source", 2)], sound.schema)), str(tmp_path / "bad"), **what)
