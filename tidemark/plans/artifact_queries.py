@@ -25,7 +25,9 @@ def _place(spark: SparkSession, name: str) -> str:
 @query("split_artifact", f"WITH l AS ({LINE_SQL}), n AS (SELECT count(*) AS n FROM l), f AS (SELECT unnest(range(5))::INTEGER AS fold) SELECT fold, 'target' AS side, (n + 4 - fold) // 5 AS rows, 0::INTEGER AS problems FROM n, f UNION ALL SELECT fold, 'source', n - (n + 4 - fold) // 5, 0 FROM n, f")
 def split_artifact(spark: SparkSession, sf: str) -> DataFrame:
     """A five-fold split of the line items, stored, verified and read back."""
-    rows = stored(line_rows(spark, sf).select("row_id"), "ids").withColumn("row_id", F.concat_ws("-", "row_id", F.monotonically_increasing_id()))
+    # ids of lines repeat: the split is of their numbers, which the written table binds to them
+    lines = stored(line_rows(spark, sf).select("row_id", F.monotonically_increasing_id().alias("number")), "ids")
+    rows = lines.select(F.col("number").alias("row_id"))
     what = {"dataset_id": "lineitem", "strategy": "kfold", "seed": folds.SEED, "bundle_sha256": HASHES["bundle_sha256"], "protocol_sha256": HASHES["protocol_sha256"]}
     path = _place(spark, "split")
     d.save_split(folds.kfold(rows), path, **what)
@@ -41,12 +43,12 @@ _MCAR = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round_even(count({c}) *
 def shift_artifact(spark: SparkSession, sf: str) -> DataFrame:
     """The cells that a mild loss of values takes, stored with what they were made from, verified, and replayed."""
     rows = stored(line_rows(spark, sf).dropDuplicates(["row_id"]).select("row_id", *LINE_FEATURES), "lines")
-    after = shifts.mcar_shift(rows, LINE_FEATURES, "mild", 7)
+    drawn, new = shifts.severities("mcar", rows, {}, LINE_FEATURES, 7)
     root, what = _place(spark, "shift"), WHERE | HASHES | {"condition": "mcar_mild"}
-    made = d.save_shift(shifts.differing_cells(rows, after, LINE_FEATURES), root, **what)
+    made = d.save_shift(shifts.changed_cells(drawn, new["mild"]), root, **what)
     bad = d.shift_problems(spark, root, **what)
     path = _place(spark, "replay")
-    d.save_replay(rows, after, LINE_FEATURES, path, made)
+    d.save_replay(drawn, new["mild"], LINE_FEATURES, path, made)
     cells, _ = d.load(spark, path, {"shift_spec_sha256": made["descriptor_sha256"]})
     return cells.groupBy("column").agg(F.count(F.lit(1)).alias("cells")).withColumn("problems", F.lit(len(bad)))
 
