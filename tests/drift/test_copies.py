@@ -70,3 +70,11 @@ def test_draws_of_blocks(ids):
 def test_a_step_of_gk_is_one_pass(copies):
     found, n = clustering.fit_many(copies, {"it": (0, "gk", 3, 1)})
     assert n <= 3 + found["it"].model.iterations + 1
+
+
+def test_banks_of_sizes_read_copies_once(spark, copies, monkeypatch):
+    seen, asked = [], passes._asked
+    monkeypatch.setattr(passes, "_asked", lambda points, requests, copies=False: (seen.append((copies, any(r.ids for *_, r in requests))), asked(points, requests, copies))[1])
+    rows = copies.select("row_id", "x")
+    panels.bank_sizes(rows, rows.withColumn("x", F.transform("x", lambda v: v + 1)), 3, sizes=(20, 40), usual=40)
+    assert len(seen) > 4 and all(counted or draws for counted, draws in seen) and seen[-1] == (True, False)
