@@ -78,3 +78,19 @@ def test_banks_of_sizes_read_copies_once(spark, copies, monkeypatch):
     rows = copies.select("row_id", "x")
     panels.bank_sizes(rows, rows.withColumn("x", F.transform("x", lambda v: v + 1)), 3, sizes=(20, 40), usual=40)
     assert len(seen) > 4 and all(counted or draws for counted, draws in seen) and seen[-1] == (True, False)
+
+
+def test_alignment_by_all_source_rows(spark, copies, monkeypatch):
+    monkeypatch.setattr(signals, "bank", lambda *a, **k: pytest.fail("a bank is a sample"))
+    source = copies.select("row_id", "x")
+    moved = source.withColumn("x", F.transform("x", lambda v: v + 0.5))
+    points = passes.Points(source.withColumn("of", F.lit("source")).unionByName(moved.withColumn("of", F.lit("clean"))), "of")
+    got = audits.aligned_runs(points, {(c, m, s): (c, m, 3, s) for c, s in (("source", 1), ("clean", 3)) for m in ("fcm2", "kmeans")})
+    for method, condition, seed, cost, _, overlap, *_ in got:
+        ref, cand = clustering.fit(method, source, 3, 1), clustering.fit(method, moved, 3, 3)
+        scales, _, _ = alignment.reference_scales(ref.memberships(source), ref.centers)
+        both = cand.memberships(ref.memberships(source, out="u_ref"), out="u_cand")
+        want = alignment.align_models(ref.centers, cand.centers, scales, both)
+        o = alignment.soft_jaccard(both)
+        assert (condition, seed) == ("clean", 3) and cost == pytest.approx(want.cost) and overlap == pytest.approx(np.mean([o[i, j] for i, j in enumerate(want.permutation)]))
+    assert len(got) == 2

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import fuzzifier
 from ..operators import alignment, clustering, nested, signals
 from ..operators import evaluation as ev
-from ..operators.passes import together
+from ..operators.passes import Points, Program, together
 from ..operators.sums import summed
 from ..sources.shared import stored
 from .data_queries import rounded
@@ -80,7 +80,7 @@ def fuzzifier_policies(spark: SparkSession, sf: str) -> DataFrame:
 def eta_panel(source: DataFrame, v: np.ndarray, candidate: np.ndarray, etas: Sequence[float] = ETAS, m: float = M) -> list[tuple[float, list[int], float, float, bool]]:
     """For each weight of the center costs: permutation, cost, margin, ambiguous. One pass gives all overlaps."""
     bank = signals.bank(source, 1, "reference-bank")
-    scales, _, _ = alignment.reference_scales(memberships(bank, v, m=m), v)
+    scales, _, _ = alignment.reference_scales(memberships(source, v, m=m), v)
     overlap = alignment.soft_jaccard(memberships(memberships(bank, v, "u_ref", m), candidate, "u_cand", m))
     costs = alignment.center_costs(v, candidate, scales)
     found = [(e, alignment.align(alignment.combined_costs(costs, overlap, e))) for e in etas]
@@ -103,28 +103,38 @@ def eta_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spark.createDataFrame(rows, "eta double, permutation string, cost double, margin double, ambiguous boolean"))
 
 
+def aligned_runs(points: Points, runs: dict[tuple[str, str, int], tuple[str, str, int, int]]) -> list[tuple]:
+    """Records of runs by (condition, method, seed), each aligned with the run of its method on the source (seed 1), whose rows give scales and overlaps."""
+    fits, _ = clustering.fit_many(points, runs)
+    pairs = {name: (fits["source", name[1], 1], found) for name, found in fits.items() if name[0] != "source"}
+    ready = {name: (ref.model, cand.model) for name, (ref, cand) in pairs.items() if ref.model is not None and cand.model is not None}
+    asked: dict[tuple, tuple[str, Program]] = {name: ("source", alignment.overlap_program(ref.of, cand.of)) for name, (ref, cand) in ready.items()}
+    asked |= {("scales", m): ("source", alignment.scales_program(fits["source", m, 1].model.of, fits["source", m, 1].model.centers)) for m in {m for _, m, _ in ready}}
+    measured, _ = together(points, asked)
+    out: list[tuple] = []
+    for (condition, method, seed), (ref, cand) in pairs.items():
+        errors = [ref.error, cand.error] if (condition, method, seed) not in ready else [measured["scales", method].error, measured[condition, method, seed].error]
+        if any(errors):
+            out.append((method, condition, seed, None, None, None, None, *errors))
+            continue
+        (scales, _, _), overlap = measured["scales", method].model, measured[condition, method, seed].model
+        a = alignment.align(alignment.combined_costs(alignment.center_costs(ref.model.centers, cand.model.centers, scales), overlap))
+        out.append((method, condition, seed, float(a.cost), float(a.margin), float(np.mean([overlap[i, j] for i, j in enumerate(a.permutation)])), bool(a.ambiguous), ref.model.status, cand.model.status))
+    return out
+
+
 @query("alignment_panel")
 def alignment_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Fits of a target and of a shifted one, by four methods and two seeds, aligned with the source's fit: cost, margin, overlap, status."""
+    """Fits of a target and of a shifted one, by four methods and two seeds, aligned with the source's fit: cost, margin, overlap, status.
+
+    Scales and overlaps are those of all source rows, which take one more pass."""
     source, target, v = parts(spark, sf)
-    out = []
-    bank = stored(signals.bank(source, 1, "reference-bank"), "bank")
     tables = {"source": source, "clean": target, "location": moved(target)}
-    points = stored(reduce(DataFrame.unionByName, [t.select("row_id", "x", F.lit(name).alias("of")) for name, t in tables.items()]), "panel")
+    rows = reduce(DataFrame.unionByName, [t.select("row_id", "x", F.lit(name).alias("of")) for name, t in tables.items()])
+    points = Points(stored(rows.repartition(2 * spark.sparkContext.defaultParallelism), "panel"), "of", written=True)
     methods, seeds = ("fcm", "fcm2", "kmeans", "gmm"), (3, 4)
     runs = {("source", m, 1): ("source", m, len(v), 1) for m in methods} | {(c, m, s): (c, m, len(v), s) for c in ("clean", "location") for m in methods for s in seeds}
-    fits, _ = clustering.fit_many(points, runs, "of")
-    for (condition, method, seed), found in fits.items():
-        if condition != "source":
-            ref, cand = fits["source", method, 1].model, found.model
-            if ref is None or cand is None:
-                out.append((method, condition, seed, None, None, None, None, fits["source", method, 1].error, found.error))
-                continue
-            both = cand.memberships(ref.memberships(bank, out="u_ref"), out="u_cand")
-            scales, _, _ = alignment.reference_scales(ref.memberships(bank), ref.centers)
-            overlap = alignment.soft_jaccard(both)
-            a = alignment.align(alignment.combined_costs(alignment.center_costs(ref.centers, cand.centers, scales), overlap))
-            out.append((method, condition, seed, float(a.cost), float(a.margin), float(np.mean([overlap[i, j] for i, j in enumerate(a.permutation)])), bool(a.ambiguous), ref.status, cand.status))
+    out = aligned_runs(points, runs)
     return rounded(spark.createDataFrame(out, "method string, condition string, seed int, cost double, margin double, overlap double, ambiguous boolean, source_status string, candidate_status string"))
 
 
