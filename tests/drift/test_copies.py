@@ -72,6 +72,15 @@ def test_a_step_of_gk_is_one_pass(copies):
     assert n <= 3 + found["it"].model.iterations + 1
 
 
+def test_blocks_are_cut(spark):
+    rows = spark.range(0, 30_000, 1, 1).select(F.lit("k").alias("key"), "id", F.array(F.col("id") * 1.0).alias("x"))
+    for few in ("700", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", few)
+        found = [r["n"] for r in passes.packed(rows).collect()]
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted(found) == [30_000 - 3 * 8192, 8192, 8192, 8192]
+
+
 def test_banks_of_sizes_read_copies_once(spark, copies, monkeypatch):
     seen, asked = [], passes._asked
     monkeypatch.setattr(passes, "_asked", lambda points, requests, copies=False: (seen.append((copies, any(r.ids for *_, r in requests))), asked(points, requests, copies))[1])
@@ -80,6 +89,26 @@ def test_banks_of_sizes_read_copies_once(spark, copies, monkeypatch):
     assert len(seen) > 4 and all(counted or draws for counted, draws in seen) and seen[-1] == (True, False)
 
 
+def test_merging_takes_no_models():
+    from pyspark.cloudpickle import dumps
+
+    model = np.zeros(500_000)
+    for request in (passes.Sum(lambda a: a @ model, counted=True), passes.Draw("init", [(1, [model])])):
+        assert len(dumps(request)) > 1_000_000 and len(dumps(request.bare())) < 10_000
+
+
+def test_a_source_of_one_file_is_dealt_out(spark, tmp_path):
+    spark.range(0, 4000, 1, 1).select(F.col("id").alias("row_id"), F.array(F.col("id") * 1.0, F.col("id") % 7 * 1.0).alias("x")).write.parquet(f"{tmp_path}/one")
+    rows = spark.read.parquet(f"{tmp_path}/one")
+    setting = scenarios.Setting(rows.where("row_id % 4 > 0"), rows.where("row_id % 4 = 0"), 2, 1)
+    assert len(setting.source.inputFiles()) > 4 and setting.source.count() == 3000
+    # scales are those of all source rows, not of the bank's 2048
+    scales = setting.source_scales("kmeans", 1)
+    model = setting.model("kmeans", 1)
+    assert np.allclose(scales, alignment.reference_scales(model.memberships(setting.source), model.centers)[0], rtol=1e-12)
+    assert not np.allclose(scales, alignment.reference_scales(model.memberships(setting.reference), model.centers)[0], rtol=1e-6)
+
+
 def test_alignment_by_all_source_rows(spark, copies, monkeypatch):
     monkeypatch.setattr(signals, "bank", lambda *a, **k: pytest.fail("a bank is a sample"))
     source = copies.select("row_id", "x")
